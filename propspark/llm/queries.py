@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from propspark.llm.common import read
 from propspark.llm.packing import pack
+from propspark.llm.simhash import simhash_groups
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -20,8 +21,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}

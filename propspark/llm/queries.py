@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from propspark.llm.common import read
 from propspark.llm.packing import pack
+from propspark.llm.secret_scan import scan_secrets
 from propspark.llm.simhash import simhash_groups
 
 
@@ -21,12 +22,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from propspark.llm.common import read
 from propspark.llm.packing import pack
+from propspark.llm.quality_rules import judge
 from propspark.llm.secret_scan import scan_secrets
 from propspark.llm.simhash import simhash_groups
 
@@ -30,10 +31,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

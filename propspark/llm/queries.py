@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from propspark.llm.common import read
+from propspark.llm.license_scan import scan_licenses
 from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
 from propspark.llm.secret_scan import scan_secrets
@@ -35,11 +36,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}

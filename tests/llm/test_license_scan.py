@@ -60,7 +60,7 @@ def test_rows_nulls_and_empty_table(spark):
     rows = [(1, None, "a"), (1, None, "a"), (None, "SPDX-License-Identifier: Apache-2.0 OR MIT", "b"), (3, "x " * 100_000 + "General-Public license", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     out = sorted(((r.doc_id or -1), r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in scan_licenses(df).collect())
-    assert out[0] == (-1, 7, 0, None, "apache-2.0,mit", 1.0)
+    assert out[0] == (-1, 8, 0, None, "apache-2.0,mit", 1.0)
     assert out[1] == out[2] == (1, 0, 0, None, "", 1.0)
     assert out[3] == (3, 100_003, 1, 100_000, "gpl", STRONG)
     assert scan_licenses(df.limit(0)).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from propspark.llm.common import read
+from propspark.llm.importance import fit_importance, importance_scores
 from propspark.llm.license_scan import scan_licenses
 from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
@@ -40,12 +41,18 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return importance_scores(docs, fit_importance(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_licenses": op9_licenses,
+    "op10_importance": op10_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from propspark.llm.common import read
 from propspark.llm.importance import fit_importance, importance_scores
 from propspark.llm.license_scan import scan_licenses
+from propspark.llm.mixing import mix
 from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
 from propspark.llm.secret_scan import scan_secrets
@@ -25,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,

@@ -1,17 +1,12 @@
-import zlib
-from collections import defaultdict
-
-import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from propspark.llm.packing import END_ID, encoder, pack, windows_of
-from propspark.llm.queries import tokenizer_files
+from propspark.llm.packing import encoder, pack, windows_of
+from tests_llm_helpers import FILES, check_pieces
 
-FILES = tokenizer_files()
 SLOW = Tokenizer.from_file(FILES[0])
 
 
@@ -34,29 +29,6 @@ def test_windows_hold_everything_once(lengths):
     assert max(sum(lengths[i] for i in w) for w in found) <= 64
 
 
-def check_pieces(rows, texts, capacity):
-    encode = encoder(*FILES)
-    by_doc, by_seq = defaultdict(list), defaultdict(list)
-    for r in rows:
-        by_doc[r.doc_id].append(r)
-        by_seq[r.sequence_id].append(r)
-    for doc, text in texts.items():
-        ids = np.append(encode(text or ""), END_ID).astype("<u4")
-        at = 0
-        for r in sorted(by_doc[doc], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids)
-            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    for held in by_seq.values():
-        at = 0
-        for r in sorted(held, key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at <= capacity
-    return {k: sum(r.length for r in v) for k, v in by_seq.items()}
-
-
 def test_documents_come_back_whole(spark):
     rows = [(i, f"word{i} " * (i * i), "x") for i in range(60)] + [(900, None, "x"), (901, "", "x"), (902, "long text " * 20000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").repartition(3)

@@ -4,24 +4,7 @@ import pytest
 
 from propspark.llm import simhash
 from propspark.llm.simhash import block_masks, covering_masks, fingerprint, fingerprint_links, simhash_groups
-
-
-def brute_groups(fps):
-    """Smallest id reachable for each id, by comparing all pairs."""
-    ids = sorted(fps)
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in ids:
-        for j in ids:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= 2:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in ids}
+from tests_llm_helpers import brute_groups
 
 
 @pytest.mark.parametrize("radius", [1, 2])

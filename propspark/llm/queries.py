@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from propspark.llm.common import read
 from propspark.llm.importance import fit_importance, importance_scores
 from propspark.llm.license_scan import scan_licenses
+from propspark.llm.lm_score import cross_entropy_difference
 from propspark.llm.mixing import mix
 from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
@@ -43,6 +44,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op9_licenses": op9_licenses,
     "op10_importance": op10_importance,

@@ -13,6 +13,7 @@ from propspark.llm.lm_score import cross_entropy_difference
 from propspark.llm.mixing import mix
 from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
+from propspark.llm.quote_links import link_quotes
 from propspark.llm.secret_scan import scan_secrets
 from propspark.llm.simhash import simhash_groups
 from propspark.llm.topk import top_k
@@ -52,6 +53,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(read(spark, sf_dir, "conversations"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -69,11 +74,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quote_links": op8_quote_links,
     "op9_licenses": op9_licenses,
     "op10_importance": op10_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_quote_links": r"""
+        WITH RECURSIVE m AS (
+            SELECT row_number() OVER () AS row_no, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS parts FROM conversations),
+        x AS (
+            SELECT row_no, conv_id, turn, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM m),
+        y AS (
+            SELECT *, len(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
+                   trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[ \t\r]+', ' ', 'g')) AS passage
+            FROM x),
+        z AS (
+            SELECT *, level = 0 AND regexp_matches(line, 'wrote:[ \t]*$') AND coalesce(lead(level) OVER (PARTITION BY row_no ORDER BY i), 0) > 0 AS names_quote
+            FROM y),
+        own AS (
+            SELECT row_no, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT names_quote), ''), '^(?:[ \t\r]*\n)+', ''), '(?:\n[ \t\r]*)+$', '') AS text,
+                   CAST(count(*) FILTER (level > 0) AS BIGINT) AS n_quoted
+            FROM z GROUP BY row_no),
+        said AS (
+            SELECT conv_id, passage, min(turn) AS said FROM z
+            WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL AND regexp_matches(passage, '[\p{L}\p{N}]') GROUP BY 1, 2),
+        quoted AS (
+            SELECT conv_id, turn, passage, min(level) AS level FROM z
+            WHERE level > 0 AND turn IS NOT NULL AND regexp_matches(passage, '[\p{L}\p{N}]') GROUP BY 1, 2, 3),
+        ranked AS (
+            SELECT q.conv_id, q.turn, s.said, count(*) OVER (PARTITION BY q.conv_id, q.turn) AS n_linked,
+                   row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY q.level, s.said DESC) AS pick
+            FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.passage = s.passage AND s.said < q.turn),
+        links AS (SELECT conv_id, turn, said AS reply_to, n_linked FROM ranked WHERE pick = 1),
+        walk AS (
+            SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links
+            UNION ALL
+            SELECT w.conv_id, w.turn, l.reply_to, w.depth + 1 FROM walk w JOIN links l ON l.conv_id = w.conv_id AND l.turn = w.thread),
+        ends AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM walk GROUP BY 1, 2)
+        SELECT m.conv_id, coalesce(e.thread, m.turn) AS thread, CAST(coalesce(e.depth, 0) AS INT) AS depth, m.turn, l.reply_to,
+               own.n_quoted, CAST(coalesce(l.n_linked, 0) AS BIGINT) AS n_linked, m.role, own.text
+        FROM m JOIN own ON own.row_no = m.row_no
+        LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
+        LEFT JOIN ends e ON e.conv_id = m.conv_id AND e.turn = m.turn""",
     "op3_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

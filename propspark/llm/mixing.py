@@ -131,5 +131,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of `docs`, each as many times as its copies; columns as they are. Rows that share an id share its largest number of copies."""
     copies = mix(docs, id_col=id_col, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    joined = docs.alias("d").join(copies.alias("c"), F.expr(f"d.{id_col} <=> c.doc_id"))
+    # copies has as many rows as documents, so it is never broadcast: one plan at every size
+    joined = docs.alias("d").join(copies.hint("merge").alias("c"), F.expr(f"d.{id_col} <=> c.doc_id"))
     return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy")).select([F.col(c) for c in docs.columns])

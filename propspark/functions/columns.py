@@ -220,3 +220,11 @@ def box_order(df: DataFrame, group: str, order: str) -> DataFrame:
 def decision_tag(note: Column | str) -> Column:
     n = _c(note)
     return F.when(n.rlike(r"\(W"), "W").when(n.rlike(r"\(L"), "L").when(n.rlike(r"\(S"), "S").when(n.rlike(r"\(H"), "H")
+
+
+def pair_home_away(df: DataFrame, game: str, matchup: str, columns: list[str]) -> DataFrame:
+    """One row per game from its two team rows; the home row's matchup text has "vs.", the away row's "@". Other games are left out."""
+    home, away = F.col(matchup).contains("vs."), F.col(matchup).contains("@")
+    made = [F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for name, side in (("home", home), ("away", away)) for c in columns]
+    counts = [F.count("*").alias("_n"), F.count_if(home).alias("_h"), F.count_if(away).alias("_a")]
+    return df.groupBy(game).agg(*made, *counts).where("_n = 2 AND _h = 1 AND _a = 1").drop("_n", "_h", "_a")

@@ -38,6 +38,21 @@ def p04(spark, sf):
     return C.box_order(table(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "slot", "is_first")
 
 
+@query("p04_decision_tag", "SELECT o_orderkey, CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 'W' WHEN 1 THEN 'L' WHEN 2 THEN 'S' WHEN 3 THEN 'H' END AS decision FROM orders")
+def p04b(spark, sf):
+    notes = F.array(*[F.lit(x) for x in ("Smith (W, 3-1)", "Jones (L, 0-2)", "Lee (S, 9)", "Ray (H, 4)", "none")])
+    return table(spark, sf, "orders").select("o_orderkey", C.decision_tag(F.get(notes, (F.col("o_custkey") % 5).cast("int"))).alias("decision"))
+
+
+@query("p05_pair_home_away", with_views("SELECT game_id, home_score, away_score FROM team_game WHERE game_id % 5 <> 0", "team_game"))
+def p05(spark, sf):
+    from propspark.operators.sets import team_rows
+
+    t = team_rows(view(spark, sf, "team_game")).where("NOT (game_id % 5 = 0 AND is_home)")
+    text = F.concat_ws(" ", F.col("team").cast("string"), F.when(F.col("is_home"), "vs.").otherwise("@"), F.col("opponent").cast("string"))
+    return C.pair_home_away(t.withColumn("matchup", text), "game_id", "matchup", ["score"])
+
+
 @query(
     "p06_four_factors",
     with_views(

@@ -7,10 +7,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
     """Letters without their accents; what then is not ASCII goes. Spark has no built-in for it."""
     return names.map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode(), na_action="ignore")

@@ -196,13 +196,13 @@ def a22(spark, sf):
 
 @query(
     "a23_lineup_strength",
-    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem),
+    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
        o AS (SELECT *, [1.1, 1.05, 1.0, 0.95, 0.9, 0.85, 0.8][l_linenumber] AS w FROM p WHERE k = 1)
        SELECT l_orderkey, count(*) AS slots, round(CASE WHEN count(q) >= 2 THEN sum(q * CAST(w AS DOUBLE)) / sum(CASE WHEN q IS NOT NULL THEN CAST(w AS DOUBLE) END) END, 6) AS q_weighted, round(CASE WHEN count(q) >= 2 THEN avg(CASE WHEN l_linenumber <= 4 THEN q END) - avg(CASE WHEN l_linenumber > 4 THEN q END) END, 6) AS q_gap FROM o GROUP BY 1 HAVING count(*) >= 3""",
 )
 def a23(spark, sf):
-    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("q"))
-    out = R.lineup_strength(p, ["l_orderkey"], "l_linenumber", ["l_partkey", "l_suppkey"], ["q"], [1.1, 1.05, 1.0, 0.95, 0.9, 0.85, 0.8], 3, 2)
+    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("q"))
+    out = R.lineup_strength(p, ["l_orderkey"], "l_linenumber", ["l_partkey", "l_suppkey", "l_quantity"], ["q"], [1.1, 1.05, 1.0, 0.95, 0.9, 0.85, 0.8], 3, 2)
     return rounded(out, "q_weighted", "q_gap")
 
 

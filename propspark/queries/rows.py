@@ -83,7 +83,7 @@ def p07(spark, sf):
 
 @query("p08_clamp_odds", with_views("SELECT player_id, book_id, line, CAST(greatest(-120, least(120, over_odds)) AS INT) AS clamped FROM quotes WHERE abs(under_odds) <= 130", "quotes"))
 def p08(spark, sf):
-    return view(spark, sf, "quotes").where(F.abs("under_odds") <= 130).select("player_id", "book_id", "line", C.clamp_odds("over_odds", 120).alias("clamped"))
+    return view(spark, sf, "quotes").where(F.abs("under_odds") <= 130).select("player_id", "book_id", "line", O.clamp_odds("over_odds", 120).alias("clamped"))
 
 
 @query("p09_half_open_dates", with_views("SELECT kind, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM entity_day WHERE day >= DATE '2024-01-05' AND day < DATE '2024-01-20' GROUP BY kind", "entity_day"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+#: Names that a dimension of substring matches may hold.
+FUZZY_ROWS = 10_000
+
 
 @pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
@@ -31,10 +34,16 @@ def match_unique(left: DataFrame, right: DataFrame, norm: str, id_col: str) -> D
 
 
 def fuzzy_match(left: DataFrame, dim: DataFrame, name: str, dim_name: str, id_col: str) -> DataFrame:
-    """First of equal, dim within name, name within dim; the smaller id on a tie. For short lists of names: distinct ones only."""
+    """First of equal, dim within name, name within dim; the smaller id on a tie.
+
+    A substring has no key to join on, so the dimension is broadcast to the distinct names; it
+    may hold FUZZY_ROWS names at most, which is checked.
+    """
+    if dim.limit(FUZZY_ROWS + 1).count() > FUZZY_ROWS:
+        raise ValueError(f"the dimension holds over {FUZZY_ROWS} names")
     a, b = F.col(name), F.col(dim_name)
     rank = F.when(a == b, 0).when(a.contains(b), 1).otherwise(2)
-    met = left.select(name).distinct().join(dim, (a == b) | a.contains(b) | b.contains(a))
+    met = left.select(name).distinct().join(F.broadcast(dim), (a == b) | a.contains(b) | b.contains(a))
     order = Window.partitionBy(name).orderBy(rank, id_col)
     best = met.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(name, id_col)
     return left.join(best, name)

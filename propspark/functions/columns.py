@@ -88,7 +88,7 @@ def platoon_advantage(bats: Column | str, throws: Column | str) -> Column:
 
 def weather_flags(text: Column | str) -> dict[str, Column]:
     low = F.lower(_c(text))
-    wind = F.when(low.contains("out"), 1).when(low.contains("in from"), -1).when(low.contains("calm") | low.contains("cross"), 0)
+    wind = F.when(low.startswith("out to"), 1).when(low.startswith("in from"), -1).when(low.isin("none.", "calm."), 0)
     return {"is_dome": low.contains("dome") | low.contains("roof"), "wind_score": wind, "is_clear": low.startswith("clear") | low.startswith("sunny"), "has_rain": low.rlike("rain|drizzle|shower")}
 
 
@@ -97,7 +97,7 @@ def season_phase(day: Column | str) -> Column:
     return F.when(m <= 4, "early").when(m <= 7, "middle").otherwise("late")
 
 
-def spray_labels(x: Column | str, y: Column | str, hand: Column | str, pull_from: float = 15.0, x0: float = 125.42, y0: float = 198.27) -> dict[str, Column]:
+def spray_labels(x: Column | str, y: Column | str, hand: Column | str, pull_from: float = 15.0, x0: float = 125.0, y0: float = 199.0) -> dict[str, Column]:
     """Angle from home plate through second base, in degrees, and whether the ball was pulled or went the other way."""
     angle = F.degrees(F.atan2(_c(x) - x0, y0 - _c(y)))
     signed = F.when(_c(hand) == "L", -angle).otherwise(angle)
@@ -122,9 +122,10 @@ SLOT_PA = {1: 4.6, 2: 4.5, 3: 4.4, 4: 4.3, 5: 4.2, 6: 4.1, 7: 4.0, 8: 3.9, 9: 3.
 
 def expected_pa(slot: Column | str, ip_per_start: Column | str) -> dict[str, Column]:
     """Plate appearances of a slot, those against the starter, and the bullpen's share of them."""
-    total = map_codes(slot, SLOT_PA, 4.2)
-    starter = F.least(_c(ip_per_start) * 4.0 / 9.0, total)
-    return {"total_pa": total, "starter_pa": starter, "bullpen_share": F.greatest(F.lit(0.0), (total - starter) / total)}
+    total = map_codes(slot, SLOT_PA)
+    starter = _c(ip_per_start) * 4.0 / 9.0
+    share = F.when(total.isNotNull() & starter.isNotNull(), F.greatest(F.lit(0.0), total - starter) / total)
+    return {"total_pa": total, "starter_pa": starter, "bullpen_share": share}
 
 
 def total_bases(hits: str, doubles: str, triples: str, homers: str) -> Column:
@@ -184,14 +185,14 @@ def four_factors(fgm: Column, fga: Column, fg3m: Column, fta: Column, orb: Colum
 
 
 def baseball_rates(**c: Column) -> dict[str, Column]:
-    """Rates from counts h, d, t, hr, bb, hbp, so, ab, sf, ip (true innings), ha, bba, hra, hbpa, soa."""
+    """Rates from counts h, d, t, hr, bb, hbp, so, ab, sf, ip (true innings), ha, bba, hra, soa."""
     ab, pa = c["ab"], c["ab"] + c["bb"] + c["hbp"] + c["sf"]
     singles = c["h"] - c["d"] - c["t"] - c["hr"]
     bases = singles + 2 * c["d"] + 3 * c["t"] + 4 * c["hr"]
     avg, obp, slg = safe_div(c["h"], ab), safe_div(c["h"] + c["bb"] + c["hbp"], pa), safe_div(bases, ab)
     woba = safe_div(0.69 * c["bb"] + 0.72 * c["hbp"] + 0.89 * singles + 1.27 * c["d"] + 1.62 * c["t"] + 2.1 * c["hr"], pa)
     ip = c["ip"]
-    fip = F.when(ip > 0, (13 * c["hra"] + 3 * (c["bba"] + c["hbpa"]) - 2 * c["soa"]) / ip + 3.1)
+    fip = F.when(ip > 0, (13 * c["hra"] + 3 * c["bba"] - 2 * c["soa"]) / ip + 3.1)
     return {"avg": avg, "obp": obp, "slg": slg, "ops": obp + slg, "iso": slg - avg, "woba": woba, "fip": fip, "k9": F.when(ip > 0, 9 * c["soa"] / ip), "whip": F.when(ip > 0, (c["bba"] + c["ha"]) / ip)}
 
 

@@ -109,7 +109,8 @@ def elo_expectation(own: Column | str, other: Column | str) -> Column:
 
 
 def margin_multiplier(margin: Column | str) -> Column:
-    return F.log1p(F.abs(_c(margin)))
+    """log(1 + margin), and 1 for a draw."""
+    return F.when(_c(margin) == 0, 1.0).otherwise(F.log1p(F.abs(_c(margin))))
 
 
 def poisson_tail(line: Column | str, mean: Column | str) -> Column:

@@ -116,7 +116,7 @@ def p12(spark, sf):
 @query(
     "p13_text_flags",
     """SELECT doc_id, contains(lower(text), 'dome') OR contains(lower(text), 'roof') AS is_dome,
-       CASE WHEN contains(lower(text), 'out') THEN 1 WHEN contains(lower(text), 'in from') THEN -1 WHEN contains(lower(text), 'calm') OR contains(lower(text), 'cross') THEN 0 END AS wind_score,
+       CASE WHEN starts_with(lower(text), 'out to') THEN 1 WHEN starts_with(lower(text), 'in from') THEN -1 WHEN lower(text) IN ('none.', 'calm.') THEN 0 END AS wind_score,
        starts_with(lower(text), 'clear') OR starts_with(lower(text), 'sunny') AS is_clear, regexp_matches(lower(text), 'rain|drizzle|shower') AS has_rain FROM documents""",
 )
 def p13(spark, sf):
@@ -126,7 +126,7 @@ def p13(spark, sf):
 @query(
     "p14_spray",
     with_views(
-        """, a AS (SELECT *, degrees(atan2(CAST(player_id % 250 AS DOUBLE) - 125.42, 198.27 - CAST(player_id % 180 AS DOUBLE))) AS g, CASE WHEN book_id % 2 = 0 THEN 'L' ELSE 'R' END AS hand FROM quotes)
+        """, a AS (SELECT *, degrees(atan2(CAST(player_id % 250 AS DOUBLE) - 125, 199 - CAST(player_id % 180 AS DOUBLE))) AS g, CASE WHEN book_id % 2 = 0 THEN 'L' ELSE 'R' END AS hand FROM quotes)
         SELECT player_id, book_id, line, round(g, 6) AS spray_angle, CASE WHEN hand = 'L' THEN -g ELSE g END < -15 AS pulled, CASE WHEN hand = 'L' THEN -g ELSE g END > 15 AS opposite FROM a""",
         "quotes",
     ),
@@ -163,7 +163,7 @@ def p15(spark, sf):
     "p16_expected_pa",
     with_views(
         """, t AS (SELECT player_id, book_id, line, 4.7 - 0.1 * CAST(player_id % 9 + 1 AS DOUBLE) AS total, CAST(player_id % 7 AS DOUBLE) * 4 / 9 AS s FROM quotes)
-        SELECT player_id, book_id, line, round(total, 6) AS total_pa, round(least(s, total), 6) AS starter_pa, round(greatest(0, (total - least(s, total)) / total), 6) AS bullpen_share FROM t""",
+        SELECT player_id, book_id, line, round(total, 6) AS total_pa, round(s, 6) AS starter_pa, round(greatest(0, total - s) / total, 6) AS bullpen_share FROM t""",
         "quotes",
     ),
 )
@@ -328,7 +328,7 @@ def f11(spark, sf):
         SELECT player_id, round(h / ab, 6) AS avg, round((h + bb + 1) / (ab + bb + 1 + 2), 6) AS obp, round((h - d - t - hr + 2 * d + 3 * t + 4 * hr) / ab, 6) AS slg,
                round((h + bb + 1) / (ab + bb + 3) + (h + d + 2 * t + 3 * hr) / ab, 6) AS ops, round((d + 2 * t + 3 * hr) / ab, 6) AS iso,
                round((0.69 * bb + 0.72 + 0.89 * (h - d - t - hr) + 1.27 * d + 1.62 * t + 2.1 * hr) / (ab + bb + 3), 6) AS woba,
-               round(CASE WHEN ip > 0 THEN (13 * hr + 3 * (bb + 1) - 2 * d) / ip + 3.1 END, 6) AS fip, round(CASE WHEN ip > 0 THEN 9 * d / ip END, 6) AS k9, round(CASE WHEN ip > 0 THEN (bb + h) / ip END, 6) AS whip FROM c""",
+               round(CASE WHEN ip > 0 THEN (13 * hr + 3 * bb - 2 * d) / ip + 3.1 END, 6) AS fip, round(CASE WHEN ip > 0 THEN 9 * d / ip END, 6) AS k9, round(CASE WHEN ip > 0 THEN (bb + h) / ip END, 6) AS whip FROM c""",
         "quotes",
     ),
 )
@@ -336,11 +336,11 @@ def f12(spark, sf):
     x = lambda c: c.cast("double")
     p, one = F.col("player_id"), F.lit(1.0)
     h, d, hr, bb = x(p % 15 + 6), x(p % 4), x(p % 3), x(p % 9)
-    rates = C.baseball_rates(h=h, d=d, t=x(p % 2), hr=hr, bb=bb, hbp=one, so=d, ab=x(p % 50 + 20), sf=F.lit(2.0), ip=x(p % 6), ha=h, bba=bb, hra=hr, hbpa=one, soa=d)
+    rates = C.baseball_rates(h=h, d=d, t=x(p % 2), hr=hr, bb=bb, hbp=one, so=d, ab=x(p % 50 + 20), sf=F.lit(2.0), ip=x(p % 6), ha=h, bba=bb, hra=hr, soa=d)
     return view(spark, sf, "quotes").select("player_id").distinct().select("player_id", *[r6(c).alias(n) for n, c in rates.items()])
 
 
-@query("f13_elo_terms", with_views("SELECT game_id, round(1 / (1 + pow(10.0, (away_team * 10 - home_team * 10) / 400.0)), 6) AS p_home, round(ln(1 + abs(home_score - away_score)), 6) AS mult FROM team_game", "team_game"))
+@query("f13_elo_terms", with_views("SELECT game_id, round(1 / (1 + pow(10.0, (away_team * 10 - home_team * 10) / 400.0)), 6) AS p_home, round(CASE WHEN home_score = away_score THEN 1.0 ELSE ln(1 + abs(home_score - away_score)) END, 6) AS mult FROM team_game", "team_game"))
 def f13(spark, sf):
     return view(spark, sf, "team_game").select("game_id", r6(O.elo_expectation(F.col("home_team") * 10, F.col("away_team") * 10)).alias("p_home"), r6(O.margin_multiplier(F.col("home_score") - F.col("away_score"))).alias("mult"))
 

@@ -95,6 +95,6 @@ def test_elo_by_hand(spark):
     rows = [(1, 1, "2024-01-01", 2024, 1, 2, 5, 3), (1, 2, "2025-01-01", 2025, 2, 1, 0, 0)]
     g = spark.createDataFrame(rows, "league int, game_id long, day string, season int, home_team int, away_team int, home_score int, away_score int").withColumn("day", F.to_date("day"))
     a, b = sorted(M.elo(g, "league", ["day"], home_adv=0.0).collect(), key=lambda r: r.game_id)
-    move = 20 * 1.0986122886681098 * 0.5
+    move = 6 * 1.0986122886681098 * 0.5
     assert (a.home_elo, a.p_home) == (1500, 0.5)
-    assert b.away_elo == pytest.approx(1500 + 0.75 * move) and b.home_elo == pytest.approx(1500 - 0.75 * move)
+    assert b.away_elo == pytest.approx(1500 + 0.6 * move) and b.home_elo == pytest.approx(1500 - 0.6 * move)

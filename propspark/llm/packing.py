@@ -48,11 +48,13 @@ def encoder(tokenizer: str, ranks: str):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        slow = Tokenizer.from_file(tokenizer)
+        slow = []
 
         def encode(text: str) -> np.ndarray:
             if SPECIAL_TEXT in text:
-                return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+                if not slow:  # loaded only where a text needs it
+                    slow.append(Tokenizer.from_file(tokenizer))
+                return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
             return np.array(fast.encode_ordinary(text), dtype="<u4")
 
         _ENCODERS[tokenizer, ranks] = encode

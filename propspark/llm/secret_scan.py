@@ -17,7 +17,9 @@ from collections.abc import Callable, Iterator
 from itertools import product
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,16 +170,18 @@ def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            lengths = batch.column(length_at).to_pylist() if length_at is not None else None
-            for i, text in enumerate(texts):
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            clean = []
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py()
                 if text and (found := find_secrets(text)):
-                    texts[i] = redacted(text, found)
-                    if lengths is not None:
-                        lengths[i] = len(texts[i])
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if lengths is not None:
-                out = out.set_column(length_at, batch.schema.field(length_at), pa.array(lengths, batch.schema.field(length_at).type))
+                    hit[i] = True
+                    clean.append(redacted(text, found))
+            mask = pa.array(hit)
+            out = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(batch.column(at), mask, pa.array(clean, batch.schema.field(at).type)))
+            if length_at is not None:
+                kind = batch.schema.field(length_at).type
+                out = out.set_column(length_at, batch.schema.field(length_at), pc.replace_with_mask(batch.column(length_at), mask, pa.array([len(t) for t in clean], kind)))
             yield out
 
     return docs.mapInArrow(run, docs.schema)

@@ -37,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table goes when the driver's JVM ends in order.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,3 +83,12 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def language_group(docs: DataFrame, lang_col: str, languages: tuple[str, ...]) -> Column:
+    """Position of the language in `languages`; their number for others, nulls and tables without the column."""
+    found = F.lit(len(languages))
+    if lang_col in docs.columns:
+        for i, name in enumerate(languages):
+            found = F.when(F.col(lang_col) == name, i).otherwise(found)
+    return found.cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propspark.llm.common import store
+from propspark.llm.common import language_group, store
 
 #: Hash buckets of byte n-grams; two more count words that differ from, and words that repeat, the one before.
 BUCKETS = 1 << 14
@@ -116,22 +116,13 @@ def _noise(id_col: str) -> F.Column:
     return -F.log(-F.log(share))
 
 
-def _group(docs: DataFrame, lang_col: str) -> F.Column:
-    """Position of the language in LANGUAGES; their number for others, nulls and tables without the column."""
-    found = F.lit(len(LANGUAGES))
-    if lang_col in docs.columns:
-        for i, name in enumerate(LANGUAGES):
-            found = F.when(F.col(lang_col) == name, i).otherwise(found)
-    return found.cast("long")
-
-
 def _weighed(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([log_weight(t.as_py(), ratios[g]) for t, g in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "log_weight"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _group(docs, lang_col).alias("group_no"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), language_group(docs, lang_col, LANGUAGES).alias("group_no"))
     weighed = picked.mapInArrow(run, "doc_id long, log_weight double")
     return weighed.withColumn("key", F.round((F.col("log_weight") + _noise("doc_id")) * SCALE).cast("long"))
 
@@ -146,7 +137,7 @@ def fit_importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     good = good.withColumn("h", F.xxhash64("id", F.lit(SEED))).orderBy("h").limit(SAMPLE)
     good = store(good.withColumn("held_out", F.col("h") % 2 != 0).drop("h"), "importance-sample")  # SAMPLE rows at most
-    flagged = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _group(docs, lang_col).alias("group_no")).join(F.broadcast(good), "id", "left")
+    flagged = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), language_group(docs, lang_col, LANGUAGES).alias("group_no")).join(F.broadcast(good), "id", "left")
     counted = flagged.select("text", "group_no", F.coalesce(~F.col("held_out"), F.lit(False)).alias("good")).mapInArrow(_counts, "group_no long, bucket long, n_all long, n_good long")
     sums = counted.groupBy("group_no", "bucket").agg(F.sum("n_all"), F.sum("n_good"))
     table = np.zeros((len(LANGUAGES) + 1, 2, WIDTH))
@@ -185,4 +176,4 @@ def importance_select(docs: DataFrame, model: ImportanceModel, id_col: str = "do
             keep = [round((log_weight(t.as_py() or "", ratios[x["group_no"]]) + x["noise"]) * SCALE) >= cut for t, x in zip(batch.column(at), extras, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(width)))
 
-    return docs.withColumn(extra, F.struct(_group(docs, lang_col).alias("group_no"), _noise(id_col).alias("noise"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(extra, F.struct(language_group(docs, lang_col, LANGUAGES).alias("group_no"), _noise(id_col).alias("noise"))).mapInArrow(run, docs.schema)

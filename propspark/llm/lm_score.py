@@ -1,11 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
 Two n-gram models of bytes, one of labelled good documents and one of all documents, share
-one vocabulary (the 256 bytes), order, tables and interpolation, so that they differ in
-their text alone. A document's score is the mean over its bytes of the target model's loss
-less the background model's: the lower, the more like the target. Counts are summed by
-Spark over all documents, per language group; the tables have a fixed size, and only they
-are broadcast.
+one vocabulary (the 256 bytes), order and interpolation, so that they differ in their text
+alone. A document's score is the mean over its bytes of the target model's loss less the
+background model's: the lower, the more like the target. Both models are one Spark table of
+exact n-grams per language group, which grows with the corpus and is never collected.
+Documents are dealt into blocks of text. A block asks for each of its n-grams once, so a
+common n-gram has a row per block in the join with the counts, and is scored against what
+the join returns for it.
 """
 
 from __future__ import annotations
@@ -14,15 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propspark.llm.common import language_group, text_or_empty
+from propspark.llm.common import language_group, store, text_or_empty
 
-#: Slots of the tables of orders 1 to 4; the last two are hashed.
-SLOTS = (1 << 8, 1 << 16, 1 << 18, 1 << 18)
-STARTS = tuple(int(x) for x in np.cumsum((0, *SLOTS)))
-ORDER = len(SLOTS)
+ORDER = 4
 #: Interpolation weights of orders 1 to 4, and of a uniform byte. They add up to 1.
 LAMBDAS = (0.05, 0.15, 0.3, 0.49)
 UNIFORM = 0.01 / 256
@@ -31,73 +31,117 @@ LANGUAGES = ("en", "de", "fr", "es")
 PREFIX = b"\n" * (ORDER - 1)
 #: Bytes whose n-grams are counted at once.
 CHUNK = 1 << 21
+#: Bytes of text after which a block of documents is full.
+BLOCK = 1 << 22
 
 
-def slots(raw: bytes) -> list[np.ndarray]:
-    """Table positions of the n-grams of orders 1 to 4 that end at each byte of `raw`, from the one before its first on."""
-    a = np.frombuffer(PREFIX + raw, dtype=np.uint8).astype(np.uint32)
+def slots(raw: bytes, before: bytes = PREFIX) -> list[np.ndarray]:
+    """Codes of the n-grams of orders 1 to 4 that end at each byte of `raw`, from the one before its first on (order 4: from the first on)."""
+    a = np.frombuffer(before + raw, dtype=np.uint8).astype(np.uint32)
     n = len(raw) + 1
     last = [a[ORDER - 2 - k : ORDER - 2 - k + n] for k in range(ORDER - 1)]
     one, two = last[0], last[0] | last[1] << 8
     three = two | last[2] << 16
-    four = three[1:] | a[: n - 1] << 24
-    mixed = lambda code: (code * np.uint32(2654435761)) >> np.uint32(14)
-    return [one.astype(np.int64), two.astype(np.int64), mixed(three).astype(np.int64), mixed(four).astype(np.int64)]
+    return [one, two, three, three[1:] | a[: n - 1] << 24]
 
 
-def _add(table: np.ndarray, raw: bytes) -> None:
-    """Counts of every order over `raw`; the n-grams that only serve as context of its first byte count too."""
-    for k, at in enumerate(slots(raw)):
-        table[STARTS[k] : STARTS[k + 1]] += np.bincount(at, minlength=SLOTS[k])
+def _parts(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Pieces of at most CHUNK bytes, each with the bytes before it."""
+    for a in range(0, max(1, len(raw)), CHUNK):
+        yield raw[a : a + CHUNK], (PREFIX + raw[max(0, a - len(PREFIX)) : a])[-len(PREFIX) :]
+
+
+def gram(order: int, codes: np.ndarray) -> np.ndarray:
+    """One long for an n-gram of any order."""
+    return codes.astype(np.int64) | np.int64(order << 32)
+
+
+def count_grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, counts) over texts; an n-gram of a piece's start counts where it serves as context. Gram 0 holds the count of order 1 in all."""
+    held: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+    for raw in raws:
+        for k, (part, before) in enumerate(_parts(raw)):
+            for order, codes in enumerate(slots(part, before)):
+                held[order].append(codes if k == 0 or order == ORDER - 1 else codes[1:])  # a later piece's first context counted with the one before it
+    grams, counts = [np.zeros(1, dtype=np.int64)], [np.array([sum(map(len, held[0]))], dtype=np.int64)]
+    for order, codes in enumerate(held):
+        found, n = np.unique(np.concatenate(codes), return_counts=True)
+        grams.append(gram(order + 1, found))
+        counts.append(n.astype(np.int64))
+    return np.concatenate(grams), np.concatenate(counts)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a block each; a task opens the next block when one is full."""
+    block, size = (TaskContext.get().partitionId() + 1) << 32, 0
+    for batch in batches:
+        blocks = []
+        for text in batch.column(1):
+            if size >= BLOCK:
+                block, size = block + 1, 0
+            blocks.append(block)
+            size += len(text.as_py().encode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=["doc_id", "text", "group_no", "good", "block"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with group and flag -> (group_no, slot, n_all, n_good). Texts of one kind are counted together, with the prefix between them."""
-    table = np.zeros((len(LANGUAGES) + 1, 2, STARTS[-1]), dtype=np.int64)
-    held: dict[tuple[int, bool], list[bytes]] = {}
-    sizes: dict[tuple[int, bool], int] = {}
-
-    def flush(kind: tuple[int, bool]) -> None:
-        own = np.zeros(STARTS[-1], dtype=np.int64)
-        _add(own, PREFIX.join(held.pop(kind)))
-        table[kind[0], 0] += own
-        if kind[1]:
-            table[kind[0], 1] += own
-        sizes[kind] = 0
+    """Texts with group, flag and block -> (block, group_no, gram, n_all, n_good), rows of a block in pieces of CHUNK bytes."""
+    held: dict[tuple[int, int, bool], list[bytes]] = {}
+    size = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for (block, group, good), raws in held.items():
+            grams, n = count_grams(raws)
+            same = [pa.array(np.full(len(n), x, dtype=np.int64)) for x in (block, group)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(grams), pa.array(n), pa.array(n if good else np.zeros_like(n))], names=["block", "group_no", "gram", "n_all", "n_good"])
+        held.clear()
 
     for batch in batches:
-        for text, group, good in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw, kind = text.as_py().encode("utf-8", "replace"), (group, good)
-            for a in range(0, max(1, len(raw)), CHUNK):
-                held.setdefault(kind, []).append(raw[a : a + CHUNK])
-                sizes[kind] = sizes.get(kind, 0) + CHUNK if len(raw) > CHUNK else sizes.get(kind, 0) + len(raw)
-                if sizes[kind] >= CHUNK:
-                    flush(kind)
-    for kind in list(held):
-        flush(kind)
-    groups, at = np.nonzero(table[:, 0])
-    for k in range(0, len(at), 1 << 18):
-        g, s = groups[k : k + (1 << 18)], at[k : k + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), pa.array(table[g, 0, s]), pa.array(table[g, 1, s])], names=["group_no", "slot", "n_all", "n_good"])
-
-
-def bits(raw: bytes, tables: np.ndarray) -> tuple[float, float]:
-    """Total loss of `raw` in bits under the background and the target model; tables: counts of both, all orders."""
+        for text, group, good, block in zip(batch.column(0), *[c.to_pylist() for c in batch.columns[1:]], strict=True):
+            raw = text.as_py().encode("utf-8", "replace")
+            held.setdefault((block, group, good), []).append(raw)
+            size += len(raw)
+            if size >= CHUNK:
+                yield from flushed()
+                size = 0
+    yield from flushed()
+
+
+def bits(raw: bytes, tables: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Total loss of `raw` in bits under the background and the target model; tables: sorted n-grams, and counts of both models (2 rows)."""
     total = np.zeros(2)
-    for a in range(0, len(raw), CHUNK):
-        part = raw[a : a + CHUNK]
-        found = slots(part)
+    for part, before in _parts(raw) if raw else ():
+        n = len(part)
+        found = slots(part, before)
+        grams, counts = tables
+        at = [np.searchsorted(grams, gram(k + 1, codes)) for k, codes in enumerate(found)]
         for m in range(2):
-            p = np.full(len(part), UNIFORM)
+            p = np.full(n, UNIFORM)
             for k in range(ORDER):
-                own = tables[m, STARTS[k] : STARTS[k + 1]]
-                count = own[found[k][-len(part) :]]
-                context = own.sum() if k == 0 else tables[m, STARTS[k - 1] : STARTS[k]][found[k - 1][: len(part)]]
+                count = counts[m][at[k][-n:]]
+                context = counts[m][0] if k == 0 else counts[m][at[k - 1][:n]]
                 p += LAMBDAS[k] * np.minimum(1.0, count / np.maximum(context, 1.0))
             total[m] -= np.log2(p).sum()
     return float(total[0]), float(total[1])
 
 
+def _scored(docs: pa.Table, needed: pa.Table) -> pa.Table:
+    """The documents of one block, with the counts of every n-gram in them."""
+    groups, grams = np.array(needed["group_no"]), np.array(needed["gram"])
+    both = np.stack([np.array(needed["n_all"]), np.array(needed["n_good"])]).astype(np.float64)
+    tables = {}
+    for g in np.unique(groups).tolist():
+        own = np.flatnonzero(groups == g)
+        own = own[np.argsort(grams[own], kind="stable")]
+        counts = both[:, own]
+        tables[g] = (grams[own], counts if counts[1, 0] else counts[[0, 0]])  # gram 0 comes first: without target text the background stands in
+    raws = [t.as_py().encode("utf-8", "replace") for t in docs["text"]]
+    losses = np.array([bits(raw, tables[g]) for raw, g in zip(raws, docs["group_no"].to_pylist(), strict=True)]).reshape(len(raws), 2)
+    n = np.array([len(raw) for raw in raws], dtype=np.int64)
+    score = (losses[:, 1] - losses[:, 0]) / np.maximum(n, 1)
+    return pa.table([docs["doc_id"], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]), pa.array(score)], names=["doc_id", "n_tokens", "background_bits", "target_bits", "score"])
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality") -> DataFrame:
     """(doc_id, n_tokens, background_bits, target_bits, score) for every row of `docs`.
 
@@ -107,27 +151,14 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     background alone: 0. Repeated rows count as often as they occur; null ids have no label.
     Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), language_group(docs, lang_col, LANGUAGES).alias("group_no"))
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("labelled", F.lit(True))
     # labels grow with the documents, so they are never broadcast: one plan at every size
-    flagged = picked.join(good.hint("merge"), "doc_id", "left").select("text", "group_no", F.coalesce("labelled", F.lit(False)).alias("good"))
-    sums = flagged.mapInArrow(_counts, "group_no long, slot long, n_all long, n_good long").groupBy("group_no", "slot").agg(F.sum("n_all").alias("n_all"), F.sum("n_good").alias("n_good"))
-    tables = np.zeros((len(LANGUAGES) + 1, 2, STARTS[-1]), dtype=np.float32)
-    found = sums.toArrow()  # a row for each slot and language group at most
-    g, s = np.array(found["group_no"]), np.array(found["slot"])
-    tables[g, 0, s], tables[g, 1, s] = np.array(found["n_all"]), np.array(found["n_good"])
-    bare = ~tables[:, 1].any(axis=1)
-    tables[bare, 1] = tables[bare, 0]
-    shared = spark.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            raws = [t.as_py().encode("utf-8", "replace") for t in batch.column(1)]
-            losses = np.array([bits(raw, own[g]) for raw, g in zip(raws, batch.column(2).to_pylist(), strict=True)]).reshape(len(raws), 2)
-            n = np.array([len(raw) for raw in raws], dtype=np.int64)
-            score = (losses[:, 1] - losses[:, 0]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]), pa.array(score)], names=["doc_id", "n_tokens", "background_bits", "target_bits", "score"])
-
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, background_bits double, target_bits double, score double")
+    flagged = picked.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", "group_no", F.coalesce("labelled", F.lit(False)).alias("good"))
+    dealt = store(flagged.mapInArrow(_dealt, "doc_id long, text string, group_no long, good boolean, block long"), "lm-docs")
+    parts = dealt.select("text", "group_no", "good", "block").mapInArrow(_counts, "block long, group_no long, gram long, n_all long, n_good long")
+    parts = store(parts, "lm-grams")
+    model = parts.groupBy("group_no", "gram").agg(F.sum("n_all").alias("n_all"), F.sum("n_good").alias("n_good"))
+    needed = parts.select("block", "group_no", "gram").distinct().join(model.hint("merge"), ["group_no", "gram"])
+    blocks = dealt.select("doc_id", "text", "group_no", "block").groupBy("block").cogroup(needed.groupBy("block"))
+    return blocks.applyInArrow(_scored, "doc_id long, n_tokens long, background_bits double, target_bits double, score double")

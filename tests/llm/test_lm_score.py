@@ -72,3 +72,14 @@ def test_nulls_long_texts_and_empty_tables(spark):
     assert cross_entropy_difference(df.limit(0), none).count() == 0
     tables = np.ones((2, 1), dtype=np.float32)
     assert bits(b"", tables) == (0.0, 0.0)
+
+
+def test_losses_equal_brute_force(spark):
+    """No two n-grams share a count, and no n-gram lies across two texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in rows], "doc_id long, quality int")
+    named = {r.doc_id: r.lang if r.lang in ("en", "de", "fr", "es") else "" for r in rows}
+    want = brute({r.doc_id: r.text or "" for r in rows}, {r.doc_id for r in rows if r.doc_id % 2}, named)
+    for r in cross_entropy_difference(docs, labels).collect():
+        assert [r.background_bits, r.target_bits] == pytest.approx(want[r.doc_id], rel=1e-9, abs=1e-6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from propspark.functions import odds as O
 from propspark.operators import models as M
 from propspark.queries.registry import query
-from propspark.views import table, view, with_views
+from propspark.views import league_games, table, view, with_views
 
 r6 = lambda c: F.round(c, 6)
 
@@ -94,8 +94,7 @@ def m09(spark, sf):
 
 @query("m10_elo")
 def m10(spark, sf):
-    g = view(spark, sf, "team_game").withColumn("league", (F.col("home_team") % 2).cast("int")).where("home_team % 2 = away_team % 2")
-    return M.elo(g, "league", ["day"])
+    return M.elo(league_games(spark, sf), "league", ["day"])
 
 
 @query("m12_pair_factors")

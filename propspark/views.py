@@ -6,6 +6,7 @@ The same SQL text runs in Spark and in the oracle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUOTES = """
 SELECT DATE '2024-04-01' + CAST(player_id % 180 AS INT) AS prop_date,
@@ -72,3 +73,22 @@ def with_views(sql: str, *names: str) -> str:
     """`sql` behind the named views as common table expressions over plain table names."""
     parts = [f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names]
     return f"WITH {', '.join(parts)}{sql}" if sql.startswith(",") else f"WITH {', '.join(parts)} {sql}"
+
+
+def league_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a game of a league: 30 customers make one, and both teams are among them.
+
+    The number of leagues grows with the customers, and a league has its customers' orders.
+    """
+    o, place = table(spark, sf_dir, "orders"), F.col("o_custkey") % 30
+    first = F.col("o_custkey") - place
+    return o.select(
+        F.col("o_orderkey").alias("game_id"),
+        F.to_date("o_orderdate").alias("day"),
+        F.year("o_orderdate").cast("int").alias("season"),
+        (first / 30).cast("long").alias("league"),
+        F.col("o_custkey").cast("long").alias("home_team"),
+        (first + (place + 1 + F.col("o_orderkey") % 29) % 30).cast("long").alias("away_team"),
+        (F.col("o_orderkey") * 7 % 11).cast("int").alias("home_score"),
+        (F.col("o_orderkey") * 5 % 9).cast("int").alias("away_score"),
+    )

@@ -18,3 +18,10 @@ def test_both_teams_are_of_the_league(spark):
     assert g.where("home_team = away_team OR floor(home_team / 30) <> league OR floor(away_team / 30) <> league").count() == 0
     customers = spark.read.parquet(f"{SF}/customer.parquet").count()
     assert g.select("league").distinct().count() >= customers // 30
+
+
+def test_matrix_rates_league_by_league(spark):
+    got = QUERIES["c11_game_matrix"](spark, SF).where("game_id < 10000000")
+    assert got.select("league").distinct().count() == league_games(spark, SF).select("league").distinct().count() > 1
+    apart = QUERIES["m10_elo"](spark, SF).withColumnsRenamed({"home_elo": "h", "away_elo": "a"})
+    assert got.join(apart, "game_id").where("abs(home_elo - h) > 1e-9 OR abs(away_elo - a) > 1e-9").count() == 0

@@ -68,7 +68,7 @@ def m06(spark, sf):
 def m07(spark, sf):
     q = view(spark, sf, "quotes").where("book_id IN (1, 2)").withColumn("fair", O.devig("over_odds", "under_odds"))
     q = q.withColumn("row_id", F.xxhash64("player_id", "book_id", "line")).withColumn("p_model", 0.35 + (F.col("player_id") % 31) / 100).withColumn("won", (F.col("actual") > F.col("line")).cast("int"))
-    return M.walk_forward_blend(q, "prop_date", ["fair", "p_model"], "won", "row_id", 30, 50)
+    return M.walk_forward_blend(q, "prop_date", ["fair", "p_model"], "won", "row_id", 90, 50)
 
 
 @query("m08_gate")

@@ -1,13 +1,26 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models of bytes, one of labelled good documents and one of all documents, share
-one vocabulary (the 256 bytes), order and interpolation, so that they differ in their text
-alone. A document's score is the mean over its bytes of the target model's loss less the
-background model's: the lower, the more like the target. Both models are one Spark table of
-exact n-grams per language group, which grows with the corpus and is never collected.
-Documents are dealt into blocks of text. A block asks for each of its n-grams once, so a
-common n-gram has a row per block in the join with the counts, and is scored against what
-the join returns for it.
+Two bigram models of words, one of labelled good documents and one of all documents, share
+one vocabulary (all byte strings without white space), order and smoothing, so that they
+differ in their text alone. Each document is scored without its own counts, which both
+models would otherwise know by heart: a text that the corpus holds but once is not expected
+by itself, and one that it holds twice is. The score is the mean over a document's tokens
+of the target model's loss less the background model's: the lower, the more like the target.
+
+With c counts of a language group, w a word and h the word before it (a mark before the
+first and after the last one, which is predicted too),
+
+    P(w | h) = (c(h w) + PRIOR P(w)) / (c(h) + PRIOR)
+    P(w)     = (1 - NEW) c(w) / N + NEW S(w),    S(w) = 257^-(bytes of w + 1)
+
+S adds up to 1 over all byte strings, P(w) over all words, and so does P(w | h), as c(h) is
+the sum of c(h w). Counts are exact: an n-gram's key is a 64-bit hash of its words, under
+which 10^12 distinct n-grams are expected to hold 30,000 pairs of one key.
+
+Documents are dealt into blocks by a hash of their ids. A block sends each of its n-grams
+once, in one list for each range of keys; a range adds up what all blocks sent and answers
+each list with one of sums. The tables of counts grow with the corpus, are never collected,
+and no n-gram, however common, has more than one entry per block.
 """
 
 from __future__ import annotations
@@ -16,149 +29,196 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propspark.llm.common import language_group, store, text_or_empty
+from propspark.llm.common import language_group, text_or_empty
 
-ORDER = 4
-#: Interpolation weights of orders 1 to 4, and of a uniform byte. They add up to 1.
-LAMBDAS = (0.05, 0.15, 0.3, 0.49)
-UNIFORM = 0.01 / 256
+#: Weight of the word model in the bigram model, in words; weight of the spelling model in the word model.
+PRIOR, NEW = 8.0, 0.05
 #: Groups with models of their own; all other languages share one more.
 LANGUAGES = ("en", "de", "fr", "es")
-PREFIX = b"\n" * (ORDER - 1)
-#: Bytes whose n-grams are counted at once.
-CHUNK = 1 << 21
-#: Bytes of text after which a block of documents is full.
-BLOCK = 1 << 22
-
-
-def slots(raw: bytes, before: bytes = PREFIX) -> list[np.ndarray]:
-    """Codes of the n-grams of orders 1 to 4 that end at each byte of `raw`, from the one before its first on (order 4: from the first on)."""
-    a = np.frombuffer(before + raw, dtype=np.uint8).astype(np.uint32)
-    n = len(raw) + 1
-    last = [a[ORDER - 2 - k : ORDER - 2 - k + n] for k in range(ORDER - 1)]
-    one, two = last[0], last[0] | last[1] << 8
-    three = two | last[2] << 16
-    return [one, two, three, three[1:] | a[: n - 1] << 24]
-
-
-def _parts(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """Pieces of at most CHUNK bytes, each with the bytes before it."""
-    for a in range(0, max(1, len(raw)), CHUNK):
-        yield raw[a : a + CHUNK], (PREFIX + raw[max(0, a - len(PREFIX)) : a])[-len(PREFIX) :]
-
-
-def gram(order: int, codes: np.ndarray) -> np.ndarray:
-    """One long for an n-gram of any order."""
-    return codes.astype(np.int64) | np.int64(order << 32)
-
-
-def count_grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) over texts; an n-gram of a piece's start counts where it serves as context. Gram 0 holds the count of order 1 in all."""
-    held: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-    for raw in raws:
-        for k, (part, before) in enumerate(_parts(raw)):
-            for order, codes in enumerate(slots(part, before)):
-                held[order].append(codes if k == 0 or order == ORDER - 1 else codes[1:])  # a later piece's first context counted with the one before it
-    grams, counts = [np.zeros(1, dtype=np.int64)], [np.array([sum(map(len, held[0]))], dtype=np.int64)]
-    for order, codes in enumerate(held):
-        found, n = np.unique(np.concatenate(codes), return_counts=True)
-        grams.append(gram(order + 1, found))
-        counts.append(n.astype(np.int64))
-    return np.concatenate(grams), np.concatenate(counts)
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with a block each; a task opens the next block when one is full."""
-    block, size = (TaskContext.get().partitionId() + 1) << 32, 0
-    for batch in batches:
-        blocks = []
-        for text in batch.column(1):
-            if size >= BLOCK:
-                block, size = block + 1, 0
-            blocks.append(block)
-            size += len(text.as_py().encode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=["doc_id", "text", "group_no", "good", "block"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with group, flag and block -> (block, group_no, gram, n_all, n_good), rows of a block in pieces of CHUNK bytes."""
-    held: dict[tuple[int, int, bool], list[bytes]] = {}
-    size = 0
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        for (block, group, good), raws in held.items():
-            grams, n = count_grams(raws)
-            same = [pa.array(np.full(len(n), x, dtype=np.int64)) for x in (block, group)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(grams), pa.array(n), pa.array(n if good else np.zeros_like(n))], names=["block", "group_no", "gram", "n_all", "n_good"])
-        held.clear()
-
-    for batch in batches:
-        for text, group, good, block in zip(batch.column(0), *[c.to_pylist() for c in batch.columns[1:]], strict=True):
-            raw = text.as_py().encode("utf-8", "replace")
-            held.setdefault((block, group, good), []).append(raw)
-            size += len(raw)
-            if size >= CHUNK:
-                yield from flushed()
-                size = 0
-    yield from flushed()
-
-
-def bits(raw: bytes, tables: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Total loss of `raw` in bits under the background and the target model; tables: sorted n-grams, and counts of both models (2 rows)."""
-    total = np.zeros(2)
-    for part, before in _parts(raw) if raw else ():
-        n = len(part)
-        found = slots(part, before)
-        grams, counts = tables
-        at = [np.searchsorted(grams, gram(k + 1, codes)) for k, codes in enumerate(found)]
-        for m in range(2):
-            p = np.full(n, UNIFORM)
-            for k in range(ORDER):
-                count = counts[m][at[k][-n:]]
-                context = counts[m][0] if k == 0 else counts[m][at[k - 1][:n]]
-                p += LAMBDAS[k] * np.minimum(1.0, count / np.maximum(context, 1.0))
-            total[m] -= np.log2(p).sum()
-    return float(total[0]), float(total[1])
-
-
-def _scored(docs: pa.Table, needed: pa.Table) -> pa.Table:
-    """The documents of one block, with the counts of every n-gram in them."""
-    groups, grams = np.array(needed["group_no"]), np.array(needed["gram"])
-    both = np.stack([np.array(needed["n_all"]), np.array(needed["n_good"])]).astype(np.float64)
-    tables = {}
-    for g in np.unique(groups).tolist():
-        own = np.flatnonzero(groups == g)
-        own = own[np.argsort(grams[own], kind="stable")]
-        counts = both[:, own]
-        tables[g] = (grams[own], counts if counts[1, 0] else counts[[0, 0]])  # gram 0 comes first: without target text the background stands in
-    raws = [t.as_py().encode("utf-8", "replace") for t in docs["text"]]
-    losses = np.array([bits(raw, tables[g]) for raw, g in zip(raws, docs["group_no"].to_pylist(), strict=True)]).reshape(len(raws), 2)
-    n = np.array([len(raw) for raw in raws], dtype=np.int64)
-    score = (losses[:, 1] - losses[:, 0]) / np.maximum(n, 1)
-    return pa.table([docs["doc_id"], pa.array(n), pa.array(losses[:, 0]), pa.array(losses[:, 1]), pa.array(score)], names=["doc_id", "n_tokens", "background_bits", "target_bits", "score"])
+#: Bytes of text in a block, and in a partition of blocks.
+BLOCK, PARTITION = 1 << 23, 1 << 26
+SEED = 42
+#: Code of the mark before and after a text.
+MARK = 0
 
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality") -> DataFrame:
-    """(doc_id, n_tokens, background_bits, target_bits, score) for every row of `docs`.
 
-    The target is all documents that `labels` gives quality 1. The score is
-    (target_bits - background_bits) / n_tokens, 0 for null and empty texts. A language
-    group without target text, as any group of a table without labels, scores by the
-    background alone: 0. Repeated rows count as often as they occur; null ids have no label.
-    Other columns are not read; an empty table gives no rows.
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them evenly."""
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
+
+
+class Block:
+    """The tokens of a block's documents: n_words of each, and by token its document and the keys of its word, word before and pair.
+
+    A document without words has no tokens.
+    """
+
+    def __init__(self, texts: pa.Array, groups: np.ndarray):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        there = pc.not_equal(flat, "")
+        doc, coded = doc[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
+        words = [b"", *(w.as_py().encode("utf-8", "replace") for w in coded.dictionary)]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+        sizes = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+        self.n_words = np.bincount(doc, minlength=len(texts))
+        there = np.flatnonzero(self.n_words)
+        ends = np.cumsum(self.n_words)[there] + np.arange(1, len(there) + 1)
+        code = np.full(len(doc) + len(there), MARK, dtype=np.int64)
+        inner = np.ones(len(code), dtype=bool)
+        inner[ends - 1] = False
+        code[inner] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        before = np.roll(code, 1)  # the mark that ends a text comes before the next one
+        self.doc = np.repeat(there, self.n_words[there] + 1)
+        group = mixed_bits((groups.astype(np.uint64)[self.doc] + np.uint64(1)) * _A)
+        self.word = mixed_bits(hashes[code] ^ group)
+        self.before = mixed_bits(hashes[before] ^ group)
+        self.pair = mixed_bits(self.before * _A + self.word)
+        self.total = mixed_bits(group + _C)  # the key of all tokens of the group
+        self.spelled = np.power(257.0, -(sizes[code] + 1))
+
+    def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and how often they occur in all and in good documents."""
+        all_keys = [self.word, self.pair, self.total]
+        keys, n_all = np.unique(np.concatenate(all_keys), return_counts=True)
+        mine = good[self.doc]
+        some, n = np.unique(np.concatenate([k[mine] for k in all_keys]), return_counts=True)
+        n_good = np.zeros(len(keys), dtype=np.int64)
+        n_good[np.searchsorted(keys, some)] = n
+        return keys, n_all, n_good
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """How often each token's key occurs in the token's document."""
+        order = np.lexsort((keys, self.doc))
+        k, d = keys[order], self.doc[order]
+        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.r_[first, len(k)])
+        out = np.empty(len(k), dtype=np.int64)
+        out[order] = np.repeat(sizes, sizes)
+        return out
+
+
+def probability(pair, before, word, total, spelled):
+    """P(w | h) from the counts of pair, context, word and all tokens."""
+    seen = np.where(total > 0, (1 - NEW) * word / np.maximum(total, 1), 0.0)
+    low = np.where(total > 0, seen + NEW * spelled, spelled)
+    return (pair + PRIOR * low) / (before + PRIOR)
+
+
+def losses(block: Block, good: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits of each document under the background and the target model (2 rows), each without the document's own counts.
+
+    keys: sorted; counts: in all and in good documents (2 rows). Without other target text in its
+    group a document is scored by the background alone.
+    """
+    parts = [block.pair, block.before, block.word, block.total]
+    at = [np.searchsorted(keys, k) for k in parts]
+    own_word = block.own(block.word)
+    own_total = (block.n_words + 1)[block.doc]
+    # a context is the word of the token before, and the mark, which ends each text once, comes once before it
+    first = np.r_[True, block.doc[1:] != block.doc[:-1]] if len(block.doc) else np.zeros(0, dtype=bool)
+    own_before = np.where(first, 1, np.roll(own_word, 1))
+    own = [block.own(block.pair), own_before, own_word, own_total]
+    out = np.zeros((2, len(block.n_words)))
+    background = None
+    for m in range(2):
+        mine = 1 if m == 0 else good[block.doc]
+        left = [counts[m][i] - o * mine for i, o in zip(at, own, strict=True)]
+        p = probability(*left, block.spelled)
+        if m == 0:
+            background = p
+        else:
+            p = np.where(left[3] > 0, p, background)
+        out[m] = np.bincount(block.doc, weights=-np.log2(p), minlength=len(block.n_words))
+    return out
+
+
+def _flags(ids: pa.ChunkedArray, good_ids: pa.ChunkedArray) -> np.ndarray:
+    held = good_ids.drop_null()
+    return np.array(pc.fill_null(pc.is_in(ids, value_set=held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held, skip_nulls=True), False), dtype=bool)
+
+
+def _ranges(keys: np.ndarray, count: int) -> np.ndarray:
+    """Where each of `count` equal ranges of keys begins in sorted `keys`, and the end."""
+    step = (1 << 64) // count
+    return np.r_[np.searchsorted(keys, np.array([i * step for i in range(count)], dtype=np.uint64)), len(keys)]
+
+
+def _block_of(docs: pa.Table) -> Block:
+    return Block(docs["text"].combine_chunks(), np.array(docs["group_no"]))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def _asked(count: int):
+    def run(docs: pa.Table, good: pa.Table) -> pa.Table:
+        """A block's documents and its good ids -> its n-grams and their counts, one row per range of keys."""
+        names = ["block", "range_no", "keys", "n_all", "n_good"]
+        if not docs.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))], names=names)
+        keys, n_all, n_good = _block_of(docs).counts(_flags(docs["doc_id"], good["good_id"]))
+        ends = _ranges(keys, count)
+        columns = [_lists(keys.view(np.int64), ends, pa.int64()), *[_lists(n.astype(np.int32), ends, pa.int32()) for n in (n_all, n_good)]]
+        out = pa.table([pa.array(np.full(count, docs["block"][0].as_py())), pa.array(np.arange(count)), *columns], names=names)
+        return out.filter(pc.greater(pc.list_value_length(out["keys"]), 0))
+
+    return run
+
+
+def _answered(lists: pa.Table) -> pa.Table:
+    """The lists of one range -> for each block the sums over all blocks, key by key."""
+    sizes = np.array(pc.list_value_length(lists["keys"]))
+    keys, at = np.unique(np.array(pc.list_flatten(lists["keys"])), return_inverse=True)
+    sums = [np.bincount(at, weights=np.array(pc.list_flatten(lists[c])), minlength=len(keys)).astype(np.int64)[at] for c in ("n_all", "n_good")]
+    ends = np.r_[0, np.cumsum(sizes)]
+    return pa.table([lists["block"], lists["range_no"], *[_lists(s, ends, pa.int64()) for s in sums], pa.nulls(lists.num_rows, pa.int64())], names=["block", "range_no", "n_all", "n_good", "good_id"])
+
+
+def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """A block's documents with the answers to its lists and its good ids."""
+    block, good = _block_of(docs), _flags(docs["doc_id"], answers["good_id"])
+    sums = answers.filter(pc.is_valid(answers["range_no"])).sort_by("range_no")
+    counts = np.stack([np.array(pc.list_flatten(sums[c])) for c in ("n_all", "n_good")])
+    keys = np.unique(np.concatenate([block.word, block.pair, block.total]))
+    n = block.n_words
+    bits = losses(block, good, keys, counts)
+    per = bits / np.where(n > 0, n + 1, 1)
+    return pa.table([docs["doc_id"], *map(pa.array, (n, *bits, *per, per[1] - per[0]))], names=["doc_id", "n_tokens", "background_bits", "target_bits", "background_loss", "target_loss", "score"])
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality") -> DataFrame:
+    """(doc_id, n_tokens, background_bits, target_bits, background_loss, target_loss, score) for every row of `docs`.
+
+    Tokens are the words between ASCII white space, A-Z in lower case. Bits are a text's total
+    loss, losses its mean over the tokens and the end, score is target_loss less
+    background_loss. The target is all documents that `labels` gives quality 1. Null, empty
+    and word-free texts have 0 throughout. A document whose language group has no target text
+    but its own scores by the background alone: 0. Repeated rows are documents of their own,
+    which expect each other; null ids have no label. Other columns are not read; an empty
+    table gives no rows. The block of a very long text is as large as the text.
     """
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    count = size // BLOCK + 1
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION + 1)
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(SEED)), F.lit(count))
+    row_key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))  # rows without an id are dealt by text
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), language_group(docs, lang_col, LANGUAGES).alias("group_no"))
-    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("labelled", F.lit(True))
-    # labels grow with the documents, so they are never broadcast: one plan at every size
-    flagged = picked.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", "group_no", F.coalesce("labelled", F.lit(False)).alias("good"))
-    dealt = store(flagged.mapInArrow(_dealt, "doc_id long, text string, group_no long, good boolean, block long"), "lm-docs")
-    parts = dealt.select("text", "group_no", "good", "block").mapInArrow(_counts, "block long, group_no long, gram long, n_all long, n_good long")
-    parts = store(parts, "lm-grams")
-    model = parts.groupBy("group_no", "gram").agg(F.sum("n_all").alias("n_all"), F.sum("n_good").alias("n_good"))
-    needed = parts.select("block", "group_no", "gram").distinct().join(model.hint("merge"), ["group_no", "gram"])
-    blocks = dealt.select("doc_id", "text", "group_no", "block").groupBy("block").cogroup(needed.groupBy("block"))
-    return blocks.applyInArrow(_scored, "doc_id long, n_tokens long, background_bits double, target_bits double, score double")
+    dealt = picked.withColumn("block", block(row_key)).repartition(width, "block")  # both passes read this one shuffle
+    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("good_id")).where("good_id IS NOT NULL").distinct().withColumn("block", block(F.col("good_id")))
+    asked = dealt.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_asked(count), "block long, range_no long, keys array<long>, n_all array<int>, n_good array<int>")
+    sums = asked.groupBy("range_no").applyInArrow(_answered, "block long, range_no long, n_all array<long>, n_good array<long>, good_id long")
+    answers = sums.unionByName(good, allowMissingColumns=True)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id long, n_tokens long, background_bits double, target_bits double, background_loss double, target_loss double, score double")
+    return scored

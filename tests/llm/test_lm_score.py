@@ -2,56 +2,123 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from propspark.llm.lm_score import LAMBDAS, ORDER, PREFIX, UNIFORM, bits, cross_entropy_difference, slots
+from propspark.llm import lm_score
+from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, Block, cross_entropy_difference, losses, probability
 
+SF = "/root/testdata/sf0.001"
+COLUMNS = ("background_bits", "target_bits", "score")
 
-def brute(texts, good, groups):
-    """Losses by counting n-grams of bytes in dictionaries."""
+
+def tokens(text):
+    words = text.encode().lower().split() if text else []
+    return [*words, b""] if words else []
+
+
+def spelled(word):
+    return 257.0 ** -(len(word) + 1)
+
+
+def brute(rows, good):
+    """(background bits, target bits, score) by dictionaries of words; rows: (id, text, language)."""
     counts = {}
-    for d, t in texts.items():
-        raw = PREFIX + t.encode()
-        for model in [0] + [1] * (d in good):
-            c = counts.setdefault((groups[d], model), [Counter() for _ in range(ORDER + 1)])
-            for i in range(len(PREFIX) - 1, len(raw)):
-                for k in range(1, ORDER + 1):
-                    if i - k + 1 >= 0:
-                        c[k][raw[i - k + 1 : i + 1]] += 1
-    out = {}
-    for d, t in texts.items():
-        raw, losses = PREFIX + t.encode(), []
+
+    def grams(text):
+        t = tokens(text)
+        return Counter(t), Counter(zip([b"", *t], t, strict=False)), len(t)
+
+    for i, text, lang in rows:
+        uni, pairs, n = grams(text)
+        for model in [0] + [1] * (i in good):
+            held = counts.setdefault((lang, model), [Counter(), Counter(), 0])
+            held[0] += uni
+            held[1] += pairs
+            held[2] += n
+    out = []
+    for i, text, lang in rows:
+        own_uni, own_pairs, own_n = grams(text)
+        t, bits, back = tokens(text), [0.0, 0.0], []
         for model in (0, 1):
-            c = counts.get((groups[d], model)) or counts[groups[d], 0]
-            loss = 0
-            for i in range(len(PREFIX), len(raw)):
-                p = UNIFORM
-                for k in range(1, ORDER + 1):
-                    context = sum(c[1].values()) if k == 1 else c[k - 1][raw[i - k + 1 : i]]
-                    p += LAMBDAS[k - 1] * min(1, c[k][raw[i - k + 1 : i + 1]] / max(1, context))
-                loss -= math.log2(p)
-            losses.append(loss)
-        out[d] = losses
+            uni, pairs, n = counts.get((lang, model), (Counter(), Counter(), 0))
+            mine = model == 0 or i in good
+            total = n - own_n * mine
+            for k, (h, w) in enumerate(zip([b"", *t], t, strict=False)):
+                low = spelled(w) if not total else (1 - NEW) * (uni[w] - own_uni[w] * mine) / total + NEW * spelled(w)
+                p = (pairs[h, w] - own_pairs[h, w] * mine + PRIOR * low) / (uni[h] - own_uni[h] * mine + PRIOR)
+                if model == 0:
+                    back.append(p)
+                elif not total:
+                    p = back[k]
+                bits[model] -= math.log2(p)
+        out.append((i, *bits, (bits[1] - bits[0]) / max(1, len(t))))
     return out
 
 
-def test_slots_line_up():
-    raw = b"abcde"
-    one, two, three, four = slots(raw)
-    assert one.tolist() == list(b"\nabcde") and two[-1] == ord("e") | ord("d") << 8
-    assert len(three) == 6 and len(four) == 5
+def rows_of(df):
+    return sorted((r.doc_id if r.doc_id is not None else -1, *[r[c] for c in COLUMNS]) for r in df.collect())
+
+
+def near(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9, abs=1e-9)
+
 
+@pytest.mark.parametrize("block", [1 << 23, 20_000])
+def test_losses_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang if r.lang in LANGUAGES else "") for r in docs.collect()]
+    good = {i for i, _, _ in rows if i % 2}
+    labels = spark.createDataFrame([(i, int(i in good)) for i, _, _ in rows], "doc_id long, quality int")
+    near(rows_of(cross_entropy_difference(docs, labels)), sorted(brute(rows, good)))
 
-def test_losses_near_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
-    rows = docs.collect()
-    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in rows], "doc_id long, quality int")
-    want = brute({r.doc_id: r.text or "" for r in rows}, {r.doc_id for r in rows if r.doc_id % 2}, {r.doc_id: r.lang for r in rows})
-    got = cross_entropy_difference(docs, labels).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        # texts that are counted together see the prefix once between them, and hashed slots may collide
-        assert [r.background_bits, r.target_bits] == pytest.approx(want[r.doc_id], rel=0.1, abs=8)
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = rows_of(cross_entropy_difference(docs, labels))
+    for n, block in ((1, 1 << 23), (4, 50_000), (13, 5_000)):
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        near(rows_of(cross_entropy_difference(docs.repartition(n), labels)), want)
+
+
+def test_probabilities_add_up():
+    """Over all words that occur, and the share of the spelling model that is left to all others."""
+    text = "a b a c a b d e a b the of the a " * 3
+    t = tokens(text)
+    uni, pairs = Counter(t), Counter(zip([b"", *t], t, strict=False))
+    for h in uni:
+        p = [probability(pairs[h, w], uni[h], uni[w], len(t), spelled(w)) for w in uni]
+        rest = PRIOR * NEW * (1 - sum(map(spelled, uni))) / (uni[h] + PRIOR)
+        assert sum(p) <= 1 + 1e-9 and sum(p) + rest == pytest.approx(1, abs=1e-9)
+    assert sum(256.0**n * 257.0 ** -(n + 1) for n in range(8)) < 1
+    assert sum(probability(0, 0, 0, 0, spelled(w)) for w in uni) < 1
+
+
+def test_tokens_are_those_of_bytes_split():
+    texts = ["  a B\tc\n", "", " ", "x", "a\x0bb\x0cc  d\r\n e", "a\x1cb\x1fc", "a\xa0b É"]
+    block = Block(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=np.int64))
+    assert block.n_words.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(block.doc) == sum(n + 1 for n in block.n_words if n)
+    keys, n_all, n_good = block.counts(np.array([True] + [False] * (len(texts) - 1)))
+    assert n_all.sum() == 3 * len(block.doc) and n_good.sum() == 3 * 4
+    bits = losses(block, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]))
+    assert (bits[:, [1, 2]] == 0).all() and (bits[:, [0, 3, 4, 5, 6]] > 0).all()
+
+
+def test_a_text_that_occurs_twice_is_expected(spark):
+    """Without its own counts a text is known only where another document has it."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(300)]
+    texts += texts[:30]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    loss = {r.doc_id: r.background_loss for r in cross_entropy_difference(docs, labels).collect()}
+    twice, once = [loss[i] for i in [*range(30), *range(300, 330)]], [loss[i] for i in range(30, 300)]
+    assert max(twice) < min(once)
 
 
 def test_target_like_documents_score_lower(spark):
@@ -64,22 +131,22 @@ def test_target_like_documents_score_lower(spark):
 
 
 def test_nulls_long_texts_and_empty_tables(spark):
-    rows = [(1, None, "en", "x"), (1, None, "en", "x"), (None, "abc", None, "y"), (2, "ab " * 800_000, "de", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    rows = [(1, None, "en", "x", 1), (1, None, "en", "x", 1), (None, "abc", None, "y", 2), (2, "ab " * 800_000, "de", "z", 3), (3, " \n", "en", "", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, block int")
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = cross_entropy_difference(df, none).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in out) == [(-1, 3, 0.0), (1, 0, 0.0), (1, 0, 0.0), (2, 2_400_000, 0.0)]
+    assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in out) == [(-1, 1, 0.0), (1, 0, 0.0), (1, 0, 0.0), (2, 800_000, 0.0), (3, 0, 0.0)]
+    assert all(r.background_bits == r.target_bits == 0 for r in out if not r.n_tokens)
     assert cross_entropy_difference(df.limit(0), none).count() == 0
-    tables = np.ones((2, 1), dtype=np.float32)
-    assert bits(b"", tables) == (0.0, 0.0)
-
-
-def test_losses_equal_brute_force(spark):
-    """No two n-grams share a count, and no n-gram lies across two texts."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = docs.collect()
-    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in rows], "doc_id long, quality int")
-    named = {r.doc_id: r.lang if r.lang in ("en", "de", "fr", "es") else "" for r in rows}
-    want = brute({r.doc_id: r.text or "" for r in rows}, {r.doc_id for r in rows if r.doc_id % 2}, named)
-    for r in cross_entropy_difference(docs, labels).collect():
-        assert [r.background_bits, r.target_bits] == pytest.approx(want[r.doc_id], rel=1e-9, abs=1e-6)
+    bad = spark.createDataFrame([(None, 1), (2, 1), (2, None)], "doc_id long, quality int")
+    assert {r.score for r in cross_entropy_difference(df, bad).collect()} == {0.0}
+    assert cross_entropy_difference(df.withColumnRenamed("doc_id", "name"), none, id_col="name").count() == 5
+
+
+def test_repeated_rows_expect_each_other(spark):
+    df = spark.createDataFrame([(7, "one two three", "en")] * 2 + [(8, "four five six", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+    got = rows_of(cross_entropy_difference(df, labels))
+    near(got, sorted(brute(rows, {7})))
+    assert got[0] == got[1] and got[0][1] < got[2][1]

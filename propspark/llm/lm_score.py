@@ -11,11 +11,13 @@ With c counts of a language group, w a word and h the word before it (a mark bef
 first and after the last one, which is predicted too),
 
     P(w | h) = (c(h w) + PRIOR P(w)) / (c(h) + PRIOR)
-    P(w)     = (1 - NEW) c(w) / N + NEW S(w),    S(w) = 257^-(bytes of w + 1)
+    P(w)     = (1 - NEW) c(w) / N + NEW S(w)
 
-S adds up to 1 over all byte strings, P(w) over all words, and so does P(w | h), as c(h) is
-the sum of c(h w). Counts are exact: an n-gram's key is a 64-bit hash of its words, under
-which 10^12 distinct n-grams are expected to hold 30,000 pairs of one key.
+S spells a word byte by byte up to the space that ends it, by a trigram model of the bytes
+of all words of the group, smoothed in the same way down to 1 / 256. A document's own
+spelling stays in it. S adds up to 1 over all words, hence P(w) does, and so does P(w | h),
+as c(h) is the sum of c(h w). Counts are exact: an n-gram's key is a 64-bit hash of its
+words, under which 10^12 distinct n-grams are expected to hold 30,000 pairs of one key.
 
 Documents are dealt into blocks by a hash of their ids. A block sends each of its n-grams
 once, in one list for each range of keys; a range adds up what all blocks sent and answers
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 from propspark.llm.common import language_group, text_or_empty
 
-#: Weight of the word model in the bigram model, in words; weight of the spelling model in the word model.
-PRIOR, NEW = 8.0, 0.05
+#: Weight of the word model in the bigram model, in words; weight of the spelling model in the word model; weight of a shorter context in spelling, in bytes.
+PRIOR, NEW, SPELL_PRIOR = 16.0, 0.1, 4.0
 #: Groups with models of their own; all other languages share one more.
 LANGUAGES = ("en", "de", "fr", "es")
 #: Bytes of text in a block, and in a partition of blocks.
@@ -59,7 +61,9 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
 class Block:
     """The tokens of a block's documents: n_words of each, and by token its document and the keys of its word, word before and pair.
 
-    A document without words has no tokens.
+    A document without words has no tokens. `kind` is a token's word with its language group;
+    `spelling` holds for every byte of every kind, and the space at its end, the keys of the
+    trigram, its context, the bigram and its context (4 rows), `of` whose kind it is.
     """
 
     def __init__(self, texts: pa.Array, groups: np.ndarray):
@@ -70,7 +74,6 @@ class Block:
         doc, coded = doc[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
         words = [b"", *(w.as_py().encode("utf-8", "replace") for w in coded.dictionary)]
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
-        sizes = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
         self.n_words = np.bincount(doc, minlength=len(texts))
         there = np.flatnonzero(self.n_words)
         ends = np.cumsum(self.n_words)[there] + np.arange(1, len(there) + 1)
@@ -85,17 +88,39 @@ class Block:
         self.before = mixed_bits(hashes[before] ^ group)
         self.pair = mixed_bits(self.before * _A + self.word)
         self.total = mixed_bits(group + _C)  # the key of all tokens of the group
-        self.spelled = np.power(257.0, -(sizes[code] + 1))
+        kinds, self.kind = np.unique(groups[self.doc] * len(words) + code, return_inverse=True)
+        word, group = kinds % len(words), kinds // len(words)
+        raw = np.frombuffer(b"".join(b"  " + words[c] + b" " for c in word.tolist()), dtype=np.uint8).astype(np.uint64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[word] + 1
+        self.of = np.repeat(np.arange(len(kinds)), sizes)
+        at = np.arange(len(self.of)) + 2 * (self.of + 1)
+        a, b, x = raw[at - 2] if len(at) else raw, raw[at - 1] if len(at) else raw, raw[at] if len(at) else raw
+        grams = np.stack([a << 16 | b << 8 | x | 3 << 24, a << 16 | b << 8 | 2 << 24, b << 8 | x | 1 << 24, b << 8]).astype(np.uint64)
+        self.spelling = mixed_bits(mixed_bits(grams + _B) ^ mixed_bits((group.astype(np.uint64) + np.uint64(1)) * _C)[self.of])
 
     def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, and how often they occur in all and in good documents."""
-        all_keys = [self.word, self.pair, self.total]
-        keys, n_all = np.unique(np.concatenate(all_keys), return_counts=True)
-        mine = good[self.doc]
-        some, n = np.unique(np.concatenate([k[mine] for k in all_keys]), return_counts=True)
-        n_good = np.zeros(len(keys), dtype=np.int64)
-        n_good[np.searchsorted(keys, some)] = n
-        return keys, n_all, n_good
+        mine, kinds = good[self.doc], (self.kind.max(initial=-1) + 1)
+        keys, counts = self.keys(), []
+        letters, at = np.unique(self.spelling, return_inverse=True)
+        for tokens in (slice(None), mine):
+            n = np.zeros(len(keys), dtype=np.int64)
+            found, times = np.unique(np.concatenate([k[tokens] for k in (self.word, self.pair, self.total)]), return_counts=True)
+            n[np.searchsorted(keys, found)] = times
+            by_kind = np.bincount(self.kind[tokens], minlength=kinds)
+            n[np.searchsorted(keys, letters)] = np.bincount(at.ravel(), weights=np.tile(by_kind[self.of], 4), minlength=len(letters)).astype(np.int64)
+            counts.append(n)
+        return keys, *counts
+
+    def keys(self) -> np.ndarray:
+        """All distinct keys, sorted."""
+        return np.unique(np.concatenate([self.word, self.pair, self.total, np.unique(self.spelling)]))
+
+    def spelled(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probability of spelling each token's word."""
+        three, context, two, one = (counts[np.searchsorted(keys, k)] for k in self.spelling)
+        p = spelling_probability(three, context, two, one)
+        return np.exp2(np.bincount(self.of, weights=np.log2(p), minlength=self.kind.max(initial=-1) + 1))[self.kind]
 
     def own(self, keys: np.ndarray) -> np.ndarray:
         """How often each token's key occurs in the token's document."""
@@ -108,6 +133,11 @@ class Block:
         return out
 
 
+def spelling_probability(three, context, two, one):
+    """Of a byte, from the counts of trigram, its context of two, bigram, and its context of one."""
+    return (three + SPELL_PRIOR * (two + SPELL_PRIOR / 256) / (one + SPELL_PRIOR)) / (context + SPELL_PRIOR)
+
+
 def probability(pair, before, word, total, spelled):
     """P(w | h) from the counts of pair, context, word and all tokens."""
     seen = np.where(total > 0, (1 - NEW) * word / np.maximum(total, 1), 0.0)
@@ -134,7 +164,7 @@ def losses(block: Block, good: np.ndarray, keys: np.ndarray, counts: np.ndarray)
     for m in range(2):
         mine = 1 if m == 0 else good[block.doc]
         left = [counts[m][i] - o * mine for i, o in zip(at, own, strict=True)]
-        p = probability(*left, block.spelled)
+        p = probability(*left, block.spelled(keys, counts[m]))
         if m == 0:
             background = p
         else:
@@ -191,9 +221,7 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     block, good = _block_of(docs), _flags(docs["doc_id"], answers["good_id"])
     sums = answers.filter(pc.is_valid(answers["range_no"])).sort_by("range_no")
     counts = np.stack([np.array(pc.list_flatten(sums[c])) for c in ("n_all", "n_good")])
-    keys = np.unique(np.concatenate([block.word, block.pair, block.total]))
-    n = block.n_words
-    bits = losses(block, good, keys, counts)
+    n, bits = block.n_words, losses(block, good, block.keys(), counts)
     per = bits / np.where(n > 0, n + 1, 1)
     return pa.table([docs["doc_id"], *map(pa.array, (n, *bits, *per, per[1] - per[0]))], names=["doc_id", "n_tokens", "background_bits", "target_bits", "background_loss", "target_loss", "score"])
 

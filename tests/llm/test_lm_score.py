@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from propspark.llm import lm_score
-from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, Block, cross_entropy_difference, losses, probability
+from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, SPELL_PRIOR, Block, cross_entropy_difference, losses, probability, spelling_probability
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ("background_bits", "target_bits", "score")
@@ -17,8 +17,22 @@ def tokens(text):
     return [*words, b""] if words else []
 
 
-def spelled(word):
-    return 257.0 ** -(len(word) + 1)
+def letters(uni):
+    """Counts of byte strings of one to three bytes before and at each byte of the words."""
+    out = Counter()
+    for word, n in uni.items():
+        raw = b"  " + word + b" "
+        for i in range(2, len(raw)):
+            out.update({("3", raw[i - 2 : i + 1]): n, ("c3", raw[i - 2 : i]): n, ("2", raw[i - 1 : i + 1]): n, ("c2", raw[i - 1 : i]): n})
+    return out
+
+
+def spelled(word, held):
+    raw, p = b"  " + word + b" ", 1.0
+    for i in range(2, len(raw)):
+        low = (held["2", raw[i - 1 : i + 1]] + SPELL_PRIOR / 256) / (held["c2", raw[i - 1 : i]] + SPELL_PRIOR)
+        p *= (held["3", raw[i - 2 : i + 1]] + SPELL_PRIOR * low) / (held["c3", raw[i - 2 : i]] + SPELL_PRIOR)
+    return p
 
 
 def brute(rows, good):
@@ -36,6 +50,7 @@ def brute(rows, good):
             held[0] += uni
             held[1] += pairs
             held[2] += n
+    spelling = {k: letters(v[0]) for k, v in counts.items()}
     out = []
     for i, text, lang in rows:
         own_uni, own_pairs, own_n = grams(text)
@@ -45,7 +60,8 @@ def brute(rows, good):
             mine = model == 0 or i in good
             total = n - own_n * mine
             for k, (h, w) in enumerate(zip([b"", *t], t, strict=False)):
-                low = spelled(w) if not total else (1 - NEW) * (uni[w] - own_uni[w] * mine) / total + NEW * spelled(w)
+                base = spelled(w, spelling.get((lang, model), Counter()))
+                low = base if not total else (1 - NEW) * (uni[w] - own_uni[w] * mine) / total + NEW * base
                 p = (pairs[h, w] - own_pairs[h, w] * mine + PRIOR * low) / (uni[h] - own_uni[h] * mine + PRIOR)
                 if model == 0:
                     back.append(p)
@@ -89,12 +105,17 @@ def test_probabilities_add_up():
     text = "a b a c a b d e a b the of the a " * 3
     t = tokens(text)
     uni, pairs = Counter(t), Counter(zip([b"", *t], t, strict=False))
+    held = letters(uni)
+    base = {w: spelled(w, held) for w in uni}
     for h in uni:
-        p = [probability(pairs[h, w], uni[h], uni[w], len(t), spelled(w)) for w in uni]
-        rest = PRIOR * NEW * (1 - sum(map(spelled, uni))) / (uni[h] + PRIOR)
+        p = [probability(pairs[h, w], uni[h], uni[w], len(t), base[w]) for w in uni]
+        rest = PRIOR * NEW * (1 - sum(base.values())) / (uni[h] + PRIOR)
         assert sum(p) <= 1 + 1e-9 and sum(p) + rest == pytest.approx(1, abs=1e-9)
-    assert sum(256.0**n * 257.0 ** -(n + 1) for n in range(8)) < 1
-    assert sum(probability(0, 0, 0, 0, spelled(w)) for w in uni) < 1
+    assert sum(probability(0, 0, 0, 0, base[w]) for w in uni) < 1
+    for a, b in ((32, 32), (32, 97), (97, 98), (97, 32), (1, 2)):
+        context, one = held["c3", bytes([a, b])], held["c2", bytes([b])]
+        p = [spelling_probability(held["3", bytes([a, b, x])], context, held["2", bytes([b, x])], one) for x in range(256)]
+        assert sum(p) == pytest.approx(1, abs=1e-9)
 
 
 def test_tokens_are_those_of_bytes_split():
@@ -103,7 +124,8 @@ def test_tokens_are_those_of_bytes_split():
     assert block.n_words.tolist() == [len(t.encode().split()) for t in texts]
     assert len(block.doc) == sum(n + 1 for n in block.n_words if n)
     keys, n_all, n_good = block.counts(np.array([True] + [False] * (len(texts) - 1)))
-    assert n_all.sum() == 3 * len(block.doc) and n_good.sum() == 3 * 4
+    letters_of = lambda t: 4 * sum(len(w) + 1 for w in tokens(t))
+    assert n_all.sum() == 3 * len(block.doc) + sum(map(letters_of, texts)) and n_good.sum() == 3 * 4 + letters_of(texts[0])
     bits = losses(block, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]))
     assert (bits[:, [1, 2]] == 0).all() and (bits[:, [0, 3, 4, 5, 6]] > 0).all()
 
@@ -140,7 +162,7 @@ def test_nulls_long_texts_and_empty_tables(spark):
     assert cross_entropy_difference(df.limit(0), none).count() == 0
     bad = spark.createDataFrame([(None, 1), (2, 1), (2, None)], "doc_id long, quality int")
     assert {r.score for r in cross_entropy_difference(df, bad).collect()} == {0.0}
-    assert cross_entropy_difference(df.withColumnRenamed("doc_id", "name"), none, id_col="name").count() == 5
+    assert cross_entropy_difference(df.withColumnRenamed("doc_id", "name"), none.withColumnRenamed("doc_id", "name"), id_col="name").count() == 5
 
 
 def test_repeated_rows_expect_each_other(spark):

@@ -45,6 +45,8 @@ LANGUAGES = ("en", "de", "fr", "es")
 #: Bytes of text in a block, and in a partition of blocks.
 BLOCK, PARTITION = 1 << 23, 1 << 26
 SEED = 42
+#: Bytes of text whose tokens are held at once.
+CHUNK = 1 << 19
 #: Code of the mark before and after a text.
 MARK = 0
 
@@ -58,8 +60,8 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Block:
-    """The tokens of a block's documents: n_words of each, and by token its document and the keys of its word, word before and pair.
+class Chunk:
+    """The tokens of some documents: n_words of each, and by token its document and the keys of its word, word before and pair.
 
     A document without words has no tokens. `kind` is a token's word with its language group;
     `spelling` holds for every byte of every kind, and the space at its end, the keys of the
@@ -124,12 +126,10 @@ class Block:
 
     def own(self, keys: np.ndarray) -> np.ndarray:
         """How often each token's key occurs in the token's document."""
-        order = np.lexsort((keys, self.doc))
-        k, d = keys[order], self.doc[order]
-        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, dtype=np.int64)
-        sizes = np.diff(np.r_[first, len(k)])
-        out = np.empty(len(k), dtype=np.int64)
-        out[order] = np.repeat(sizes, sizes)
+        out, ends = np.empty(len(keys), dtype=np.int64), np.flatnonzero(np.diff(self.doc, append=-1)) + 1
+        for a, b in zip([0, *ends], ends, strict=False):
+            _, at, n = np.unique(keys[a:b], return_inverse=True, return_counts=True)
+            out[a:b] = n[at]
         return out
 
 
@@ -145,7 +145,7 @@ def probability(pair, before, word, total, spelled):
     return (pair + PRIOR * low) / (before + PRIOR)
 
 
-def losses(block: Block, good: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def losses(block: Chunk, good: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bits of each document under the background and the target model (2 rows), each without the document's own counts.
 
     keys: sorted; counts: in all and in good documents (2 rows). Without other target text in its
@@ -178,50 +178,76 @@ def _flags(ids: pa.ChunkedArray, good_ids: pa.ChunkedArray) -> np.ndarray:
     return np.array(pc.fill_null(pc.is_in(ids, value_set=held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held, skip_nulls=True), False), dtype=bool)
 
 
-def _ranges(keys: np.ndarray, count: int) -> np.ndarray:
-    """Where each of `count` equal ranges of keys begins in sorted `keys`, and the end."""
-    step = (1 << 64) // count
-    return np.r_[np.searchsorted(keys, np.array([i * step for i in range(count)], dtype=np.uint64)), len(keys)]
+def chunks_of(docs: pa.Table) -> Iterator[tuple[int, int, Chunk]]:
+    """(first row, row after the last, tokens) of runs of rows of about CHUNK bytes."""
+    texts, groups = docs["text"].combine_chunks(), np.array(docs["group_no"])
+    past = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK
+    cuts = [0, *(np.flatnonzero(np.diff(past)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield a, b, Chunk(texts[a:b], groups[a:b])
 
 
-def _block_of(docs: pa.Table) -> Block:
-    return Block(docs["text"].combine_chunks(), np.array(docs["group_no"]))
+def added(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys with the sums of their counts."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, *(np.bincount(at, weights=c, minlength=len(found)).astype(np.int64) for c in counts)
 
 
-def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits byte plane by byte plane, compressed; neighbours in a sorted list differ in few planes."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * count, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, count).T).view(np.uint64).reshape(count)
+
+
+ASKED = "block long, range_no long, n long, keys binary, n_all binary, n_good binary"
+ANSWER = "block long, range_no long, n long, n_all binary, n_good binary"
+
+
+def _table(rows: list[tuple], kinds: str) -> pa.Table:
+    names, types = zip(*(c.split() for c in kinds.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array(c, pa.int64() if t == "long" else pa.binary()) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
 def _asked(count: int):
     def run(docs: pa.Table, good: pa.Table) -> pa.Table:
-        """A block's documents and its good ids -> its n-grams and their counts, one row per range of keys."""
-        names = ["block", "range_no", "keys", "n_all", "n_good"]
+        """A block's documents and its good ids -> its n-grams, as differences of sorted keys, and their counts: one row per range of keys."""
         if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))], names=names)
-        keys, n_all, n_good = _block_of(docs).counts(_flags(docs["doc_id"], good["good_id"]))
-        ends = _ranges(keys, count)
-        columns = [_lists(keys.view(np.int64), ends, pa.int64()), *[_lists(n.astype(np.int32), ends, pa.int32()) for n in (n_all, n_good)]]
-        out = pa.table([pa.array(np.full(count, docs["block"][0].as_py())), pa.array(np.arange(count)), *columns], names=names)
-        return out.filter(pc.greater(pc.list_value_length(out["keys"]), 0))
+            return _table([], ASKED)
+        flags = _flags(docs["doc_id"], good["good_id"])
+        parts = [chunk.counts(flags[a:b]) for a, b, chunk in chunks_of(docs)]
+        keys, n_all, n_good = added(*map(np.concatenate, zip(*parts, strict=True)))
+        step, block = (1 << 64) // count, docs["block"][0].as_py()
+        ends = [*np.searchsorted(keys, np.array([i * step for i in range(count)], dtype=np.uint64)).tolist(), len(keys)]
+        cuts = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+        return _table([(block, i, c.stop - c.start, packed(np.diff(keys[c], prepend=np.uint64(0))), packed(n_all[c]), packed(n_good[c])) for i, c in cuts], ASKED)
 
     return run
 
 
 def _answered(lists: pa.Table) -> pa.Table:
     """The lists of one range -> for each block the sums over all blocks, key by key."""
-    sizes = np.array(pc.list_value_length(lists["keys"]))
-    keys, at = np.unique(np.array(pc.list_flatten(lists["keys"])), return_inverse=True)
-    sums = [np.bincount(at, weights=np.array(pc.list_flatten(lists[c])), minlength=len(keys)).astype(np.int64)[at] for c in ("n_all", "n_good")]
-    ends = np.r_[0, np.cumsum(sizes)]
-    return pa.table([lists["block"], lists["range_no"], *[_lists(s, ends, pa.int64()) for s in sums], pa.nulls(lists.num_rows, pa.int64())], names=["block", "range_no", "n_all", "n_good", "good_id"])
+    rows = lists.to_pylist()
+    keys = [np.cumsum(unpacked(r["keys"], r["n"]), dtype=np.uint64) for r in rows]
+    found, *sums = added(np.concatenate(keys), *(np.concatenate([unpacked(r[c], r["n"]) for r in rows]) for c in ("n_all", "n_good")))
+    at = [np.searchsorted(found, k) for k in keys]
+    return _table([(r["block"], r["range_no"], r["n"], *(packed(s[i]) for s in sums)) for r, i in zip(rows, at, strict=True)], ANSWER)
 
 
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """A block's documents with the answers to its lists and its good ids."""
-    block, good = _block_of(docs), _flags(docs["doc_id"], answers["good_id"])
-    sums = answers.filter(pc.is_valid(answers["range_no"])).sort_by("range_no")
-    counts = np.stack([np.array(pc.list_flatten(sums[c])) for c in ("n_all", "n_good")])
-    n, bits = block.n_words, losses(block, good, block.keys(), counts)
+    flags = _flags(docs["doc_id"], answers["good_id"])
+    rows = sorted((r for r in answers.drop_columns("good_id").to_pylist() if r["n"] is not None), key=lambda r: r["range_no"])
+    counts = np.stack([np.concatenate([unpacked(r[c], r["n"]) for r in rows]).astype(np.int64) for c in ("n_all", "n_good")]) if rows else np.zeros((2, 0))
+    keys = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(chunk.keys() for _, _, chunk in chunks_of(docs))]))
+    n, bits = np.zeros(docs.num_rows, dtype=np.int64), np.zeros((2, docs.num_rows))
+    for a, b, chunk in chunks_of(docs):
+        n[a:b], bits[:, a:b] = chunk.n_words, losses(chunk, flags[a:b], keys, counts)
     per = bits / np.where(n > 0, n + 1, 1)
     return pa.table([docs["doc_id"], *map(pa.array, (n, *bits, *per, per[1] - per[0]))], names=["doc_id", "n_tokens", "background_bits", "target_bits", "background_loss", "target_loss", "score"])
 
@@ -245,8 +271,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), language_group(docs, lang_col, LANGUAGES).alias("group_no"))
     dealt = picked.withColumn("block", block(row_key)).repartition(width, "block")  # both passes read this one shuffle
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("good_id")).where("good_id IS NOT NULL").distinct().withColumn("block", block(F.col("good_id")))
-    asked = dealt.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_asked(count), "block long, range_no long, keys array<long>, n_all array<int>, n_good array<int>")
-    sums = asked.groupBy("range_no").applyInArrow(_answered, "block long, range_no long, n_all array<long>, n_good array<long>, good_id long")
+    asked = dealt.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_asked(count), ASKED)
+    sums = asked.groupBy("range_no").applyInArrow(_answered, ANSWER)
     answers = sums.unionByName(good, allowMissingColumns=True)
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id long, n_tokens long, background_bits double, target_bits double, background_loss double, target_loss double, score double")
-    return scored
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id long, n_tokens long, background_bits double, target_bits double, background_loss double, target_loss double, score double")

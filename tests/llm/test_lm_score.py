@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from propspark.llm import lm_score
-from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, SPELL_PRIOR, Block, cross_entropy_difference, losses, probability, spelling_probability
+from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, SPELL_PRIOR, Chunk, cross_entropy_difference, losses, probability, spelling_probability
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ("background_bits", "target_bits", "score")
@@ -97,6 +97,7 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     want = rows_of(cross_entropy_difference(docs, labels))
     for n, block in ((1, 1 << 23), (4, 50_000), (13, 5_000)):
         monkeypatch.setattr(lm_score, "BLOCK", block)
+        monkeypatch.setattr(lm_score, "CHUNK", block // 3)
         near(rows_of(cross_entropy_difference(docs.repartition(n), labels)), want)
 
 
@@ -120,7 +121,7 @@ def test_probabilities_add_up():
 
 def test_tokens_are_those_of_bytes_split():
     texts = ["  a B\tc\n", "", " ", "x", "a\x0bb\x0cc  d\r\n e", "a\x1cb\x1fc", "a\xa0b É"]
-    block = Block(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=np.int64))
+    block = Chunk(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=np.int64))
     assert block.n_words.tolist() == [len(t.encode().split()) for t in texts]
     assert len(block.doc) == sum(n + 1 for n in block.n_words if n)
     keys, n_all, n_good = block.counts(np.array([True] + [False] * (len(texts) - 1)))

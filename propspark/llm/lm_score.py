@@ -13,8 +13,8 @@ first and after the last one, which is predicted too),
     P(w | h) = (c(h w) + PRIOR P(w)) / (c(h) + PRIOR)
     P(w)     = (1 - NEW) c(w) / N + NEW S(w)
 
-S spells a word byte by byte up to the space that ends it, by a trigram model of the bytes
-of all words of the group, smoothed in the same way down to 1 / 256. A document's own
+S spells a word byte by byte up to the space that ends it, by a bigram model of the bytes
+of all words of the group, smoothed by 1 / 256. A document's own
 spelling stays in it. S adds up to 1 over all words, hence P(w) does, and so does P(w | h),
 as c(h) is the sum of c(h w). Counts are exact: an n-gram's key is a 64-bit hash of its
 words, under which 10^12 distinct n-grams are expected to hold 30,000 pairs of one key.
@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +41,17 @@ from propspark.llm.common import language_group, text_or_empty
 PRIOR, NEW, SPELL_PRIOR = 16.0, 0.1, 4.0
 #: Groups with models of their own; all other languages share one more.
 LANGUAGES = ("en", "de", "fr", "es")
+#: Numbers of pairs of bytes by group come first, then those of single bytes.
+ONE_BYTE = (len(LANGUAGES) + 1) << 16
 #: Bytes of text in a block, and in a partition of blocks.
 BLOCK, PARTITION = 1 << 23, 1 << 26
 SEED = 42
 #: Bytes of text whose tokens are held at once.
 CHUNK = 1 << 19
-#: Code of the mark before and after a text.
-MARK = 0
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_P, *_ = _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _RANDOM[1:]
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -60,82 +61,103 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats: sorting takes a third of the time of np.unique's hash table."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits for each stretch of bytes: a polynomial of random numbers that stand for the bytes."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max(initial=1)) - 1, _P)], dtype=np.uint64)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    terms = _BYTES[raw[np.repeat(starts, sizes) + within]] * powers[within]
+    sums = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
+    ends = np.cumsum(sizes)
+    return mixed_bits((sums[ends] - sums[ends - sizes]) ^ (sizes.astype(np.uint64) * _A))
+
+
 class Chunk:
-    """The tokens of some documents: n_words of each, and by token its document and the keys of its word, word before and pair.
+    """The tokens of some documents: n_words of each, and by token its document and the keys of its word and pair.
 
-    A document without words has no tokens. `kind` is a token's word with its language group;
-    `spelling` holds for every byte of every kind, and the space at its end, the keys of the
-    trigram, its context, the bigram and its context (4 rows), `of` whose kind it is.
+    A document without words has no tokens; all others end in the mark. `first` holds where
+    texts begin, `last` where they end. `kind` is a token's word with its language group;
+    `letters` holds for every byte of every kind, and the space at its end, a number for
+    group, byte before and byte, and one for group and byte before; `of` whose kind it is.
     """
 
     def __init__(self, texts: pa.Array, groups: np.ndarray):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         flat = lists.flatten()
-        there = pc.not_equal(flat, "")
-        doc, coded = doc[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
-        words = [b"", *(w.as_py().encode("utf-8", "replace") for w in coded.dictionary)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+        sizes = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(flat.buffers()[2], dtype=np.uint8) if sizes.any() else np.zeros(0, dtype=np.uint8)
+        starts = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat)].astype(np.int64) if len(flat) else np.zeros(0, dtype=np.int64)
+        there = sizes > 0
+        doc, starts, sizes = doc[there], starts[there], sizes[there]
         self.n_words = np.bincount(doc, minlength=len(texts))
-        there = np.flatnonzero(self.n_words)
-        ends = np.cumsum(self.n_words)[there] + np.arange(1, len(there) + 1)
-        code = np.full(len(doc) + len(there), MARK, dtype=np.int64)
-        inner = np.ones(len(code), dtype=bool)
-        inner[ends - 1] = False
-        code[inner] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        before = np.roll(code, 1)  # the mark that ends a text comes before the next one
-        self.doc = np.repeat(there, self.n_words[there] + 1)
-        group = mixed_bits((groups.astype(np.uint64)[self.doc] + np.uint64(1)) * _A)
-        self.word = mixed_bits(hashes[code] ^ group)
-        self.before = mixed_bits(hashes[before] ^ group)
-        self.pair = mixed_bits(self.before * _A + self.word)
-        self.total = mixed_bits(group + _C)  # the key of all tokens of the group
-        kinds, self.kind = np.unique(groups[self.doc] * len(words) + code, return_inverse=True)
-        word, group = kinds % len(words), kinds // len(words)
-        raw = np.frombuffer(b"".join(b"  " + words[c] + b" " for c in word.tolist()), dtype=np.uint8).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[word] + 1
-        self.of = np.repeat(np.arange(len(kinds)), sizes)
-        at = np.arange(len(self.of)) + 2 * (self.of + 1)
-        a, b, x = raw[at - 2] if len(at) else raw, raw[at - 1] if len(at) else raw, raw[at] if len(at) else raw
-        grams = np.stack([a << 16 | b << 8 | x | 3 << 24, a << 16 | b << 8 | 2 << 24, b << 8 | x | 1 << 24, b << 8]).astype(np.uint64)
-        self.spelling = mixed_bits(mixed_bits(grams + _B) ^ mixed_bits((group.astype(np.uint64) + np.uint64(1)) * _C)[self.of])
+        some = np.flatnonzero(self.n_words)
+        self.last = np.cumsum(self.n_words[some] + 1) - 1
+        self.first = np.r_[0, self.last[:-1] + 1] if len(some) else self.last
+        self.doc = np.repeat(some, self.n_words[some] + 1)
+        at, size, inner = np.zeros(len(self.doc), dtype=np.int64), np.zeros(len(self.doc), dtype=np.int64), np.ones(len(self.doc), dtype=bool)
+        inner[self.last] = False
+        at[inner], size[inner] = starts, sizes
+        group_no = groups[self.doc]
+        group = mixed_bits((group_no.astype(np.uint64) + np.uint64(1)) * _A)
+        self.word = mixed_bits(word_hashes(raw, at, size) ^ group)
+        before = np.roll(self.word, 1)
+        before[self.first] = self.word[self.last]
+        self.pair = mixed_bits(before * _A + self.word)
+        self.group_no, self.total = group_no, mixed_bits(group + _C)  # the key of all tokens of the group
+        _, pick, self.kind = np.unique(self.word, return_index=True, return_inverse=True)
+        sizes = size[pick]
+        self.of = np.repeat(np.arange(len(pick)), sizes + 1)
+        within = np.arange(len(self.of)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+        ends = within == sizes[self.of]
+        byte = np.full(len(self.of), 32, dtype=np.int64)
+        byte[~ends] = raw[(at[pick][self.of] + within)[~ends]]
+        pairs = group_no[pick][self.of] << 16 | np.where(within == 0, 32, np.roll(byte, 1)) << 8 | byte
+        self.letters = np.stack([pairs, ONE_BYTE + (pairs >> 8)])
 
     def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, and how often they occur in all and in good documents."""
-        mine, kinds = good[self.doc], (self.kind.max(initial=-1) + 1)
-        keys, counts = self.keys(), []
-        letters, at = np.unique(self.spelling, return_inverse=True)
-        for tokens in (slice(None), mine):
-            n = np.zeros(len(keys), dtype=np.int64)
-            found, times = np.unique(np.concatenate([k[tokens] for k in (self.word, self.pair, self.total)]), return_counts=True)
-            n[np.searchsorted(keys, found)] = times
-            by_kind = np.bincount(self.kind[tokens], minlength=kinds)
-            n[np.searchsorted(keys, letters)] = np.bincount(at.ravel(), weights=np.tile(by_kind[self.of], 4), minlength=len(letters)).astype(np.int64)
-            counts.append(n)
-        return keys, *counts
+        mine = good[self.doc]
+        weights = [np.ones(len(mine)), mine.astype(np.float64)]
+        by_kind = [np.bincount(self.kind, weights=w, minlength=self.kind.max(initial=-1) + 1) for w in weights]
+        letters, at = np.unique(self.letters.ravel(), return_inverse=True)
+        spelled = [np.bincount(at, weights=np.tile(w[self.of], 2), minlength=len(letters)) for w in by_kind]
+        keys = np.concatenate([self.word, self.pair, self.total, letter_keys(letters)])
+        return added(keys, *(np.concatenate([w, w, w, n]) for w, n in zip(weights, spelled, strict=True)))
 
     def keys(self) -> np.ndarray:
         """All distinct keys, sorted."""
-        return np.unique(np.concatenate([self.word, self.pair, self.total, np.unique(self.spelling)]))
+        return distinct(np.concatenate([self.word, self.pair, self.total, letter_keys(distinct(self.letters.ravel()))]))
 
-    def spelled(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probability of spelling each token's word."""
-        three, context, two, one = (counts[np.searchsorted(keys, k)] for k in self.spelling)
-        p = spelling_probability(three, context, two, one)
+    def spelled(self, letters: np.ndarray) -> np.ndarray:
+        """Probability of spelling each token's word; letters: counts by number."""
+        p = spelling_probability(*letters[self.letters])
         return np.exp2(np.bincount(self.of, weights=np.log2(p), minlength=self.kind.max(initial=-1) + 1))[self.kind]
 
-    def own(self, keys: np.ndarray) -> np.ndarray:
-        """How often each token's key occurs in the token's document."""
-        out, ends = np.empty(len(keys), dtype=np.int64), np.flatnonzero(np.diff(self.doc, append=-1)) + 1
-        for a, b in zip([0, *ends], ends, strict=False):
-            _, at, n = np.unique(keys[a:b], return_inverse=True, return_counts=True)
-            out[a:b] = n[at]
+    def own(self, numbers: np.ndarray) -> np.ndarray:
+        """How often each token's number occurs in the token's document."""
+        _, at, n = np.unique(self.doc * (numbers.max(initial=0) + 1) + numbers, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def context(self, of_word: np.ndarray) -> np.ndarray:
+        """From a figure of each token's word that of the word before it."""
+        out = np.roll(of_word, 1)
+        out[self.first] = of_word[self.last]
         return out
 
 
-def spelling_probability(three, context, two, one):
-    """Of a byte, from the counts of trigram, its context of two, bigram, and its context of one."""
-    return (three + SPELL_PRIOR * (two + SPELL_PRIOR / 256) / (one + SPELL_PRIOR)) / (context + SPELL_PRIOR)
+def letter_keys(letters: np.ndarray) -> np.ndarray:
+    return mixed_bits(letters.astype(np.uint64) * _B + _A)
+
+
+def spelling_probability(two, one):
+    """Of a byte, from the counts of it behind another byte and of that other byte."""
+    return (two + SPELL_PRIOR / 256) / (one + SPELL_PRIOR)
 
 
 def probability(pair, before, word, total, spelled):
@@ -145,31 +167,29 @@ def probability(pair, before, word, total, spelled):
     return (pair + PRIOR * low) / (before + PRIOR)
 
 
-def losses(block: Chunk, good: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def losses(chunk: Chunk, good: np.ndarray, keys: np.ndarray, counts: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Bits of each document under the background and the target model (2 rows), each without the document's own counts.
 
-    keys: sorted; counts: in all and in good documents (2 rows). Without other target text in its
-    group a document is scored by the background alone.
+    keys: sorted; counts, letters: of keys and of pairs of bytes, in all and in good documents
+    (2 rows). Without other target text in its group a document is scored by the background alone.
     """
-    parts = [block.pair, block.before, block.word, block.total]
-    at = [np.searchsorted(keys, k) for k in parts]
-    own_word = block.own(block.word)
-    own_total = (block.n_words + 1)[block.doc]
-    # a context is the word of the token before, and the mark, which ends each text once, comes once before it
-    first = np.r_[True, block.doc[1:] != block.doc[:-1]] if len(block.doc) else np.zeros(0, dtype=bool)
-    own_before = np.where(first, 1, np.roll(own_word, 1))
-    own = [block.own(block.pair), own_before, own_word, own_total]
-    out = np.zeros((2, len(block.n_words)))
+    found, at = np.unique(np.concatenate([chunk.word, chunk.pair, chunk.total]), return_inverse=True)
+    word, pair, total = at.reshape(3, -1)
+    place = np.searchsorted(keys, found)
+    own_word = chunk.own(word)
+    own = [chunk.own(pair), chunk.context(own_word), own_word, (chunk.n_words + 1)[chunk.doc]]
+    out = np.zeros((2, len(chunk.n_words)))
     background = None
     for m in range(2):
-        mine = 1 if m == 0 else good[block.doc]
-        left = [counts[m][i] - o * mine for i, o in zip(at, own, strict=True)]
-        p = probability(*left, block.spelled(keys, counts[m]))
+        held = counts[m][place]
+        mine = 1 if m == 0 else good[chunk.doc]
+        left = [n - o * mine for n, o in zip((held[pair], chunk.context(held[word]), held[word], held[total]), own, strict=True)]
+        p = probability(*left, chunk.spelled(letters[m]))
         if m == 0:
             background = p
         else:
             p = np.where(left[3] > 0, p, background)
-        out[m] = np.bincount(block.doc, weights=-np.log2(p), minlength=len(block.n_words))
+        out[m] = np.bincount(chunk.doc, weights=-np.log2(p), minlength=len(chunk.n_words))
     return out
 
 
@@ -244,10 +264,13 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     flags = _flags(docs["doc_id"], answers["good_id"])
     rows = sorted((r for r in answers.drop_columns("good_id").to_pylist() if r["n"] is not None), key=lambda r: r["range_no"])
     counts = np.stack([np.concatenate([unpacked(r[c], r["n"]) for r in rows]).astype(np.int64) for c in ("n_all", "n_good")]) if rows else np.zeros((2, 0))
-    keys = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(chunk.keys() for _, _, chunk in chunks_of(docs))]))
+    keys = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *(chunk.keys() for _, _, chunk in chunks_of(docs))]))
+    every = np.arange(ONE_BYTE + ((len(LANGUAGES) + 1) << 8))
+    at = np.minimum(np.searchsorted(keys, letter_keys(every)), max(0, len(keys) - 1))
+    letters = np.where(keys[at] == letter_keys(every), counts[:, at], 0) if len(keys) else np.zeros((2, len(every)))
     n, bits = np.zeros(docs.num_rows, dtype=np.int64), np.zeros((2, docs.num_rows))
     for a, b, chunk in chunks_of(docs):
-        n[a:b], bits[:, a:b] = chunk.n_words, losses(chunk, flags[a:b], keys, counts)
+        n[a:b], bits[:, a:b] = chunk.n_words, losses(chunk, flags[a:b], keys, counts, letters)
     per = bits / np.where(n > 0, n + 1, 1)
     return pa.table([docs["doc_id"], *map(pa.array, (n, *bits, *per, per[1] - per[0]))], names=["doc_id", "n_tokens", "background_bits", "target_bits", "background_loss", "target_loss", "score"])
 

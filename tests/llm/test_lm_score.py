@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from propspark.llm import lm_score
-from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, SPELL_PRIOR, Chunk, cross_entropy_difference, losses, probability, spelling_probability
+from propspark.llm.lm_score import LANGUAGES, NEW, PRIOR, Chunk, cross_entropy_difference, losses, probability, spelling_probability
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ("background_bits", "target_bits", "score")
@@ -18,20 +18,19 @@ def tokens(text):
 
 
 def letters(uni):
-    """Counts of byte strings of one to three bytes before and at each byte of the words."""
+    """Counts of bytes at, and behind, each byte of the words and the spaces around them."""
     out = Counter()
     for word, n in uni.items():
-        raw = b"  " + word + b" "
-        for i in range(2, len(raw)):
-            out.update({("3", raw[i - 2 : i + 1]): n, ("c3", raw[i - 2 : i]): n, ("2", raw[i - 1 : i + 1]): n, ("c2", raw[i - 1 : i]): n})
+        raw = b" " + word + b" "
+        for i in range(1, len(raw)):
+            out.update({raw[i - 1 : i + 1]: n, raw[i - 1 : i]: n})
     return out
 
 
 def spelled(word, held):
-    raw, p = b"  " + word + b" ", 1.0
-    for i in range(2, len(raw)):
-        low = (held["2", raw[i - 1 : i + 1]] + SPELL_PRIOR / 256) / (held["c2", raw[i - 1 : i]] + SPELL_PRIOR)
-        p *= (held["3", raw[i - 2 : i + 1]] + SPELL_PRIOR * low) / (held["c3", raw[i - 2 : i]] + SPELL_PRIOR)
+    raw, p = b" " + word + b" ", 1.0
+    for i in range(1, len(raw)):
+        p *= spelling_probability(held[raw[i - 1 : i + 1]], held[raw[i - 1 : i]])
     return p
 
 
@@ -113,21 +112,19 @@ def test_probabilities_add_up():
         rest = PRIOR * NEW * (1 - sum(base.values())) / (uni[h] + PRIOR)
         assert sum(p) <= 1 + 1e-9 and sum(p) + rest == pytest.approx(1, abs=1e-9)
     assert sum(probability(0, 0, 0, 0, base[w]) for w in uni) < 1
-    for a, b in ((32, 32), (32, 97), (97, 98), (97, 32), (1, 2)):
-        context, one = held["c3", bytes([a, b])], held["c2", bytes([b])]
-        p = [spelling_probability(held["3", bytes([a, b, x])], context, held["2", bytes([b, x])], one) for x in range(256)]
-        assert sum(p) == pytest.approx(1, abs=1e-9)
+    for a in (32, 97, 98, 1):
+        assert sum(spelling_probability(held[bytes([a, x])], held[bytes([a])]) for x in range(256)) == pytest.approx(1, abs=1e-9)
 
 
 def test_tokens_are_those_of_bytes_split():
     texts = ["  a B\tc\n", "", " ", "x", "a\x0bb\x0cc  d\r\n e", "a\x1cb\x1fc", "a\xa0b É"]
-    block = Chunk(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=np.int64))
-    assert block.n_words.tolist() == [len(t.encode().split()) for t in texts]
-    assert len(block.doc) == sum(n + 1 for n in block.n_words if n)
-    keys, n_all, n_good = block.counts(np.array([True] + [False] * (len(texts) - 1)))
-    letters_of = lambda t: 4 * sum(len(w) + 1 for w in tokens(t))
-    assert n_all.sum() == 3 * len(block.doc) + sum(map(letters_of, texts)) and n_good.sum() == 3 * 4 + letters_of(texts[0])
-    bits = losses(block, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]))
+    chunk = Chunk(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=np.int64))
+    assert chunk.n_words.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(chunk.doc) == sum(n + 1 for n in chunk.n_words if n)
+    keys, n_all, n_good = chunk.counts(np.array([True] + [False] * (len(texts) - 1)))
+    letters_of = lambda t: 2 * sum(len(w) + 1 for w in tokens(t))
+    assert n_all.sum() == 3 * len(chunk.doc) + sum(map(letters_of, texts)) and n_good.sum() == 3 * 4 + letters_of(texts[0])
+    bits = losses(chunk, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]))
     assert (bits[:, [1, 2]] == 0).all() and (bits[:, [0, 3, 4, 5, 6]] > 0).all()
 
 

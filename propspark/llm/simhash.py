@@ -2,11 +2,11 @@
 
 Equal fingerprints are merged first, so exact copies cost one row. The others are keyed
 by bit masks that are built so that any two fingerprints within the radius agree on at
-least one whole mask. Buckets of bounded size are compared in memory. Fingerprints of
-larger buckets go on to a finer covering family, and those of buckets that are still
-large to the family that leaves out every choice of `radius` bits: there all members of
-a bucket are within the radius of each other, so linking them to the smallest one is
-exact at any size. No level compares all pairs of an unbounded group.
+least one whole mask. Small buckets are compared in memory, all pairs. Fingerprints of
+larger buckets go on to a covering family that leaves out `radius` of some blocks of bits:
+members of its buckets differ in the few bits left out alone, so a bucket has at most as
+many as these bits have values (2^16 for a radius of 2), and each member looks its
+neighbours up among them. No level compares all pairs of a group that may grow.
 """
 
 from __future__ import annotations
@@ -81,53 +81,76 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.posexplode(tables).alias("mask_no", "mask")).selectExpr("fp", "mask_no", "fp & mask AS key")
 
 
-def _within(radius: int):
+def all_pairs(x: np.ndarray, radius: int) -> np.ndarray:
+    """For each of sorted fingerprints the position of the smallest one of its component."""
+    near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= radius
+    root = np.arange(len(x))
+    while True:
+        lower = np.where(near, root[None, :], len(x)).min(axis=1)
+        if (lower == root).all():
+            return root
+        root = lower
+
+
+def looked_up(x: np.ndarray, radius: int, free: list[int]) -> np.ndarray:
+    """all_pairs() of fingerprints that differ in the bits `free` alone: each looks up its neighbours by flipping them."""
+    codes = sum((x >> bit & 1) << k for k, bit in enumerate(free))
+    place = np.full(1 << len(free), -1)
+    place[codes] = np.arange(len(x))
+    flips = [sum(1 << k for k in held) for r in range(1, radius + 1) for held in combinations(range(len(free)), r)]
+    root = np.arange(len(x))
+    while True:
+        before = root.copy()
+        for flip in flips:
+            other = place[codes ^ flip]
+            there = other >= 0
+            root[there] = np.minimum(root[there], root[other[there]])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _within(masks: list[int], radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each list of fingerprints: every one that is linked to others, with the smallest of its component."""
         for batch in batches:
             a, b = [], []
-            for held in batch.column(0).to_pylist():
-                x = np.sort(np.array(held, dtype=np.int64))
-                near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= radius
-                root = np.arange(len(x))
-                while True:
-                    lower = np.where(near, root[None, :], len(x)).min(axis=1)
-                    if (lower == root).all():
-                        break
-                    root = lower
+            for mask_no, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.sort(np.array(held.values, dtype=np.int64))
+                free = [i for i in range(BITS) if not masks[mask_no] >> i & 1]
+                root = all_pairs(x, radius) if len(x) <= BUCKET else looked_up(x, radius, free)
                 linked = root < np.arange(len(x))
-                a += x[root[linked]].tolist()
-                b += x[linked].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a.append(x[root[linked]])
+                b.append(x[linked])
+            flat = [np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=["a", "b"])
 
     return run
 
 
-def _bucketed(fps: DataFrame, masks: list[int], radius: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Links within small buckets, and the fingerprints of large ones."""
+def _shared(fps: DataFrame, masks: list[int], label: str) -> DataFrame:
+    """(mask_no, key, fp, n) of the fingerprints that share a key; n: how many do."""
     keyed = _keyed(fps, masks)
     sizes = keyed.groupBy("mask_no", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = store(keyed.join(sizes, ["mask_no", "key"]), f"{label}-shared")
-    lists = shared.where(F.col("n") <= BUCKET).groupBy("mask_no", "key").agg(F.collect_list("fp").alias("held")).select("held")
-    links = lists.mapInArrow(_within(radius), "a long, b long")
-    return links.distinct(), shared.where(F.col("n") > BUCKET).select("fp").distinct()
+    return store(keyed.join(sizes, ["mask_no", "key"]), f"{label}-shared")
+
+
+def _links(shared: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    lists = shared.groupBy("mask_no", "key").agg(F.collect_list("fp").alias("held")).select("mask_no", "held")
+    return lists.mapInArrow(_within(masks, radius), "a long, b long").distinct()
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that join all those within `radius` bits, directly or by way of others."""
     if not 1 <= radius <= 3:
         raise ValueError("radius must be 1, 2 or 3")
-    links, large = _bucketed(fps, covering_masks(radius), radius, "simhash-cover")
-    large = store(large, "simhash-large")
+    cover, blocks = covering_masks(radius), block_masks(radius, 4 * radius)
+    shared = _shared(fps, cover, "simhash-cover")
+    links = _links(shared.where(F.col("n") <= BUCKET), cover, radius)
+    large = store(shared.where(F.col("n") > BUCKET).select("fp").distinct(), "simhash-large")
     if empty(large):
         return links
-    finer, larger = _bucketed(large, block_masks(radius, 4 * radius), radius, "simhash-blocks")
-    links, larger = links.unionByName(finer), store(larger, "simhash-larger")
-    if empty(larger):
-        return links
-    stars = _keyed(larger, block_masks(radius, BITS)).groupBy("mask_no", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    exact = _keyed(larger, block_masks(radius, BITS)).join(stars, ["mask_no", "key"]).where("fp <> a").selectExpr("a", "fp AS b").distinct()
-    return links.unionByName(exact)
+    return links.unionByName(_links(_shared(large, blocks, "simhash-blocks"), blocks, radius))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from propspark.llm import simhash
+from propspark.llm import common, simhash
 from propspark.llm.simhash import block_masks, covering_masks, fingerprint, fingerprint_links, simhash_groups
 from tests_llm_helpers import brute_groups
 
@@ -66,3 +67,24 @@ def test_nulls_ties_long_and_clashing_columns(spark):
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash_groups(df).collect())
     assert got == [(-1, 7), (4, 4), (5, 4), (7, 7), (7, 7), (9, 9)]
     assert simhash_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_looking_up_equals_comparing_all_pairs(radius):
+    rng = np.random.default_rng(radius)
+    for mask in simhash.block_masks(radius, 4 * radius)[:3]:
+        free = [i for i in range(64) if not mask >> i & 1]
+        fixed = int(rng.integers(0, 1 << 63)) & mask
+        values = {simhash.signed(fixed | sum(1 << b for b in free if rng.random() < 0.3)) for _ in range(300)}
+        x = np.sort(np.array(sorted(values), dtype=np.int64))
+        assert (simhash.looked_up(x, radius, free) == simhash.all_pairs(x, radius)).all()
+
+
+def test_chains_end_in_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    stored = common.store
+    monkeypatch.setattr(common, "store", lambda df, label: rounds.append(label) or stored(df, label))
+    links = [(i, i + 1) for i in range(1023)] + [(2000 + i, 2001 + i) for i in range(20)] + [(5000, 5000)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long"), "chain").collect()}
+    assert got == {i: 0 for i in range(1024)} | {2000 + i: 2000 for i in range(21)}
+    assert rounds.count("chain-step") <= 12

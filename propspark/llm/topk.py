@@ -7,9 +7,11 @@ b holds no score above
     min(q.p + |q| b, (|q|^2 + M^2 - gap^2) / 2),  gap = max(0, d(q, p) - b, a - d(q, p)),
 
 by Cauchy-Schwarz and by the triangle inequality, M being the annulus's largest norm.
-Queries are broadcast in chunks of bounded size. Each task expands the annuli it holds
-from the highest bound down and stops for a query when no bound reaches its k-th score so
-far, which starts at the k-th score among the pivots' own sample.
+The index is a table sorted by annulus. Queries are sorted in the same way and broadcast in
+chunks of bounded size, so that those of a chunk lie near each other; a chunk reads only the
+annuli that some query's bound reaches, which the table's own statistics find. Each task
+expands the annuli it reads from the highest bound down and stops for a query when no bound
+reaches its k-th score so far, which starts at the k-th score in the pivots' own sample.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from propspark.llm.common import store
+from propspark.llm.common import new_path, store
 
 #: Vectors from which pivots are chosen and first bounds come: those whose ids hash lowest.
 SAMPLE = 4096
 PIVOTS = 64
+#: Annuli of a pivot; their edges are quantiles of the sample's distances.
+RINGS = 32
 #: Queries that are broadcast at once, and the numbers that a sample or a chunk holds at most.
 CHUNK, NUMBERS = 4096, 1 << 20
 #: Vectors of an annulus that are scored at once.
@@ -36,9 +40,9 @@ EXACT = float(1 << 53)
 
 
 def scaled_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): whole vectors of floor(scale * x) as longs; rows with null or non-finite parts or a null id go."""
+    """(vec_id, v): whole vectors of floor(scale * x) as longs; rows with no, null or non-finite parts or a null id go."""
     v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return table.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
@@ -72,19 +76,56 @@ def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (p**2).sum(axis=1)[:, None] - 2 * p @ pivots.T + (pivots**2).sum(axis=1)[None, :]))
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """`vectors` with nearest pivot and distance to it, laid out by both; every row is indexed."""
+def ring_edges(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Inner edges of each pivot's annuli, one row a pivot."""
+    d = distances(points, pivots)
+    nearest, least = d.argmin(axis=1), d.min(axis=1)
+    shares = np.arange(1, RINGS) / RINGS
+    return np.stack([np.quantile(least[nearest == p], shares) if (nearest == p).any() else np.zeros(RINGS - 1) for p in range(len(pivots))])
+
+
+def build_index(vectors: DataFrame, pivots: np.ndarray, edges: np.ndarray) -> DataFrame:
+    """`vectors` with nearest pivot, distance to it, annulus and norm, sorted by annulus; every row is indexed."""
     width = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(_matrix(batch.column(1), width), pivots)
-                nearest = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest), pa.array(d[np.arange(len(d)), nearest])], names=["vec_id", "v", "pivot", "distance"])
+                points = _matrix(batch.column(2), width)
+                d = distances(points, pivots)
+                nearest, least = d.argmin(axis=1), d.min(axis=1)
+                ring = nearest * RINGS + (edges[nearest] <= least[:, None]).sum(axis=1)
+                norm = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array(least), pa.array(ring), pa.array(norm)], names=["row", "vec_id", "v", "pivot", "distance", "ring", "norm"])
+
+    keyed = vectors.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<long>, pivot long, distance double, ring long, norm double")
+    return store(keyed.repartitionByRange("ring", "distance", "row").sortWithinPartitions("ring", "distance", "row"), "topk-index")
+
+
+def bounds(to_pivot, on_pivot, norms, near, far, largest):
+    """No score of the queries in an annulus is above this; arrays that go together."""
+    gap = np.maximum(0, np.maximum(to_pivot - far, near - to_pivot))
+    bound = np.minimum(on_pivot + norms * far, (norms**2 + largest**2 - gap**2) / 2)
+    return bound + 1e-6 * (1 + np.abs(bound))
+
+
+class Queries:
+    """A chunk of queries with what their bounds need; `floors` are scores that k others of the sample reach."""
 
-    keyed = vectors.mapInArrow(run, "vec_id long, v array<long>, pivot long, distance double")
-    return store(keyed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"), "topk-index")
+    def __init__(self, rows: list, pivots: np.ndarray, sample_rows: np.ndarray, sample: np.ndarray, k: int):
+        self.rows, self.ids = np.array([r.row for r in rows]), np.array([r.vec_id for r in rows])
+        self.v = np.array([r.v for r in rows], dtype=np.int64)
+        self.to_pivots = distances(self.v, pivots)
+        self.on_pivots = self.v.astype(np.float64) @ pivots.T
+        self.norms = np.sqrt((self.v.astype(np.float64) ** 2).sum(axis=1))
+        least = np.iinfo(np.int64).min
+        scores = np.where(self.rows[:, None] == sample_rows[None, :], least, products(self.v, sample))
+        self.floors = np.sort(scores, axis=1)[:, -k] if len(sample_rows) > k else np.full(len(self.v), least)
+
+    def reached(self, rings: list) -> list[int]:
+        """Annuli, of (ring, pivot, near, far, largest), in which some query may find one of its k best."""
+        worst = self.floors.astype(np.float64)
+        return [r.ring for r in rings if (bounds(self.to_pivots[:, r.pivot], self.on_pivots[:, r.pivot], self.norms, r.near, r.far, r.largest) >= worst).any()]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,89 +133,86 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, pivots: np.ndarray, k: int):
-    """Tasks over the index -> (query_id, vec_id, score): each query's best k within the task that can matter."""
-    to_pivots = distances(queries, pivots)
-    on_pivots = queries.astype(np.float64) @ pivots.T
-    norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    width = queries.shape[1]
+def _search(queries: Queries, k: int):
+    """Tasks over the index -> (query, query_id, vec_id, score): each query's best k within the task that can matter."""
+    width = queries.v.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = floors.astype(np.float64).copy()
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+        worst = queries.floors.astype(np.float64).copy()
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(worst)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, points = np.array(batch.column(0)), _matrix(batch.column(1), width)
-            pivot, distance = np.array(batch.column(2)), np.array(batch.column(3))
-            sizes = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
+            rows, ids, points = np.array(batch.column(0)), np.array(batch.column(1)), _matrix(batch.column(2), width)
+            pivot, distance, sizes = (np.array(batch.column(i)) for i in (3, 4, 6))
             cuts = np.unique(np.concatenate([[0, len(ids)], np.nonzero(np.diff(pivot))[0] + 1, np.arange(0, len(ids), BLOCK)]))
             rings = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                p, near, far = pivot[a], distance[a:b].min(), distance[a:b].max()
-                gap = np.maximum(0, np.maximum(to_pivots[:, p] - far, near - to_pivots[:, p]))
-                bound = np.minimum(on_pivots[:, p] + norms * far, (norms**2 + sizes[a:b].max() ** 2 - gap**2) / 2)
-                rings.append((a, b, bound + 1e-6 * (1 + np.abs(bound))))
+                p = pivot[a]
+                rings.append((a, b, bounds(queries.to_pivots[:, p], queries.on_pivots[:, p], queries.norms, distance[a:b].min(), distance[a:b].max(), sizes[a:b].max())))
             for a, b, bound in sorted(rings, key=lambda r: -r[2].max()):
                 if bound.max() < worst.min():
                     break
-                rows = np.nonzero(bound >= worst)[0]
-                scores = products(queries[rows], points[a:b])
-                for i in np.nonzero(scores.max(axis=1, initial=np.iinfo(np.int64).min) >= worst[rows])[0]:
-                    row = rows[i]
-                    hit = np.nonzero((scores[i] >= worst[row]) & (ids[a:b] != query_ids[row]))[0]
+                asked = np.nonzero(bound >= worst)[0]
+                scores = products(queries.v[asked], points[a:b])
+                for i in np.nonzero(scores.max(axis=1, initial=np.iinfo(np.int64).min) >= worst[asked])[0]:
+                    q = asked[i]
+                    hit = np.nonzero((scores[i] >= worst[q]) & (rows[a:b] != queries.rows[q]))[0]
                     if len(hit):
-                        held = best[row]
-                        best[row] = _best(np.concatenate([held[0], scores[i][hit]]), np.concatenate([held[1], ids[a:b][hit]]), k)
-                        if len(best[row][0]) == k:
-                            worst[row] = max(worst[row], best[row][0][-1])
+                        held = best[q]
+                        best[q] = _best(np.concatenate([held[0], scores[i][hit]]), np.concatenate([held[1], ids[a:b][hit]]), k)
+                        if len(best[q][0]) == k:
+                            worst[q] = max(worst[q], best[q][0][-1])
         n = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "vec_id", "score"])
+        columns = [np.repeat(queries.rows, n), np.repeat(queries.ids, n), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _top_k_of_width(vectors: DataFrame, width: int, k: int, every: int, path: str) -> None:
+    """Appends the results of all queries of one length to the table at `path`."""
+    room = max(PIVOTS, NUMBERS // width)
+    vectors = vectors.where(F.size("v") == width)
+    sample = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(SEED))).orderBy("h", "row").limit(min(SAMPLE, room)).collect()
+    sample_rows, points = np.array([r.row for r in sample]), np.array([r.v for r in sample], dtype=np.int64)
+    pivots = choose_pivots(points, PIVOTS)
+    index = build_index(vectors, pivots, ring_edges(points, pivots))
+    rings = index.groupBy("ring", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("largest")).collect()  # PIVOTS * RINGS rows at most
+    size = min(CHUNK, room)
+    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "ring", "distance")
+    parts = -(-asked.count() // size)
+    if not parts:
+        return
+    asked = store(asked.repartitionByRange(parts, "ring", "distance", "row").sortWithinPartitions("ring", "distance", "row").select("row", "vec_id", "v", F.spark_partition_id().alias("chunk")), "topk-queries")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    for (chunk,) in asked.select("chunk").distinct().orderBy("chunk").collect():  # one number for `size` queries or so
+        mine = asked.where(F.col("chunk") == chunk)
+        last = None
+        while held := (mine if last is None else mine.where(F.col("row") > last)).orderBy("row").limit(size).collect():
+            last = held[-1].row
+            queries = Queries(held, pivots, sample_rows, points, k)
+            hits = index.where(F.col("ring").isin(queries.reached(rings))).mapInArrow(_search(queries, k), "query long, query_id long, vec_id long, score long")
+            best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+
+
 def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest integer inner products over all other rows.
+    """(query_id, rank, vec_id, score): each query row's k highest integer inner products over all other rows.
 
     Queries are the rows whose id is divisible by `every`. Ties go to the smaller vec_id; a
-    query with fewer candidates gets all of them. Rows with a null id, a null vector or null
-    or non-finite parts take no part, nor do vectors of another length than most of the
-    sample's. Rows that repeat an id with one vector count once. An empty table gives no rows.
+    query with fewer candidates gets all of them. A row with a null id or vector, or with no,
+    null or non-finite parts takes no part. Only vectors of one length have a product, so a
+    query's candidates are the rows of its own length; each length, of which there are few,
+    has an index of its own. Rows that repeat an id or a vector are rows of their own: a
+    query's copy is its candidate, and two query rows of one id have a ranking each. An empty
+    table gives no rows.
     """
     spark = table.sparkSession
-    vectors = store(scaled_vectors(table, id_col, vector_col, scale).dropDuplicates(["vec_id", "v"]), "topk-vectors")
-    head = vectors.first()
-    room = max(PIVOTS, NUMBERS // max(1, len(head.v))) if head else 1
-    sample = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(SEED))).orderBy("h", "vec_id").limit(min(SAMPLE, room)).collect()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not sample:
-        return none
-    lengths = [len(r.v) for r in sample]
-    width = max(sorted(set(lengths)), key=lengths.count)
-    if not width:
-        return none
-    vectors = vectors.where(F.size("v") == width)
-    sample = [r for r in sample if len(r.v) == width]
-    sample_ids, points = np.array([r.vec_id for r in sample]), np.array([r.v for r in sample], dtype=np.int64)
-    pivots = choose_pivots(points, PIVOTS)
-    index = build_index(vectors, pivots)
-    asked = store(vectors.where(F.col("vec_id") % every == 0), "topk-queries")
-    last, found = None, []
-    while True:
-        rest = asked if last is None else asked.where(F.col("vec_id") > last)
-        chunk = rest.orderBy("vec_id").limit(min(CHUNK, room)).collect()
-        if not chunk:
-            break
-        last = chunk[-1].vec_id
-        query_ids, queries = np.array([r.vec_id for r in chunk]), np.array([r.v for r in chunk], dtype=np.int64)
-        first = products(queries, points)
-        masked = np.where(query_ids[:, None] == sample_ids[None, :], np.iinfo(np.int64).min, first)
-        floors = np.sort(masked, axis=1)[:, -k] if len(sample_ids) > k else np.full(len(queries), np.iinfo(np.int64).min)
-        hits = index.mapInArrow(_search(query_ids, queries, floors, pivots, k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found.append(store(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-found"))
-    out = none
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    schema = "query_id long, rank int, vec_id long, score long"
+    vectors = store(scaled_vectors(table, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    path = new_path(spark, "topk-found")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for (width,) in vectors.select(F.size("v")).distinct().collect():
+        _top_k_of_width(vectors, width, k, every, path)
+    return spark.read.schema(schema).parquet(path)

@@ -8,12 +8,13 @@ from propspark.llm.topk import choose_pivots, products, top_k
 
 
 def brute(rows, k=5, every=50):
-    vecs = sorted({(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    """All rows against all query rows, repeats included."""
+    vecs = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in vecs:
+    for n, (q, a) in enumerate(vecs):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in vecs if c != q)[:k]
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for m, (c, b) in enumerate(vecs) if m != n and len(a) == len(b))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
     return sorted(out)
 
 
@@ -37,10 +38,41 @@ def test_sf_embeddings(spark):
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-0.001, 2.0]), (5, [-0.001, 2.0]), (None, [1.0, 1.0]), (50, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS v")
-    assert sorted(map(tuple, top_k(df).collect())) == brute(rows) == [(0, 1, 50, 0), (0, 2, 5, -256), (50, 1, 0, 0), (50, 2, 5, 0)]
+    assert sorted(map(tuple, top_k(df).collect())) == brute(rows) == [(0, 1, 50, 0), (0, 2, 5, -256), (0, 3, 5, -256), (50, 1, 0, 0), (50, 2, 5, 0), (50, 3, 5, 0)]
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_ids_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i * 10, rng.normal(size=3).round(2).tolist()) for i in range(60)]
+    rows += rows[:7] + [(50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (50, [0.0, 0.5, 1.0])]  # copies of queries, one id with several vectors
+    rows += [(i, [1.0, float(i)]) for i in (100, 101, 102, 150)] + [(200, [1.0]), (3, [])]  # other lengths, one of them alone
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS row", "2 AS ring").repartition(4)
+    assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
+
+
+def test_chunks_read_only_what_their_bounds_reach(spark, monkeypatch):
+    """Vectors in far clusters: the annuli that the queries of one cluster reach hold a part of all rows, and the results are whole."""
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    seen = []
+    reached = topk.Queries.reached
+
+    def counted(self, rings):
+        found = reached(self, rings)
+        seen.append(len(found) / len(rings))
+        return found
+
+    monkeypatch.setattr(topk.Queries, "reached", counted)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 10
+    centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.1).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
+    assert len(seen) >= 3 and sum(seen) / len(seen) < 0.9
+
+
 def test_large_numbers_are_exact():
     b = np.array([[2**30 + 1, 2**30 - 1]])
     assert products(b, b)[0, 0] == (2**30 + 1) ** 2 + (2**30 - 1) ** 2

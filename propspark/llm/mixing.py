@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from propspark.llm.common import store, text_or_empty
+from propspark.llm.common import free_name, row_key, store, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,10 +32,10 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [len(t.as_py().encode("utf-8", "replace").split()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), batch.column(3)], names=["doc_id", "source", "size", "row"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, source string, size long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"), row_key(docs).alias("row"))
+    return picked.mapInArrow(run, "doc_id long, source string, size long, row long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -94,28 +94,22 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -
 
 
 def round_block(block: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Whole copies for the documents of a block, large ones first, each with the error of those before it."""
-    block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    """Whole copies for the documents of a block, large ones first, each with the error of those before it. n equal rows count as one document n times as long."""
+    block = block.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
     copies, error = [], 0.0
-    for size, rate in zip(block["size"].tolist(), block["rate"].tolist(), strict=True):
+    for size, rate, n in zip(block["size"].tolist(), block["rate"].tolist(), block["n"].tolist(), strict=True):
         if size == 0:
             copies.append(0)
             continue
-        wanted = rate * size + error
-        n = min(max(round(wanted / size), 0), most)
-        error = wanted - n * size
-        copies.append(n)
-    return block.assign(copies=copies)[["doc_id", "size", "source_size", "target", "copies"]]
+        wanted = rate * size * n + error
+        taken = min(max(round(wanted / size), 0), most * n)
+        error = wanted - taken * size
+        copies.append(taken)
+    return block.assign(copies=copies)[["doc_id", "row", "size", "source_size", "target", "n", "copies"]]
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of `docs`; taken is copies times size.
-
-    Null and word-free texts have size 0 and no copies. A null source is a source of its own,
-    the last one. Repeated rows and null ids each keep a row. Ties in size go by id, and
-    nothing is random, so reruns agree. An empty table gives no rows. Other columns are not
-    read.
-    """
+def _copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, row, size, source_size, target, n, copies): one row for n equal rows of `docs`, with the copies of them all."""
     if list(weights) != [w for w in weights if w > 0]:
         raise ValueError("weights must be positive")
     sizes = store(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
@@ -123,14 +117,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     solved = multipliers(sizes, targets, most)
     rate = F.when(F.col("s.multiplier").isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.col("s.multiplier") * F.col("d.size") / F.col("s.mean"))))
     blocks = F.ceil(F.col("s.n_docs") / BLOCK_DOCS)
-    rated = sizes.alias("d").join(solved.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", rate.alias("rate"), F.pmod(F.xxhash64("d.doc_id", "d.size"), blocks).alias("block"))
-    found = rated.groupBy("source", "block").applyInPandas(lambda block: round_block(block, most), "doc_id long, size long, source_size long, target double, copies long")
+    block = F.pmod(F.xxhash64("d.doc_id", "d.size", "d.row"), blocks).alias("block")
+    equal = sizes.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("n"))
+    rated = equal.alias("d").join(solved.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.row", "d.source", "d.size", "d.n", "s.source_size", "s.target", rate.alias("rate"), block)
+    schema = "doc_id long, row long, size long, source_size long, target double, n long, copies long"
+    return rated.groupBy("source", "block").applyInPandas(lambda held: round_block(held, most), schema)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) for every row of `docs`; taken is copies times size.
+
+    Null and word-free texts have size 0 and no copies. A null source is a source of its own,
+    the last one. Repeated rows and null ids each keep a row, and rows equal in every column
+    have copies that differ by one at most. Ties in size go by id, then by a hash of all
+    columns, and nothing is random, so reruns agree. An empty table gives no rows.
+    """
+    found = _copies(docs, weights, share, most, id_col, text_col, source_col)
+    each = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")
+    found = found.select("doc_id", "size", "source_size", "target", "n", F.col("copies").alias("all"), each)
+    copies = F.expr("`all` DIV n + CAST(i <= `all` % n AS INT)").cast("long")
+    found = found.select("doc_id", "size", "source_size", "target", copies.alias("copies"))
     return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs`, each as many times as its copies; columns as they are. Rows that share an id share its largest number of copies."""
-    copies = mix(docs, id_col=id_col, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    # copies has as many rows as documents, so it is never broadcast: one plan at every size
-    joined = docs.alias("d").join(copies.hint("merge").alias("c"), F.expr(f"d.{id_col} <=> c.doc_id"))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy")).select([F.col(c) for c in docs.columns])
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, each as many times as its copies; columns as they are.
+
+    Rows are told apart by all their columns, not by ids, which may be null or repeated; n
+    rows equal in every column come as often as all their copies. Documents without words and
+    those with no copies do not come. An empty table gives no rows.
+    """
+    name = free_name(docs, "row")
+    found = _copies(docs, weights, share, most, id_col, text_col, source_col).where("copies > 0").select(F.col("row").alias(name), F.col("copies").cast("int"))
+    # as many rows as documents, so never broadcast: one plan at every size
+    keyed = docs.withColumn(name, row_key(docs)).alias("d").join(found.hint("merge").alias("c"), F.col(f"d.{name}") == F.col(f"c.{name}")).select("d.*", F.col("c.copies").alias(free_name(docs, "copies")))
+    once = keyed.dropDuplicates([name])
+    count = F.col(free_name(docs, "copies"))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), count)).alias(free_name(docs, "copy"))).select([F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from propspark.llm.mixing import mix, mixed
 
@@ -72,3 +73,22 @@ def test_repeats_and_empty_table(spark):
     assert len(out) == 3 and sum(r.taken for r in out) in (7, 8)
     assert mix(df.limit(0)).count() == 0 and mixed(df.limit(0)).count() == 0
     assert mix(df.selectExpr("doc_id", "'' AS text", "source")).collect()[0].taken == 0
+
+
+def test_rows_that_share_an_id_and_clashing_columns(spark):
+    """Copies go by row: texts of one id have copies of their own, and equal rows share theirs evenly."""
+    rows = [(7, "w " * (3 + i % 50), "abc"[i % 3], i % 2, i) for i in range(600)] + [(None, "same text here", "a", 1, 0)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, copies long").withColumn("row", F.array(F.lit(1)))
+    out = mix(df).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, s, *_ in rows:
+        sizes[s] += words(t)
+    got = mixed(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        taken[r.source] += words(r.text)
+    for s, t in brute_targets(sizes).items():
+        assert taken[s] == pytest.approx(t, rel=0.02)
+    assert len(out) == len(rows) and sum(r.taken for r in out) == sum(taken.values())
+    equal = [r.copies for r in out if r.doc_id is None]
+    assert len(equal) == 300 and max(equal) - min(equal) <= 1

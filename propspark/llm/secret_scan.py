@@ -33,7 +33,12 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 FORGE = re.compile(r"gh[opsur]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 REGISTRY = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", re.ASCII)
+# Up to the END line, whatever header lines come before the key; without one, header lines and what may be a key's digits.
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\s*(?:[A-Za-z-]+:[^\n]*\n)*[A-Za-z0-9+/=\s]*)",
+    re.ASCII,
+)
 DIGITS_62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX = frozenset("0123456789abcdef")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
@@ -162,11 +167,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """`docs` with every secret in its text replaced; all rows and columns stay, the length column is counted anew where the text changed.
+    """`docs` with every secret in its text replaced; all rows and columns stay, the length column, if there is one, is counted anew where the text changed.
 
-    Null texts stay null.
+    Null and empty texts stay as they are, and whole texts are read, however long. Rows do not
+    depend on each other, so repeated rows stay repeated. An empty table gives no rows.
     """
-    at, length_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
+    at, length_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

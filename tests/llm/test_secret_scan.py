@@ -73,3 +73,27 @@ def test_sf_documents_equal_brute_force(spark):
     for r in scan_secrets(docs).collect():
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_private_keys_go_whole():
+    body = "MIIEowIBAAKCAQEA7bq" * 9
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n{body}"
+    for key in (plain, locked, cut, "-----BEGIN PRIVATE KEY-----"):
+        text = f"before {key}"
+        assert [s for s in find_secrets(text) if s[0] == "private_key"] == [("private_key", 7, len(text))]
+        assert body not in redacted(text + " - after", find_secrets(text + " - after"))
+    two = plain + "\nbetween: \n" + plain
+    assert "between" in redacted(two, find_secrets(two)) and [k for k, _, _ in find_secrets(two)].count("private_key") == 2
+    assert not [s for s in find_secrets("-----BEGIN CERTIFICATE-----\nabc") if s[0] == "private_key"]
+
+
+def test_tables_without_length_and_with_clashing_columns(spark):
+    rows = [(1, "password=abcdef123", "a", 5), (1, "password=abcdef123", "a", 5), (None, None, None, None), (2, "", "b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, hit long")
+    out = without_secrets(df)
+    assert out.schema == df.schema
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, "[assign removed]", "a", 5)] * 2 + rows[2:]))
+    assert scan_secrets(df).count() == 4
+    assert without_secrets(df.limit(0)).count() == 0

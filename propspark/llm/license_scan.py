@@ -75,7 +75,7 @@ def evaluate(expression: str) -> tuple[list[str], float | None]:
     """Identifiers and score of the longest well-formed beginning of an expression; (no identifiers, None) if there is none.
 
     Both sides of `and` bind: the smaller score. `or` leaves the choice: the larger.
-    `with` an exception: at least the score of weak licenses.
+    `with` an exception, which is no license and is not named: at least the score of weak licenses.
     """
     output: list[tuple[float, bool]] = []
     operators: list[str] = []
@@ -100,7 +100,8 @@ def evaluate(expression: str) -> tuple[list[str], float | None]:
             operand, exception = True, word == "with"
         elif word and word not in PRECEDENCE and operand:
             output.append((openness(word), True))
-            names.append(word)
+            if not exception:
+                names.append(word)
             operand = exception = False
         else:
             break

@@ -124,7 +124,7 @@ def test_tokens_are_those_of_bytes_split():
     keys, n_all, n_good = chunk.counts(np.array([True] + [False] * (len(texts) - 1)))
     letters_of = lambda t: 2 * sum(len(w) + 1 for w in tokens(t))
     assert n_all.sum() == 3 * len(chunk.doc) + sum(map(letters_of, texts)) and n_good.sum() == 3 * 4 + letters_of(texts[0])
-    bits = losses(chunk, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]))
+    bits = losses(chunk, np.zeros(len(texts), dtype=bool), keys, np.stack([n_all, n_good]), np.zeros((2, 6 << 16)))
     assert (bits[:, [1, 2]] == 0).all() and (bits[:, [0, 3, 4, 5, 6]] > 0).all()
 
 

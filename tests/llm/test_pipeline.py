@@ -1,9 +1,11 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from propspark.llm.secret_scan import find_secrets
-from propspark.llm.simhash import fingerprint
-from tests_llm_helpers import brute_groups, check_pieces
+from test_near_copies import components as similar
+from tests_llm_helpers import check_pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +26,7 @@ def test_stages_equal_brute_force(spark):
 
     single = stage("near_dedup")(spark, kept, SF)
     assert single.columns == docs.columns
-    groups = brute_groups({r.doc_id: fingerprint(r.text or "", 3) for r in kept.collect()})
+    groups = similar({r.doc_id: r.text or "" for r in kept.collect()})
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(groups.values()))
 
     clean = stage("secrets")(spark, single, SF)
@@ -57,12 +59,43 @@ def test_stages_equal_brute_force(spark):
     check_pieces([p for p in pieces if copies[p.doc_id] == 1], {d: after[d].text for d in once}, 2048, offsets=False)
 
 
-def test_dedup_of_repeated_and_missing_ids(spark):
-    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "other words are here now"), (7, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = [(r.doc_id, r.text) for r in stage("near_dedup")(spark, docs, SF).collect()]
-    assert Counter(out)[(1, "a b c d")] == 1 and (7, None) in out and (2, "a b c d") not in out
-    assert (None, "other words are here now") in out
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+A, B = "a b c d e f", "quite another text of some words"
+
+
+def deduped(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    return sorted(((r.doc_id, r.text) for r in stage("near_dedup")(spark, docs, SF).collect()), key=repr)
+
+
+def test_dedup_goes_by_row(spark):
+    assert deduped(spark, [(1, A), (1, B)]) == [(1, A), (1, B)]  # two texts of one id
+    assert deduped(spark, [(0, B), (1, A), (1, B)]) == [(0, B), (1, A)]
+    assert deduped(spark, [(1, A), (1, A), (2, A.upper()), (None, A)]) == [(1, A)]
+    assert deduped(spark, [(None, A), (None, A), (None, B), (7, None), (8, ""), (9, " \n")]) == [(7, None), (None, A), (None, B)]
+
+
+def odd_table(spark):
+    long = "word number %d of a very long text that goes on and on " * 4000
+    rows = [(1, A, "en", "s", 1), (1, A, "en", "s", 1), (1, B, "en", "t", 2), (None, A, None, None, None), (None, None, None, None, None), (5, "", "de", "s", 0), (6, long % tuple(range(4000)), "en", "s", None), (7, "password=abcdef123 and more", "en", "t", 27), (8, "same length tie", "fr", "t", 3), (9, "same length row", "fr", "t", 3)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    extra = F.create_map(F.lit("k"), F.array(F.lit(1)))
+    return docs.withColumns({"row": F.lit(1), "_copy": F.lit("x"), "copies": F.lit(2.0), "extra": F.lit(True), "key": extra, "_kept": F.lit(1), "component": F.lit(1), "node": F.lit(1), "hit": F.lit(0), "block": F.lit(1), "size": F.lit(1)})
+
+
+def test_stages_take_any_rows_and_columns(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, nested and clashing columns, no length column."""
+    docs = odd_table(spark)
+    for table in (docs, docs.drop("n_chars"), docs.limit(0)):
+        for name, function in corpus_pipeline.STAGES:
+            out = function(spark, table, SF)
+            rows = out.collect()
+            assert name == "packing" or out.columns == table.columns
+            assert bool(rows) == bool(table.head(1))
+    assert stage("secrets")(spark, docs, SF).count() == docs.count()
+    assert stage("near_dedup")(spark, docs, SF).count() == docs.count() - 4  # A but once, null and empty texts are one group
+    pieces = stage("packing")(spark, docs, SF).collect()
+    assert sum(p.start == 0 for p in pieces) == docs.count()
 
 
 def test_run_and_empty_table(spark, tmp_path):

@@ -22,7 +22,9 @@ def fold_accents(names: pd.Series) -> pd.Series:
 
 def normalize_name(name: Column | str) -> Column:
     """Lower case without accents, generational suffixes and punctuation, single spaces."""
-    low = F.lower(fold_accents(name))
+    given = F.col(name) if isinstance(name, str) else name
+    foreign = given.rlike(r"[^\x00-\x7f]")  # only these leave the JVM
+    low = F.lower(F.when(foreign, fold_accents(F.when(foreign, given))).otherwise(given))
     bare = F.regexp_replace(F.regexp_replace(low, r"\b(jr|sr|ii|iii|iv)\b\.?", " "), r"[^a-z0-9 \s]", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 

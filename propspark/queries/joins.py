@@ -152,19 +152,31 @@ def j16(spark, sf):
     return out.withColumn("mean_diff", r6("mean_diff"))
 
 
-@query("e01_normalize_name", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(left(text, 40))), '[^\x00-\x7f]', '', 'g'), '\b(jr|sr|ii|iii|iv)\b\.?', ' ', 'g'), '[^a-z0-9 \s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
+def norm_sql(name: str) -> str:
+    """normalize_name() in DuckDB."""
+    folded = f"regexp_replace(lower(strip_accents({name})), '[^\\x00-\\x7f]', '', 'g')"
+    bare = rf"regexp_replace(regexp_replace({folded}, '\b(jr|sr|ii|iii|iv)\b\.?', ' ', 'g'), '[^a-z0-9 \s]', '', 'g')"
+    return rf"trim(regexp_replace({bare}, '\s+', ' ', 'g'))"
+
+
+@query("e01_normalize_name", f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def e01(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", N.normalize_name(F.substring("text", 1, 40)).alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", N.normalize_name("text").alias("norm"))
 
 
 @query(
     "e02_match_unique",
-    """WITH d AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' Jr.' END AS name FROM customer), n AS (SELECT c_custkey, lower(substr(name, 1, 17)) AS norm FROM d),
-       u AS (SELECT norm, min(c_custkey) AS id FROM n GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1) SELECT n.c_custkey, replace(n.norm, '#', '') AS norm, u.id AS matched FROM n LEFT JOIN u ON u.norm = n.norm""",
+    f"""WITH d AS (
+            SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Nation ' || c_nationkey ELSE c_name END || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' Jr.' END AS name FROM customer),
+        n AS (SELECT c_custkey, {norm_sql('name')} AS norm FROM d),
+        u AS (SELECT norm, min(c_custkey) AS id FROM n GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1)
+        SELECT n.c_custkey, n.norm, u.id AS matched FROM n LEFT JOIN u ON u.norm = n.norm""",
 )
 def e02(spark, sf):
-    d = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.when(F.col("c_custkey") % 7 == 0, "").otherwise(" Jr.")).alias("name"))
-    d = d.withColumn("norm", N.normalize_name(F.substring("name", 1, 17)))
+    """A fifth of the customers share the name of their nation, so that names are both unique and ambiguous."""
+    shared = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Nation "), "c_nationkey")).otherwise(F.col("c_name"))
+    d = table(spark, sf, "customer").select("c_custkey", F.concat(shared, F.when(F.col("c_custkey") % 7 == 0, "").otherwise(" Jr.")).alias("name"))
+    d = d.withColumn("norm", N.normalize_name("name"))
     return N.match_unique(d.select("c_custkey", "norm"), d.select(F.col("c_custkey").alias("id"), "norm"), "norm", "id").select("c_custkey", "norm", F.col("id").alias("matched"))
 
 

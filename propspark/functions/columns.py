@@ -86,10 +86,32 @@ def platoon_advantage(bats: Column | str, throws: Column | str) -> Column:
     return (effective_hand(bats, throws) != _c(throws)).cast("int")
 
 
-def weather_flags(text: Column | str) -> dict[str, Column]:
+# Venues whose roof is closed.
+DOME_VENUES = (
+    "rogers centre",
+    "tropicana field",
+    "minute maid park",
+    "globe life field",
+    "chase field",
+    "t-mobile park",
+    "american family field",
+    "loandepot park",
+    "miller park",
+)
+
+
+def weather_flags(text: Column | str, venue: Column | str | None = None) -> dict[str, Column]:
+    """Flags of a weather text. A game is indoors by its venue, by a dome or roof in the text, or where the wind is `none.`."""
     low = F.lower(_c(text))
     wind = F.when(low.startswith("out to"), 1).when(low.startswith("in from"), -1).when(low.isin("none.", "calm."), 0)
-    return {"is_dome": low.contains("dome") | low.contains("roof"), "wind_score": wind, "is_clear": low.startswith("clear") | low.startswith("sunny"), "has_rain": low.rlike("rain|drizzle|shower")}
+    dome = low.contains("dome") | low.contains("roof") | (low == "none.")
+    if venue is not None:
+        place = F.lower(_c(venue).cast("string"))
+        held = F.lit(False)
+        for name in DOME_VENUES:
+            held = held | place.contains(name)
+        dome = F.coalesce(held, F.lit(False)) | F.coalesce(dome, F.lit(False))
+    return {"is_dome": dome, "wind_score": wind, "is_clear": low.startswith("clear") | low.startswith("sunny"), "has_rain": low.rlike("rain|drizzle|shower")}
 
 
 def season_phase(day: Column | str) -> Column:

@@ -18,9 +18,9 @@ def p01(spark, sf):
     return table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in flags.items()])
 
 
-@query("p02_safe_casts", "SELECT c_custkey, TRY_CAST(substr(c_name, 10, 9) AS BIGINT) AS a, TRY_CAST(c_name AS BIGINT) AS b, round(TRY_CAST(c_acctbal AS DOUBLE), 1) AS bal FROM customer")
+@query("p02_safe_casts", "SELECT c_custkey, TRY_CAST(substr(c_name, 10, 9) AS BIGINT) AS a, TRY_CAST(CASE WHEN c_custkey % 2 = 0 THEN substr(c_name, 13, 6) ELSE c_name END AS BIGINT) AS b, round(TRY_CAST(c_acctbal AS DOUBLE), 1) AS bal FROM customer")
 def p02(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", C.safe_int(F.substring("c_name", 10, 9)).alias("a"), C.safe_int("c_name").alias("b"), C.safe_float(F.col("c_acctbal").cast("string"), 1).alias("bal"))
+    return table(spark, sf, "customer").select("c_custkey", C.safe_int(F.substring("c_name", 10, 9)).alias("a"), C.safe_int(F.when(F.col("c_custkey") % 2 == 0, F.substring("c_name", 13, 6)).otherwise(F.col("c_name"))).alias("b"), C.safe_float(F.col("c_acctbal").cast("string"), 1).alias("bal"))
 
 
 @query(
@@ -115,12 +115,19 @@ def p12(spark, sf):
 
 @query(
     "p13_text_flags",
-    """SELECT doc_id, contains(lower(text), 'dome') OR contains(lower(text), 'roof') AS is_dome,
-       CASE WHEN starts_with(lower(text), 'out to') THEN 1 WHEN starts_with(lower(text), 'in from') THEN -1 WHEN lower(text) IN ('none.', 'calm.') THEN 0 END AS wind_score,
-       starts_with(lower(text), 'clear') OR starts_with(lower(text), 'sunny') AS is_clear, regexp_matches(lower(text), 'rain|drizzle|shower') AS has_rain FROM documents""",
+    """WITH w AS (
+            SELECT doc_id, CASE WHEN doc_id % 8 = 5 THEN 'None.' ELSE ['Out to left, ', 'In from right, ', 'Clear: ', 'Sunny. ', 'Drizzle, ', '', 'Roof closed, ', 'Calm, '][doc_id % 8 + 1] || text END AS sky,
+                   CASE WHEN doc_id % 9 = 0 THEN 'Chase Field' ELSE source END AS venue FROM documents)
+       SELECT doc_id, coalesce(contains(lower(sky), 'dome') OR contains(lower(sky), 'roof') OR lower(sky) = 'none.', false) OR coalesce(lower(venue) = 'chase field', false) AS is_dome,
+       CASE WHEN starts_with(lower(sky), 'out to') THEN 1 WHEN starts_with(lower(sky), 'in from') THEN -1 WHEN lower(sky) IN ('none.', 'calm.') THEN 0 END AS wind_score,
+       starts_with(lower(sky), 'clear') OR starts_with(lower(sky), 'sunny') AS is_clear, regexp_matches(lower(sky), 'rain|drizzle|shower') AS has_rain FROM w""",
 )
 def p13(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in C.weather_flags("text").items()])
+    k = F.col("doc_id") % 8
+    starts = F.get(F.array(*map(F.lit, ["Out to left, ", "In from right, ", "Clear: ", "Sunny. ", "Drizzle, ", "", "Roof closed, ", "Calm, "])), k.cast("int"))
+    sky = F.when(k == 5, "None.").otherwise(F.concat(starts, "text"))
+    venue = F.when(F.col("doc_id") % 9 == 0, "Chase Field").otherwise(F.col("source"))
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in C.weather_flags(sky, venue).items()])
 
 
 @query(

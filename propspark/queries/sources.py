@@ -36,11 +36,11 @@ def s03(spark, sf):
     return IO.read_csv(spark, path, "game_id LONG, day DATE, home_score INT, season INT", ["game_id", "day", "home_score"])
 
 
-@query("s04_flatten_json", "SELECT event_id, event_id AS prop_id, 'p' || user_id AS player_first, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS over_line, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS over_odds, CAST(NULL AS DOUBLE) AS actual FROM events")
+@query("s04_flatten_json", "SELECT event_id, event_id AS prop_id, 'p' || user_id AS player_first, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS over_line, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS over_odds, CASE WHEN event_id % 4 <> 0 THEN value / 2 END AS actual FROM events")
 def s04(spark, sf):
     odds = F.get_json_object("props", "$.k").cast("int")
     over = F.when(F.col("event_id") % 3 != 0, F.struct(F.col("value").alias("line"), odds.alias("odds")))
-    e = table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.concat(F.lit("p"), "user_id").alias("first")).alias("player"), over.alias("over"))).alias("j"))
+    e = table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.concat(F.lit("p"), "user_id").alias("first")).alias("player"), over.alias("over"), F.when(F.col("event_id") % 4 != 0, F.struct((F.col("value") / 2).alias("actual"))).alias("score"))).alias("j"))
     return IO.flatten_prop(e, "j").select("event_id", "prop_id", "player_first", "over_line", "over_odds", "actual")
 
 
@@ -114,9 +114,9 @@ def s10(spark, sf):
     return IO.upsert(t, b, ["player_id", "line"], ["actual"], {"price": "closing_price"})
 
 
-@query("s11_new_only", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("s11_new_only", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01')")
 def s11(spark, sf):
-    return IO.new_only(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return IO.new_only(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_orderdate >= DATE '2001-01-01'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("s12_changed_rows", with_views("SELECT game_id, CASE WHEN game_id % 4 = 0 THEN NULL ELSE home_score + CAST(game_id % 4 = 1 AS INT) END AS home_score FROM team_game WHERE game_id % 4 IN (0, 1)", "team_game"))

@@ -26,3 +26,10 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry_gives_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["e01_normalize_name", "e02_match_unique", "p02_safe_casts", "p13_text_flags", "s04_flatten_json", "s11_new_only", "w24_drawdown", "x07_settle"])
+def test_inputs_tell_results_apart(db, name):
+    """Every column of the result takes two values at least."""
+    found = db.execute(SQL[name]).fetchdf()
+    assert len(found) > 1 and (found.nunique(dropna=False) > 1).all()

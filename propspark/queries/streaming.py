@@ -95,14 +95,14 @@ def x06(spark, sf):
     return spark.read.parquet(f"{out}/version={last}").select("prop_id", "source", "opening", "closing")
 
 
-SETTLE = """, t AS (SELECT player_id, line, CASE WHEN over_odds > under_odds THEN 'over' ELSE 'under' END AS side FROM quotes WHERE book_id = 1), x AS (SELECT l_partkey AS player_id, CAST(count(*) % 6 AS DOUBLE) AS actual FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
-        SELECT t.player_id, line, side, actual, CASE WHEN actual = line THEN 'push' WHEN (side = 'over') = (actual > line) THEN 'win' WHEN actual IS NOT NULL THEN 'loss' END AS result, CAST(CASE WHEN actual IS NULL THEN NULL WHEN actual = line THEN 0.0 WHEN (side = 'over') = (actual > line) THEN 0.9 ELSE -1.0 END AS DOUBLE) AS profit FROM t LEFT JOIN x USING (player_id)"""
+SETTLE = """, t AS (SELECT player_id, book_id, line, CASE WHEN over_odds > under_odds THEN 'over' ELSE 'under' END AS side FROM quotes), x AS (SELECT l_partkey AS player_id, CAST(count(*) % 6 AS DOUBLE) AS actual FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+        SELECT t.player_id, book_id, line, side, actual, CASE WHEN actual = line THEN 'push' WHEN (side = 'over') = (actual > line) THEN 'win' WHEN actual IS NOT NULL THEN 'loss' END AS result, CAST(CASE WHEN actual IS NULL THEN NULL WHEN actual = line THEN 0.0 WHEN (side = 'over') = (actual > line) THEN 0.9 ELSE -1.0 END AS DOUBLE) AS profit FROM t LEFT JOIN x USING (player_id)"""
 
 
 @query("x07_settle", with_views(SETTLE, "quotes"))
 def x07(spark, sf):
-    q = view(spark, sf, "quotes").where("book_id = 1")
-    bets = q.select("player_id", "line", F.when(F.col("over_odds") > F.col("under_odds"), "over").otherwise("under").alias("side"), F.lit(1.9).alias("payout"))
+    q = view(spark, sf, "quotes")
+    bets = q.select("player_id", "book_id", "line", F.when(F.col("over_odds") > F.col("under_odds"), "over").otherwise("under").alias("side"), F.lit(1.9).alias("payout"))
     box = table(spark, sf, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("player_id")).agg((F.count("*") % 6).alias("hits"))
     out = X.settle(bets, box, ["player_id"], ["hits"], "line", "side", "payout")
-    return out.select("player_id", "line", "side", "actual", "result", F.round("profit", 6).alias("profit"))
+    return out.select("player_id", "book_id", "line", "side", "actual", "result", F.round("profit", 6).alias("profit"))

@@ -217,11 +217,20 @@ def w22(spark, sf):
     return W.days_to_gap(view(spark, sf, "entity_day"), "entity_id", "day")
 
 
-@query("w24_drawdown", with_views(", b AS (SELECT market_id, prop_date, sum(CASE WHEN actual > line THEN 0.9 ELSE -1 END) AS p FROM quotes WHERE book_id = 1 GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY market_id ORDER BY prop_date ROWS UNBOUNDED PRECEDING) AS c FROM b), k AS (SELECT *, greatest(0, max(c) OVER (PARTITION BY market_id ORDER BY prop_date ROWS UNBOUNDED PRECEDING)) AS peak FROM c) SELECT market_id, round(CAST(sum(p) AS DOUBLE), 6) AS total, round(CAST(min(c - peak) AS DOUBLE), 6) AS drawdown FROM k GROUP BY 1", "quotes"))
+@query(
+    "w24_drawdown",
+    with_views(
+        """, b AS (SELECT market_id, book_id, prop_date, sum(CASE WHEN actual > line THEN 0.9 ELSE -1 END) AS p FROM quotes GROUP BY 1, 2, 3),
+        c AS (SELECT *, sum(p) OVER w AS c FROM b WINDOW w AS (PARTITION BY market_id, book_id ORDER BY prop_date ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT *, greatest(0, max(c) OVER w) AS peak FROM c WINDOW w AS (PARTITION BY market_id, book_id ORDER BY prop_date ROWS UNBOUNDED PRECEDING))
+        SELECT market_id, book_id, round(CAST(sum(p) AS DOUBLE), 6) AS total, round(CAST(min(c - peak) AS DOUBLE), 6) AS drawdown FROM k GROUP BY 1, 2""",
+        "quotes",
+    ),
+)
 def w24(spark, sf):
-    q = view(spark, sf, "quotes").where("book_id = 1").withColumn("p", F.when(F.col("actual") > F.col("line"), 0.9).otherwise(-1.0))
-    daily = q.groupBy("market_id", "prop_date").agg(F.sum("p").alias("p"))
-    return W.max_drawdown(daily, ["market_id"], "prop_date", "p").select("market_id", r6("total").alias("total"), r6("drawdown").alias("drawdown"))
+    q = view(spark, sf, "quotes").withColumn("p", F.when(F.col("actual") > F.col("line"), 0.9).otherwise(-1.0))
+    daily = q.groupBy("market_id", "book_id", "prop_date").agg(F.sum("p").alias("p"))
+    return W.max_drawdown(daily, ["market_id", "book_id"], "prop_date", "p").select("market_id", "book_id", r6("total").alias("total"), r6("drawdown").alias("drawdown"))
 
 
 @query("w25_latest_per_key", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -257,17 +266,17 @@ def w28(spark, sf):
 @query(
     "w29_streak_stats",
     with_views(
-        """, b AS (SELECT market_id, prop_date, player_id, line, CASE WHEN actual > line THEN 'win' ELSE 'loss' END AS r, CASE WHEN actual > line THEN 0.9 ELSE -1 END AS p FROM quotes WHERE book_id = 1),
-        i AS (SELECT *, row_number() OVER o - row_number() OVER (PARTITION BY market_id, r ORDER BY prop_date, player_id, line) AS g, 100 + sum(p) OVER (PARTITION BY market_id ORDER BY prop_date, player_id, line ROWS UNBOUNDED PRECEDING) AS bank FROM b WINDOW o AS (PARTITION BY market_id ORDER BY prop_date, player_id, line)),
-        k AS (SELECT *, greatest(100, max(bank) OVER (PARTITION BY market_id ORDER BY prop_date, player_id, line ROWS UNBOUNDED PRECEDING)) AS peak, count(*) OVER (PARTITION BY market_id, r, g) AS len FROM i)
-        SELECT market_id, coalesce(max(len) FILTER (r = 'win'), 0) AS longest_win, coalesce(max(len) FILTER (r = 'loss'), 0) AS longest_loss, round(CAST(min(bank / CAST(peak AS DOUBLE) - 1) AS DOUBLE), 6) AS worst_fall FROM k GROUP BY 1""",
+        """, b AS (SELECT market_id, book_id, prop_date, player_id, line, CASE WHEN actual > line THEN 'win' ELSE 'loss' END AS r, CASE WHEN actual > line THEN 0.9 ELSE -1 END AS p FROM quotes),
+        i AS (SELECT *, row_number() OVER o - row_number() OVER (PARTITION BY market_id, book_id, r ORDER BY prop_date, player_id, line) AS g, 100 + sum(p) OVER (PARTITION BY market_id, book_id ORDER BY prop_date, player_id, line ROWS UNBOUNDED PRECEDING) AS bank FROM b WINDOW o AS (PARTITION BY market_id, book_id ORDER BY prop_date, player_id, line)),
+        k AS (SELECT *, greatest(100, max(bank) OVER (PARTITION BY market_id, book_id ORDER BY prop_date, player_id, line ROWS UNBOUNDED PRECEDING)) AS peak, count(*) OVER (PARTITION BY market_id, book_id, r, g) AS len FROM i)
+        SELECT market_id, book_id, coalesce(max(len) FILTER (r = 'win'), 0) AS longest_win, coalesce(max(len) FILTER (r = 'loss'), 0) AS longest_loss, round(CAST(min(bank / CAST(peak AS DOUBLE) - 1) AS DOUBLE), 6) AS worst_fall FROM k GROUP BY 1, 2""",
         "quotes",
     ),
 )
 def w29(spark, sf):
-    q = view(spark, sf, "quotes").where("book_id = 1").withColumn("r", F.when(F.col("actual") > F.col("line"), "win").otherwise("loss")).withColumn("p", F.when(F.col("r") == "win", 0.9).otherwise(-1.0))
-    out = W.streak_stats(q, ["market_id"], ["prop_date", "player_id", "line"], "r", "p", 100.0)
-    return out.select("market_id", "longest_win", "longest_loss", r6("worst_fall").alias("worst_fall"))
+    q = view(spark, sf, "quotes").withColumn("r", F.when(F.col("actual") > F.col("line"), "win").otherwise("loss")).withColumn("p", F.when(F.col("r") == "win", 0.9).otherwise(-1.0))
+    out = W.streak_stats(q, ["market_id", "book_id"], ["prop_date", "player_id", "line"], "r", "p", 100.0)
+    return out.select("market_id", "book_id", "longest_win", "longest_loss", r6("worst_fall").alias("worst_fall"))
 
 
 @query(

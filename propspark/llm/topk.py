@@ -178,18 +178,22 @@ def _top_k_of_width(vectors: DataFrame, width: int, k: int, every: int, path: st
     sample_rows, points = np.array([r.row for r in sample]), np.array([r.v for r in sample], dtype=np.int64)
     pivots = choose_pivots(points, PIVOTS)
     index = build_index(vectors, pivots, ring_edges(points, pivots))
-    rings = index.groupBy("ring", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("largest")).collect()  # PIVOTS * RINGS rows at most
+    asked_for = F.count_if(F.col("vec_id") % every == 0).alias("asked")
+    rings = index.groupBy("ring", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("largest"), asked_for).collect()  # PIVOTS * RINGS rows at most
     size = min(CHUNK, room)
-    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "ring", "distance")
-    parts = -(-asked.count() // size)
+    parts = -(-sum(r.asked for r in rings) // size)
     if not parts:
         return
-    asked = store(asked.repartitionByRange(parts, "ring", "distance", "row").sortWithinPartitions("ring", "distance", "row").select("row", "vec_id", "v", F.spark_partition_id().alias("chunk")), "topk-queries")
+    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "ring", "distance")
+    asked = asked.repartitionByRange(parts, "ring", "distance", "row").sortWithinPartitions("ring", "distance", "row")
+    asked = store(asked.select("row", "vec_id", "v", F.spark_partition_id().alias("chunk")), "topk-queries")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    for (chunk,) in asked.select("chunk").distinct().orderBy("chunk").collect():  # one number for `size` queries or so
-        mine = asked.where(F.col("chunk") == chunk)
-        last = None
-        while held := (mine if last is None else mine.where(F.col("row") > last)).orderBy("row").limit(size).collect():
+    for chunk in range(parts):
+        mine, last, held = asked.where(F.col("chunk") == chunk), None, None
+        while held is None or len(held) == size:  # ranges come out uneven, so a chunk may take more than one turn
+            held = (mine if last is None else mine.where(F.col("row") > last)).orderBy("row").limit(size).collect()
+            if not held:
+                break
             last = held[-1].row
             queries = Queries(held, pivots, sample_rows, points, k)
             hits = index.where(F.col("ring").isin(queries.reached(rings))).mapInArrow(_search(queries, k), "query long, query_id long, vec_id long, score long")

@@ -77,7 +77,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     stay; a line that several messages wrote belongs to the first. An empty table gives no
     rows; other columns are not read.
     """
-    lines = parsed(messages, conv_col, turn_col, role_col, text_col)
+    lines = store(parsed(messages, conv_col, turn_col, role_col, text_col), "quote-lines")  # read by three branches
     up = threads(reply_links(lines))
     n_quoted = F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long")
     own = lines.select("conv_id", "turn", "role", own_text(F.col("lines")).alias("text"), n_quoted.alias("n_quoted"))

@@ -122,21 +122,19 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 classes.append(chars)
                 commons.append(common)
             numbers = np.array(rows, dtype=np.int64).reshape(len(rows), 5)
-            columns = [batch.column(0), batch.column(2), *(pa.array(numbers[:, k]) for k in range(5)), pa.array([x.tolist() for x in classes], pa.list_(pa.int64())), pa.array([x.tolist() for x in commons], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"])
+            columns = [batch.column(0), batch.column(2), *(pa.array(numbers[:, k]) for k in range(5)), pa.array([x.tolist() for x in classes], pa.list_(pa.int64())), pa.array([x.tolist() for x in commons], pa.list_(pa.int64())), pa.array([int(x.sum()) for x in classes], pa.int64()), pa.array([int(x.sum()) for x in commons], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common", "chars_total", "common_total"])
 
     known = F.when(F.col(lang_col).isin(*COMMON_WORDS), F.col(lang_col)).otherwise(OTHER)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), known.alias("lang"))
-    return picked.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>")
+    return picked.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>, chars_total long, common_total long")
 
 
 def jensen_shannon(p: str, q: str) -> F.Column:
-    """Jensen-Shannon distance, base 2, of two array columns of counts; null if either is all zero."""
+    """Jensen-Shannon distance, base 2, of two array columns of counts, whose sums the columns `<name>_total` hold; null if either is all zero."""
     return F.expr(f"""
         sqrt(greatest(0D, aggregate(
-            zip_with({p}, {q}, (x, y) -> named_struct(
-                'x', try_divide(x, aggregate({p}, 0D, (s, v) -> s + v)),
-                'y', try_divide(y, aggregate({q}, 0D, (s, v) -> s + v)))),
+            zip_with({p}, {q}, (x, y) -> named_struct('x', try_divide(x, {p}_total), 'y', try_divide(y, {q}_total))),
             0D,
             (s, t) -> s + if(t.x > 0, t.x * log2(2 * t.x / (t.x + t.y)), 0D) / 2 + if(t.y > 0, t.y * log2(2 * t.y / (t.x + t.y)), 0D) / 2)))
     """)
@@ -155,10 +153,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     good = rows.where("not base_failed").groupBy("lang")
-    sums = good.agg(F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CHAR_CLASSES))]).alias("ref_chars"), F.array(*[F.sum(F.col("common")[i]) for i in range(COMMON_COUNT + 1)]).alias("ref_common"))
+    sums = good.agg(F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CHAR_CLASSES))]).alias("ref_chars"), F.array(*[F.sum(F.col("common")[i]) for i in range(COMMON_COUNT + 1)]).alias("ref_common"), *[F.sum(f"{c}_total").alias(f"ref_{c}_total") for c in ("chars", "common")])
     out = rows.join(F.broadcast(sums), "lang", "left")  # a row for each known language at most
     out = out.withColumn("char_distance", jensen_shannon("chars", "ref_chars")).withColumn("word_distance", jensen_shannon("common", "ref_common"))
-    far_chars = (F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x) >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
-    far_words = (F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x) >= MIN_JUDGED_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    far_chars = (F.col("chars_total") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
+    far_words = (F.col("common_total") >= MIN_JUDGED_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     kept = ~F.col("base_failed") & ~F.coalesce(far_chars, F.lit(False)) & ~F.coalesce(far_words, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")

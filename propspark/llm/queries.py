@@ -15,6 +15,7 @@ from propspark.llm.packing import pack
 from propspark.llm.quality_rules import judge
 from propspark.llm.quote_links import link_quotes
 from propspark.llm.secret_scan import scan_secrets
+from propspark.llm.sharding import shard_documents
 from propspark.llm.simhash import simhash_groups
 from propspark.llm.topk import top_k
 
@@ -66,6 +67,10 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_scores(docs, fit_importance(docs, read(spark, sf_dir, "labels")))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quote_links": op8_quote_links,
     "op9_licenses": op9_licenses,
     "op10_importance": op10_importance,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -18,6 +18,7 @@ from propspark.llm.secret_scan import scan_secrets
 from propspark.llm.sharding import shard_documents
 from propspark.llm.simhash import simhash_groups
 from propspark.llm.topk import top_k
+from propspark.llm.whitening import by_component, whiten
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -67,6 +68,10 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_scores(docs, fit_importance(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(read(spark, sf_dir, "embeddings")))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quote_links": op8_quote_links,
     "op9_licenses": op9_licenses,
     "op10_importance": op10_importance,
+    "op11_whitening": op11_whitening,
     "op13_sharding": op13_sharding,
 }
 

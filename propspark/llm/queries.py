@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propspark.llm.common import read
+from propspark.llm.hard_negatives import mine_hard_negatives
 from propspark.llm.importance import fit_importance, importance_scores
 from propspark.llm.license_scan import scan_licenses
 from propspark.llm.lm_score import cross_entropy_difference
@@ -72,6 +74,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whiten(read(spark, sf_dir, "embeddings")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", relabelled))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_importance": op10_importance,
     "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sharding": op13_sharding,
 }
 
@@ -129,6 +137,26 @@ ORACLE_SQL: dict[str, str] = {
         FROM m JOIN own ON own.row_no = m.row_no
         LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
         LEFT JOIN ends e ON e.conv_id = m.conv_id AND e.turn = m.turn""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.row_no, a.vec_id AS anchor_id, c.row_no AS other, c.vec_id, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.row_no <> c.row_no AND len(a.v) = len(c.v)),
+        positive AS (
+            SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id, other) AS k FROM scored WHERE same
+            QUALIFY k <= 5),
+        ranked AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.row_no, p.k ORDER BY n.score DESC, n.vec_id, n.other) AS INT) AS rank
+            FROM positive p JOIN scored n
+              ON n.row_no = p.row_no AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10""",
     "op3_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from propspark.queries.registry import query
 from propspark.queries.sources import work_dir
 from propspark.streaming import snapshots as X
+from propspark.streaming import state as S
 from propspark.views import table, view, with_views
 
 SNAP_COLUMNS = {
@@ -89,10 +90,10 @@ def x05(spark, sf):
 @query("x06_latest_state", with_views("SELECT prop_id, source, arg_min(over_odds, quote_id) AS opening, arg_max(over_odds, quote_id) AS closing FROM snap GROUP BY 1, 2", "snap"))
 def x06(spark, sf):
     out = work_dir(spark, "state")
-    merge = X.latest_state(spark, out, ["prop_id", "source"], "captured_at", "quote_id", "over_odds")
-    done = X.run_available(snap_stream(spark, sf), f"{out}-checkpoint", each=merge)
-    last = max(p["batchId"] for p in done.recentProgress)
-    return spark.read.parquet(f"{out}/version={last}").select("prop_id", "source", "opening", "closing")
+    S.use_rocksdb(spark)
+    prices = S.latest_prices(snap_stream(spark, sf), ["prop_id", "source"], "captured_at", "quote_id", "over_odds")
+    X.run_available(prices, f"{out}-checkpoint", each=S.write_changes(out), mode="update", idle_batches=False)
+    return S.current(spark.read.parquet(out), ["prop_id", "source"]).select("prop_id", "source", "opening", "closing")
 
 
 SETTLE = """, t AS (SELECT player_id, book_id, line, CASE WHEN over_odds > under_odds THEN 'over' ELSE 'under' END AS side FROM quotes), x AS (SELECT l_partkey AS player_id, CAST(count(*) % 6 AS DOUBLE) AS actual FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
@@ -101,8 +102,26 @@ SETTLE = """, t AS (SELECT player_id, book_id, line, CASE WHEN over_odds > under
 
 @query("x07_settle", with_views(SETTLE, "quotes"))
 def x07(spark, sf):
+    """Bets and box rows come as streams, in four batches; every key closes at one time, which the clock says at the end."""
+    out = work_dir(spark, "settle")
+    at = F.lit("1999-01-01 12:00:00").cast("timestamp")
     q = view(spark, sf, "quotes")
-    bets = q.select("player_id", "book_id", "line", F.when(F.col("over_odds") > F.col("under_odds"), "over").otherwise("under").alias("side"), F.lit(1.9).alias("payout"))
-    box = table(spark, sf, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("player_id")).agg((F.count("*") % 6).alias("hits"))
-    out = X.settle(bets, box, ["player_id"], ["hits"], "line", "side", "payout")
-    return out.select("player_id", "book_id", "line", "side", "actual", "result", F.round("profit", 6).alias("profit"))
+    side = F.when(F.col("over_odds") > F.col("under_odds"), "over").otherwise("under")
+    bets = q.select("player_id", "book_id", "line", side.alias("side"), F.lit(1.9).alias("payout"), F.concat_ws("/", "player_id", "book_id", F.monotonically_increasing_id()).alias("bet_id"), at.alias("at"))
+    box = table(spark, sf, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("player_id"), (F.col("l_orderkey") % 4).alias("part")).agg(F.count("*").alias("hits"))
+    box = box.select("player_id", "hits", F.concat_ws("/", "player_id", "part").alias("row_id"), at.alias("at"), "part")
+    bets.write.parquet(f"{out}/bets")
+    box.repartition(4, "part").write.parquet(f"{out}/box")
+    clock = spark.createDataFrame([("1999-01-03",)], "at string").selectExpr("CAST(at AS timestamp) AS at")
+    clock.limit(0).write.parquet(f"{out}/clock")
+    S.use_rocksdb(spark)
+
+    def settled():
+        stream = lambda name, df, **o: spark.readStream.schema(df.schema).options(**o).parquet(f"{out}/{name}")
+        return S.settle_stream(stream("bets", bets), stream("box", box, maxFilesPerTrigger=1), ["player_id"], ["hits"], "line", "side", "payout", ("bet_id", "row_id"), "at", F.lit("1999-01-02"), "1 hour", stream("clock", clock), lambda total: total % 6)
+
+    X.run_available(settled(), f"{out}/state", f"{out}/settled")
+    clock.write.mode("append").parquet(f"{out}/clock")
+    X.run_available(settled(), f"{out}/state", f"{out}/settled")
+    found = spark.read.parquet(f"{out}/settled")
+    return found.select("player_id", "book_id", "line", "side", "actual", "result", F.round("profit", 6).alias("profit"))

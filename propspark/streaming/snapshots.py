@@ -57,36 +57,6 @@ def edge_sessions(df: DataFrame, ts: str, keys: list[str], gap: str) -> DataFram
     return g.select(*keys, "captures", "first_seen", "last_seen")
 
 
-def batch_state(batch: DataFrame, keys: list[str], ts: str, tie: str, price: str) -> DataFrame:
-    """A batch's opening and closing price per key, with their times."""
-    at = F.struct(ts, tie)
-    first, last = F.min_by(F.struct(F.col(ts).alias("t"), F.col(price).alias("p")), at), F.max_by(F.struct(F.col(ts).alias("t"), F.col(price).alias("p")), at)
-    return batch.groupBy(*keys).agg(first.alias("_f"), last.alias("_l")).select(*keys, F.col("_f.t").alias("opened_at"), F.col("_f.p").alias("opening"), F.col("_l.t").alias("closed_at"), F.col("_l.p").alias("closing"))
-
-
-def merge_state(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Earlier openings stay, later closings replace; a batch that comes twice changes nothing."""
-    both = state.unionByName(new)
-    o, c = F.min_by("opening", "opened_at"), F.max_by("closing", "closed_at")
-    return both.groupBy(*keys).agg(F.min("opened_at").alias("opened_at"), o.alias("opening"), F.max("closed_at").alias("closed_at"), c.alias("closing"))
-
-
-def latest_state(spark: SparkSession, path: str, keys: list[str], ts: str, tie: str, price: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the state table under `path`, one version per batch.
-
-    A batch reads the version before its own and writes its own anew, so a batch that is
-    repeated after a failure gives the same version.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch_state(batch, keys, ts, tie, price)
-        if batch_id > 0:
-            new = merge_state(spark.read.parquet(f"{path}/version={batch_id - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return merge
-
-
 def settle(bets: DataFrame, box: DataFrame, keys: list[str], stats: list[str], line: str, side: str, payout: str) -> DataFrame:
     """Bets with actual, result and profit where the box score is there; several rows of a key (two games a day) are summed."""
     actual = box.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in stats])
@@ -96,26 +66,35 @@ def settle(bets: DataFrame, box: DataFrame, keys: list[str], stats: list[str], l
     return out.withColumn("profit", O.profit("result", payout))
 
 
-def settle_stream(spark: SparkSession, bets_path: str, out_path: str, keys: list[str], stats: list[str], line: str, side: str, payout: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that settles the bets on file with the box scores of a batch; what has no score yet stays out."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        bets = spark.read.parquet(bets_path)
-        done = settle(bets, batch, keys, stats, line, side, payout).where("result IS NOT NULL")
-        done.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return run
-
-
 def unresolved(bets: DataFrame, box: DataFrame, keys: list[str]) -> DataFrame:
     return IO.new_only(bets, box, keys).agg(F.count("*").alias("unresolved"))
 
 
-def run_available(df: DataFrame, checkpoint: str, path: str | None = None, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", seconds: int = 300) -> StreamingQuery:
-    """Runs a stream over what is there, into a table or a function, and waits for it."""
+def run_available(
+    df: DataFrame,
+    checkpoint: str,
+    path: str | None = None,
+    each: Callable[[DataFrame, int], None] | None = None,
+    mode: str = "append",
+    seconds: int | None = None,
+    idle_batches: bool = True,
+) -> StreamingQuery:
+    """Runs a stream over what is there, into a table or a function, and waits for it; given `seconds`, no longer than that.
+
+    idle_batches: whether batches without rows run when the watermark has moved. State that
+    expires by the clock would ask for them without end, so its streams go without.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    started = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
-    if not started.awaitTermination(seconds):
+    before = conf.get(key)
+    conf.set(key, str(idle_batches).lower())
+    try:  # a stream takes the setting when it starts
+        started = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
+    finally:
+        conf.set(key, before)
+    if seconds is None:
+        started.awaitTermination()
+    elif not started.awaitTermination(seconds):
         started.stop()
         raise TimeoutError(f"the stream did not end within {seconds} s")
     return started

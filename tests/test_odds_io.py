@@ -9,6 +9,7 @@ from propspark.operators import models as M
 from propspark.operators import names as N
 from propspark.sources import io as IO
 from propspark.streaming import snapshots as X
+from propspark.streaming import state as S
 
 
 def one(spark, **columns):
@@ -80,9 +81,9 @@ def test_streams_equal_batches_with_late_and_repeated_rows(spark, tmp_path):
         spark.createDataFrame(rows, "qid int, k string, t timestamp, price int").coalesce(1).write.mode("append").parquet(source)
     schema = spark.read.parquet(source).schema
     stream = X.stream_snapshots(spark, source, schema, ["qid"], "t", "6 hours", files_per_trigger=1)
-    done = X.run_available(stream, f"{tmp_path}/c", each=X.latest_state(spark, out, ["k"], "t", "qid", "price"))
-    last = max(p["batchId"] for p in done.recentProgress)
-    got = {r.k: (r.opening, r.closing) for r in spark.read.parquet(f"{out}/version={last}").collect()}
+    S.use_rocksdb(spark)
+    X.run_available(S.latest_prices(stream, ["k"], "t", "qid", "price"), f"{tmp_path}/c", each=S.write_changes(out), mode="update", idle_batches=False)
+    got = {r.k: (r.opening, r.closing) for r in S.current(spark.read.parquet(out), ["k"]).collect()}
     assert got == {"a": (-105, 120), "b": (100, 100)}
 
 

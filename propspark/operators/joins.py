@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propspark.operators.ordered import order_statistics
+
 
 def _keys(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -56,20 +58,31 @@ def asof(left: DataFrame, right: DataFrame, by, on: str, columns: list[str], str
 def nearest(left: DataFrame, right: DataFrame, by, ts: str, seconds: int, left_id: str, columns: list[str], tie: str) -> DataFrame:
     """Every left row that has a right row of its key within `seconds`, with the nearest one's columns and the gap.
 
-    Times fall in buckets of that length; right rows are offered to their own and both
-    neighbouring buckets, so the join is an equi-join.
+    Both sides are sorted together, once in each direction: a left row takes the last right row
+    before it and the first behind it, and of these the nearer one, on a tie the one with the
+    smaller `tie`. No pairs are made. Times fall in buckets of `seconds`, and a right row is
+    offered to its own and both neighbouring ones, so a key is spread over its buckets. Rows
+    without a key or a time have no neighbour. left_id is not needed to tell rows apart.
     """
     by = _keys(by)
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = seconds * 1_000_000
-    r = right.select(*by, at(ts).alias("_rt"), F.col(tie).alias("_tie"), *[F.col(c).alias(f"_r_{c}") for c in columns])
-    bucket = F.floor(F.col("_rt") / width)
-    r = r.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    a = left.withColumn("_lt", at(ts)).withColumn("_b", F.floor(F.col("_lt") / width))
-    gap = F.abs(F.col("_lt") - F.col("_rt"))
-    met = a.join(r, [*by, "_b"]).where(gap <= width).withColumn("gap_seconds", gap / 1_000_000)
-    order = Window.partitionBy(left_id).orderBy(gap, "_tie")
-    return met.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*left.columns, *[F.col(f"_r_{c}").alias(f"near_{c}") for c in columns], "gap_seconds")
+    keyed = lambda df: df.where(F.col(ts).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in by)))
+    bucket = F.floor(F.col("_t") / width)
+    held = F.struct(F.col("_t").alias("t"), F.col(tie).alias("tie"), *[F.col(c).alias(f"c_{c}") for c in columns])
+    a = keyed(left).withColumn("_t", at(ts)).select(*[F.col(k).alias(f"_k_{k}") for k in by], "_t", bucket.alias("_b"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))
+    b = keyed(right).withColumn("_t", at(ts)).select(*[F.col(k).alias(f"_k_{k}") for k in by], "_t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"), held.alias("_right"), F.col(tie).alias("_tie"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    group = Window.partitionBy(*[f"_k_{k}" for k in by], "_b")
+    is_left = F.col("_left").isNotNull()
+    # of one time, the right row with the smallest tie comes last before the left rows, in either direction
+    up = group.orderBy(F.col("_t"), is_left, F.desc_nulls_first("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    down = group.orderBy(F.desc("_t"), is_left, F.desc_nulls_first("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_before", F.last("_right", ignorenulls=True).over(up)).withColumn("_behind", F.last("_right", ignorenulls=True).over(down)).where(is_left)
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_t")).alias("gap"), F.col(f"{c}.tie").alias("tie"), F.col(c).alias("row")))
+    best = F.array_min(F.array_compact(F.array(near("_before"), near("_behind"))))
+    found = met.withColumn("_best", best).where(F.col("_best.gap") <= width)
+    return found.select("_left.*", *[F.col(f"_best.row.c_{c}").alias(f"near_{c}") for c in columns], (F.col("_best.gap") / 1_000_000).alias("gap_seconds"))
 
 
 def overlap(quotes: DataFrame, soft: int, sharp: int, keys: list[str], book: str, columns: list[str]) -> DataFrame:
@@ -148,8 +161,9 @@ def agreement_split(bets: DataFrame, signals: DataFrame, keys, side: str, profit
 def compare_sources(a: DataFrame, b: DataFrame, keys, value: str) -> DataFrame:
     """(n, mean_diff, median_diff, max_diff) of absolute differences of one value in two sources."""
     met = a.select(*_keys(keys), F.col(value).alias("_a")).join(b.select(*_keys(keys), F.col(value).alias("_b")), _keys(keys))
-    d = F.abs(F.col("_a") - F.col("_b"))
-    return met.agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.max(d).alias("max_diff"))
+    met = met.select(F.abs(F.col("_a") - F.col("_b")).alias("_d"))
+    (median,) = order_statistics(met, [], "_d", [0.5]).get((), [None])
+    return met.agg(F.count("*").alias("n"), F.avg("_d").alias("mean_diff"), F.lit(median).cast("double").alias("median_diff"), F.max("_d").alias("max_diff"))
 
 
 def dual_date_join(left: DataFrame, right: DataFrame, keys, day: str, left_id: str, columns: list[str], tie: str, shifts: tuple[int, ...] = (0, -1, 1)) -> DataFrame:

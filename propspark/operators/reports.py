@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from propspark.functions import odds as O
 from propspark.operators import windows as W
+from propspark.operators.ordered import chunked, order_statistics, running
 
 
 def pair_counts(df: DataFrame, keys: list[str], column: str, patterns: dict[str, str]) -> DataFrame:
@@ -83,10 +84,10 @@ def bucket_report(bets: DataFrame, column: str, edges: list[float], result: str,
 def segments(df: DataFrame, column: str, shares: dict[str, tuple[float, float]], value: str) -> DataFrame:
     """(segment, n, mean): rows between exact quantiles of a column; a row may lie in several segments."""
     points = sorted({q for pair in shares.values() for q in pair})
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(q) for q in points])).alias("_cuts"))
-    at = {q: F.col("_cuts")[i] for i, q in enumerate(points)}
+    found = order_statistics(df, [], column, points).get((), [None] * len(points))
+    at = dict(zip(points, (F.lit(v).cast("double") for v in found), strict=True))
     names = F.array_compact(F.array(*[F.when(F.col(column).between(at[a], at[b]), F.lit(n)) for n, (a, b) in shares.items()]))
-    return df.join(F.broadcast(cuts)).select(F.explode(names).alias("segment"), value).groupBy("segment").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return df.select(F.explode(names).alias("segment"), value).groupBy("segment").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def market_gap(df: DataFrame, by: list[str], hit: str, implied: str) -> DataFrame:
@@ -142,15 +143,16 @@ def calibration(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def binary_metrics(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """Exact AUC with ties (null for one class), Brier score, log loss, accuracy, MAE, RMSE, correlation.
 
-    Rows are first counted by score, so the running sums go over distinct scores only.
+    Rows are first counted by score; the negatives below a score are a running sum over ranges
+    of scores, so one group, too, is spread over tasks.
     """
     q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
     loss = -(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
     d = F.col(p) - F.col(y)
     plain = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d * d).alias("brier"), F.avg(loss).alias("log_loss"), F.avg(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("int")).alias("accuracy"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), (F.covar_pop(p, y) / F.nullif(F.stddev_pop(p) * F.stddev_pop(y), F.lit(0.0))).alias("corr"))
     counted = df.groupBy(*by, p).agg(F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
-    below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("_u", F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2))
+    below = running(chunked(counted.where(F.col(p).isNotNull()), by, [p]), by, [p], {"_below": ("sum", F.col("_neg"))}, before=True)
+    ranked = below.withColumn("_u", F.col("_pos") * (F.coalesce(F.col("_below"), F.lit(0)) + F.col("_neg") / 2))
     auc = ranked.groupBy(*by).agg((F.sum("_u") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"))
     return plain.join(auc, by)
 
@@ -248,11 +250,12 @@ def env_offset(games: DataFrame, season: str, order: list[str], actual: str, pre
 
 
 def kelly_path(bets: DataFrame, by: list[str], order: list[str], fraction: str, profit: str) -> DataFrame:
-    """Final bankroll and worst relative fall of staking fractions: sums of logarithms, so each strategy is one window."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    b = bets.withColumn("_log", F.sum(O.bankroll_log_return(fraction, profit)).over(run))
-    b = b.withColumn("_peak", F.greatest(F.lit(0.0), F.max("_log").over(run)))
-    return b.groupBy(*by).agg(F.count("*").alias("n"), F.exp(F.sum(O.bankroll_log_return(fraction, profit))).alias("final"), F.min(F.exp(F.col("_log") - F.col("_peak")) - 1).alias("worst_fall"))
+    """Final bankroll and worst relative fall of staking fractions, from running sums of logarithms over ranges of the order."""
+    b = chunked(bets.withColumn("_gain", O.bankroll_log_return(fraction, profit)), by, order)
+    b = running(b, by, order, {"_log": ("sum", F.col("_gain"))})
+    b = running(b, by, order, {"_top": ("max", F.col("_log"))})
+    fall = F.exp(F.col("_log") - F.greatest(F.lit(0.0), F.col("_top"))) - 1
+    return b.groupBy(*by).agg(F.count("*").alias("n"), F.exp(F.sum("_gain")).alias("final"), F.min(fall).alias("worst_fall"))
 
 
 def drawdown_of(bets: DataFrame, by: list[str], day: str) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propspark.operators.ordered import numbered, running
+
 
 def _keys(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -247,10 +249,16 @@ def open_close(df: DataFrame, keys, ts: str, tie: str, price: str) -> DataFrame:
 
 
 def streak_stats(bets: DataFrame, by: list[str], order: list[str], result: str, profit: str, bankroll: float) -> DataFrame:
-    """Longest runs of wins and losses per group, and the deepest relative fall of the bankroll."""
-    w = streak(bets.withColumn("_w", F.col(result) == "win").withColumn("_l", F.col(result) == "loss"), by, order, "_w", "_ws")
-    w = streak(w, by, order, "_l", "_ls")
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumn("_b", bankroll + F.sum(profit).over(run))
-    w = w.withColumn("_peak", F.greatest(F.lit(float(bankroll)), F.max("_b").over(run)))
-    return w.groupBy(*by).agg(F.max("_ws").alias("longest_win"), F.max("_ls").alias("longest_loss"), F.min(F.col("_b") / F.col("_peak") - 1).alias("worst_fall"))
+    """Longest runs of wins and losses per group, and the deepest relative fall of the bankroll.
+
+    A run's length is a row's place less that of the last row that broke it; places, breaks,
+    sums and peaks run over ranges of the order, so that a long group is spread over tasks.
+    `order` must tell a group's rows apart.
+    """
+    w = numbered(bets, by, order, "_no")
+    broke = lambda name: F.when(~F.coalesce(F.col(result) == name, F.lit(False)), F.col("_no"))
+    w = running(w, by, order, {"_win": ("last", broke("win")), "_loss": ("last", broke("loss")), "_sum": ("sum", F.col(profit))})
+    w = w.withColumn("_b", F.lit(float(bankroll)) + F.coalesce("_sum", F.lit(0.0)))
+    w = running(w, by, order, {"_top": ("max", F.col("_b"))}).withColumn("_peak", F.greatest(F.lit(float(bankroll)), F.col("_top")))
+    run = lambda c: F.max(F.col("_no") - F.coalesce(F.col(c), F.lit(0)))
+    return w.groupBy(*by).agg(run("_win").alias("longest_win"), run("_loss").alias("longest_loss"), F.min(F.col("_b") / F.col("_peak") - 1).alias("worst_fall"))

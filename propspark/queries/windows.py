@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from propspark.operators import windows as W
+from propspark.operators.ordered import trailing_rows
 from propspark.queries.registry import query
 from propspark.views import table, view, with_views
 
@@ -241,7 +242,9 @@ def w25(spark, sf):
 
 @query("w26_rolling_edge", with_views("SELECT doc_id, grp, round(CASE WHEN count(p) OVER w >= 10 THEN avg(p) OVER w END, 6) AS mean_p FROM scored WINDOW w AS (PARTITION BY grp ORDER BY doc_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)", "scored"))
 def w26(spark, sf):
-    return view(spark, sf, "scored").select("doc_id", "grp", r6(W.rolling_rows("grp", ["doc_id"], "p", 40, "mean", 10, include_current=True)).alias("mean_p"))
+    mean = lambda w: F.when(F.count("p").over(w) >= 10, F.avg("p").over(w))
+    out = trailing_rows(view(spark, sf, "scored").select("doc_id", "grp", "p"), ["grp"], ["doc_id"], 40, {"mean_p": mean})
+    return out.select("doc_id", "grp", r6("mean_p").alias("mean_p"))
 
 
 @query(

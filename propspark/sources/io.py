@@ -168,6 +168,12 @@ def coverage_by(df: DataFrame, keys: list[str], day: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, filled, mean, p10, p90): share of non-nulls, mean and exact deciles, in one aggregation."""
-    made = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.count(c) / F.count("*")).alias("filled"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.1)).alias("p10"), F.percentile(c, F.lit(0.9)).alias("p90")) for c in columns])
-    return df.agg(made.alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
+    """(column_name, filled, mean, p10, p90): share of non-nulls, mean and exact deciles of each column."""
+    from propspark.operators.ordered import order_statistics
+
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_s")).select("_s.*")
+    cuts = order_statistics(long, ["column_name"], "v", [0.1, 0.9])
+    rows = [(c, *cuts.get((c,), [None, None])) for c in columns]
+    deciles = df.sparkSession.createDataFrame(rows, "column_name string, p10 double, p90 double")
+    filled = long.groupBy("column_name").agg((F.count("v") / F.count("*")).alias("filled"), F.avg("v").alias("mean"))
+    return filled.join(F.broadcast(deciles), "column_name").select("column_name", "filled", "mean", "p10", "p90")

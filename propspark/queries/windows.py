@@ -169,8 +169,8 @@ def w16(spark, sf):
 TEAM = ", t AS (SELECT CAST(entity_id % 5 AS INT) AS team, entity_id, day, CAST(sum(n) AS BIGINT) AS n FROM entity_day GROUP BY 1, 2, 3), s AS (SELECT DISTINCT team, day FROM t), m AS (SELECT s.team, s.day, t.entity_id, sum(t.n) AS total FROM s JOIN t ON t.team = s.team AND t.day < s.day AND t.day >= s.day - INTERVAL 10 DAYS GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY team, day ORDER BY total DESC, entity_id) AS place FROM m) "
 
 
-def team(spark, sf):
-    return view(spark, sf, "entity_day").groupBy((F.col("entity_id") % 5).cast("int").alias("team"), "entity_id", "day").agg(F.sum("n").alias("n"))
+def team(spark, sf, teams=5):
+    return view(spark, sf, "entity_day").groupBy((F.col("entity_id") % teams).cast("int").alias("team"), "entity_id", "day").agg(F.sum("n").alias("n"))
 
 
 @query("w17_absent_topk", with_views(TEAM + "SELECT k.team, k.day, CAST(count(*) FILTER (t.entity_id IS NULL) AS BIGINT) AS absent FROM k LEFT JOIN t ON t.team = k.team AND t.day = k.day AND t.entity_id = k.entity_id WHERE place <= 5 GROUP BY 1, 2", "entity_day"))
@@ -180,10 +180,10 @@ def w17(spark, sf):
 
 @query(
     "w18_topk_available",
-    with_views(TEAM + "SELECT team, day, round(avg(CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.team = k.team AND t.entity_id = k.entity_id AND t.day < k.day AND t.day >= k.day - INTERVAL 2 DAYS) THEN 0.0 ELSE 1.0 END), 6) AS available FROM k WHERE place <= 3 GROUP BY 1, 2", "entity_day"),
+    with_views(TEAM.replace("entity_id % 5", "entity_id % 20") + "SELECT team, day, round(avg(CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.team = k.team AND t.entity_id = k.entity_id AND t.day < k.day AND t.day >= k.day - INTERVAL 1 DAYS) THEN 0.0 ELSE 1.0 END), 6) AS available FROM k WHERE place <= 3 GROUP BY 1, 2", "entity_day"),
 )
 def w18(spark, sf):
-    return W.topk_available(team(spark, sf), "team", "entity_id", "day", "n", 10, 3, 2).select("team", "day", r6("available").alias("available"))
+    return W.topk_available(team(spark, sf, 20), "team", "entity_id", "day", "n", 10, 3, 1).select("team", "day", r6("available").alias("available"))
 
 
 @query(

@@ -24,7 +24,7 @@ def enrich(fact: DataFrame, dims: list[tuple[DataFrame, str, str]], how: str = "
 
 
 def join_companion(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """One-to-one join of two large facts; bucket both by the first key to save the shuffle."""
+    """Join of two large facts on the same keys; without a shuffle where both come from `io.save_bucketed` with these keys."""
     return a.join(b, keys, how)
 
 

@@ -59,11 +59,20 @@ def x02(spark, sf):
 def x03(spark, sf):
     out = work_dir(spark, "pairs")
     made = {n: F.expr(e) for n, e in SNAP_COLUMNS.items()}
-    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(events_path(sf)).withColumns(made)
-    side = lambda s: raw.where(F.col("source") == s).select("prop_id", "quote_id", "captured_at")
-    X.run_available(X.pair_streams(side("view"), side("click"), "prop_id", "captured_at", 20, "1 hour"), f"{out}-state", out)
-    best = X.nearest_pairs(spark.read.parquet(out), "captured_at", "sharp_quote_id", "soft_quote_id")
-    return best.select("sharp_quote_id", "soft_quote_id")
+    clock = spark.createDataFrame([("2100-01-01",)], "at string").selectExpr("CAST(at AS timestamp) AS captured_at")
+    clock.limit(0).write.parquet(f"{out}-clock")
+    S.use_rocksdb(spark)
+
+    def paired():
+        raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(events_path(sf)).withColumns(made)
+        side = lambda s: raw.where(F.col("source") == s).select("prop_id", "quote_id", "captured_at")
+        ended = spark.readStream.schema(clock.schema).parquet(f"{out}-clock")
+        return S.nearest_stream(side("view"), side("click"), ["prop_id"], "captured_at", "quote_id", 20, "1 hour", ended)
+
+    X.run_available(paired(), f"{out}-state", out)
+    clock.write.mode("append").parquet(f"{out}-clock")
+    X.run_available(paired(), f"{out}-state", out)
+    return spark.read.parquet(out).select(F.col("sharp_id").alias("sharp_quote_id"), F.col("soft_id").alias("soft_quote_id"))
 
 
 @query("x04_quote_windows", with_views("SELECT time_bucket(INTERVAL 1 HOUR, captured_at) AS window_start, source, count(*) AS n, min(over_odds) AS low, max(over_odds) AS high, max(over_odds) - min(over_odds) AS move FROM snap GROUP BY 1, 2", "snap"))

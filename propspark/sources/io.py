@@ -147,6 +147,20 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """`df` as the table `name` with its files under `path`, hashed into buckets by the keys and sorted within them.
+
+    Tables with the same keys and number of buckets join, and are grouped by the keys, where
+    they lie. Rows of a bucket are dealt to its one file first, so there are as many files as
+    buckets. A table of that name is replaced.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    placed = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    placed.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").format("parquet").saveAsTable(f"`{name}`")
+    return spark.table(f"`{name}`")
+
+
 def changed_rows(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows of `new` whose columns differ from the stored ones, nulls compared as values."""
     n, o = new.alias("n"), old.alias("o")

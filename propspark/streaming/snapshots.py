@@ -1,11 +1,11 @@
 """Quote snapshots as streams. The transformations are those of the batch library; state is
-bounded by watermarks, and everything that must wait longer is settled against tables."""
+bounded by watermarks. What must wait for other rows of its key is in `state`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,23 +27,6 @@ def pre_game(df: DataFrame, captured: str = "captured_at", start: str = "schedul
     return df.where(F.col(start) > F.col(captured))
 
 
-def pair_streams(sharp: DataFrame, soft: DataFrame, key: str, ts: str, minutes: int, delay: str) -> DataFrame:
-    """Sharp and soft quotes of one key at most `minutes` apart. On streams both need watermarks; their state is dropped beyond them."""
-    a = sharp.select(F.col(key), *[F.col(c).alias(f"sharp_{c}") for c in sharp.columns if c != key])
-    b = soft.select(F.col(key).alias("_key"), *[F.col(c).alias(f"soft_{c}") for c in soft.columns if c != key])
-    if sharp.isStreaming:
-        a, b = a.withWatermark(f"sharp_{ts}", delay), b.withWatermark(f"soft_{ts}", delay)
-    near = F.expr(f"{key} = _key AND soft_{ts} >= sharp_{ts} - INTERVAL {minutes} MINUTES AND soft_{ts} <= sharp_{ts} + INTERVAL {minutes} MINUTES")
-    return a.join(b, near).drop("_key")
-
-
-def nearest_pairs(pairs: DataFrame, ts: str, sharp_id: str, soft_id: str) -> DataFrame:
-    """Of the pairs of a sharp quote the one nearest in time, the smaller id on a tie. For batches, as in foreachBatch."""
-    gap = F.abs(F.unix_micros(f"sharp_{ts}") - F.unix_micros(f"soft_{ts}"))
-    order = Window.partitionBy(sharp_id).orderBy(gap, soft_id)
-    return pairs.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-
-
 def quote_windows(df: DataFrame, ts: str, keys: list[str], price: str, size: str, slide: str | None = None) -> DataFrame:
     """Quotes per tumbling or sliding window, with the lowest and highest price."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -123,6 +123,82 @@ def settle_stream(
     return done.withColumn("profit", O.profit("result", payout))
 
 
+SHARP, SOFT = 0, 1
+
+
+class NearestQuote(StatefulProcessor):
+    """Quotes of one key from two sides; a sharp one goes out with the soft one nearest in time once no nearer one can come."""
+
+    def __init__(self, keys: list[str], reach: int):
+        self.keys, self.reach = keys, reach
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        kinds = {"kind": T.IntegerType(), "id": T.LongType(), "at": T.LongType()}
+        self.held = handle.getListState("quotes", T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
+
+    def due(self, at: int) -> int:
+        """The time in ms at which a sharp quote's answer is known, in whole seconds, so that quotes share timers."""
+        return -(-(at + self.reach + 1) // 1_000_000) * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = []
+        for df in rows:
+            if not df.empty:
+                mine = df[df["x_kind"] != CLOCK]
+                new += [(int(k), int(i), int(t)) for k, i, t in zip(mine["x_kind"], mine["x_id"], mine["x_micros"], strict=True)]
+        if new:
+            self.held.appendList(new)
+            for at in {self.due(t) for k, _, t in new if k == SHARP}:
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        quotes = [tuple(q) for q in self.held.get()]
+        sharp = [q for q in quotes if q[0] == SHARP]
+        soft = sorted((t, i) for k, i, t in quotes if k == SOFT)
+        times = np.array([t for t, _ in soft], dtype=np.int64)
+        out, left = [], []
+        for _, i, t in sharp:
+            if self.due(t) > now:
+                left.append((SHARP, i, t))
+                continue
+            a, z = np.searchsorted(times, [t - self.reach, t + self.reach + 1])
+            best = min(((abs(u - t), j) for u, j in soft[a:z]), default=None)
+            if best:
+                out.append((*key, i, best[1]))
+        open_from = min([t for _, _, t in left] + [timerValues.getCurrentWatermarkInMs() * 1000]) - self.reach
+        rest = left + [(SOFT, i, t) for t, i in soft if t >= open_from]
+        self.held.clear()
+        if rest:
+            self.held.put(rest)
+        if out:
+            yield pd.DataFrame(out, columns=[*self.keys, "sharp_id", "soft_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def nearest_stream(sharp: DataFrame, soft: DataFrame, keys: list[str], at: str, id_col: str, minutes: int, delay: str, clock: DataFrame | None = None) -> DataFrame:
+    """Streams of quotes -> (keys, sharp_id, soft_id): every sharp quote with the soft one nearest in time within `minutes`, the smaller id on a tie.
+
+    A quote waits in its key's state until the watermark, `delay` behind the latest time, says
+    that no nearer one can come, so only the pairs that count are made. Ids are longs. `clock`
+    moves the watermark where the other streams have ended.
+    """
+    def side(df: DataFrame, kind: int) -> DataFrame:
+        t = F.col(at).cast("timestamp")
+        return df.select(*keys, t.alias("x_at"), F.lit(kind).alias("x_kind"), F.col(id_col).cast("long").alias("x_id"), F.unix_micros(t).alias("x_micros"))
+
+    both = side(sharp, SHARP).unionByName(side(soft, SOFT))
+    if clock is not None:
+        nothing = clock.select(*[F.lit(None).cast(sharp.schema[k].dataType).alias(k) for k in keys], at, F.lit(None).cast("long").alias(id_col))
+        both = both.unionByName(side(nothing, CLOCK))
+    out = T.StructType([*[sharp.schema[k] for k in keys], T.StructField("sharp_id", T.LongType()), T.StructField("soft_id", T.LongType())])
+    return both.withWatermark("x_at", delay).groupBy(*keys).transformWithStateInPandas(NearestQuote(keys, minutes * 60_000_000), out, "Append", "EventTime")
+
+
 class LatestPrice(StatefulProcessor):
     """First and last price of one key, by time and tie-break; a key that no batch touches for `ttl` is forgotten."""
 

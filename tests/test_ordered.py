@@ -113,3 +113,19 @@ def test_long_paths_and_runs_of_one_group(spark, monkeypatch):
     log = np.cumsum(np.log(1 + 0.02 * profit))
     assert path.final == pytest.approx(np.exp(log[-1])) and path.n == 2000
     assert path.worst_fall == pytest.approx((np.exp(log - np.maximum(0, np.maximum.accumulate(log))) - 1).min())
+
+
+def test_bucketed_facts_join_without_a_shuffle(spark, tmp_path):
+    from propspark.operators.joins import join_companion
+    from propspark.sources import io as IO
+
+    a = spark.range(1000).selectExpr("id % 300 AS k", "id AS x")
+    b = spark.range(300).selectExpr("id AS k", "id * 2 AS y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [IO.save_bucketed(df, f"bucketed_{n}", f"{tmp_path}/{n}", ["k"], 4) for n, df in (("a", a), ("b", b))]
+        out = join_companion(*tables, ["k"]).groupBy("k", "x").agg(F.sum("y").alias("y"))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == sorted((i % 300, i, i % 300 * 2) for i in range(1000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

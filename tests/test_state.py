@@ -92,3 +92,21 @@ def test_latest_prices_follow_the_batches(spark, tmp_path):
     assert written == [3, 1, 1, 1]  # a batch writes the keys that it brought
     got = {(r.prop_id, r.source): (r.opening, r.closing) for r in S.current(changes, ["prop_id", "source"]).collect()}
     assert got == {(7, "a"): (-120, -101), (7, "b"): (120, 120), (8, "a"): (None, None)}
+
+
+def test_nearest_quotes_whatever_the_batches(spark, tmp_path):
+    """Every sharp quote meets its nearest soft one, which may come before it, behind it, in another batch or late within the delay."""
+    minute = lambda m: NOON + dt.timedelta(minutes=m)
+    sharp = [(1, 7, minute(0)), (2, 7, minute(30)), (3, 8, minute(5)), (4, 7, minute(95))]
+    soft = [(11, 7, minute(-19)), (12, 7, minute(10)), (13, 7, minute(20)), (14, 7, minute(40)), (15, 8, minute(30)), (16, 7, minute(96)), (17, 7, minute(94))]
+    os.makedirs(f"{tmp_path}/sharp"), os.makedirs(f"{tmp_path}/soft"), os.makedirs(f"{tmp_path}/clock")
+    schema = "id long, k long, at timestamp"
+    S.use_rocksdb(spark)
+    late = soft[1]
+    for a, b, c in ((sharp[:2], [soft[0], soft[3]], []), (sharp[2:3], [late, soft[2]], []), (sharp[3:], soft[4:], []), ([], [], [(0, None, minute(6000))])):
+        for name, rows in (("sharp", a), ("soft", b), ("clock", c)):
+            if rows:
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        read = lambda n: spark.readStream.schema(schema).parquet(f"{tmp_path}/{n}")
+        X.run_available(S.nearest_stream(read("sharp"), read("soft"), ["k"], "at", "id", 20, "1 hour", read("clock")), f"{tmp_path}/state", f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(7, 1, 12), (7, 2, 13), (7, 4, 16)]

@@ -33,6 +33,43 @@ def rolling_days(df: DataFrame, keys, day: str, columns: list[str], n: int, suff
     return df.withColumns({c + suffix: F.sum(c).over(w) for c in columns})
 
 
+def prefix_days(df: DataFrame, keys, day: str, wanted: dict[int, list[str]]) -> DataFrame:
+    """Sums over [day - n, day) as `column_nd` for each n and its columns; 0 for an empty window. Input: one row per entity and day.
+
+    Running sums are taken once; a window is the difference of two of them, the last before the
+    day and the last before its start. So a row costs the same for 15 days and 365, and another
+    length costs one look-up for all columns together.
+    """
+    columns = list(dict.fromkeys(c for cs in wanted.values() for c in cs))
+    order = Window.partitionBy(*_keys(keys)).orderBy(F.unix_date(day))
+    run = [F.sum(F.coalesce(F.col(c), F.lit(0))).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias(c) for c in columns]
+    held = df.withColumn("_run", F.struct(*run))
+    before = lambda k: F.last("_run").over(order.rangeBetween(Window.unboundedPreceding, -k))
+    held = held.withColumns({"_to": before(1), **{f"_from_{n}": before(n + 1) for n in wanted}})
+    at = lambda s, c: F.coalesce(F.col(f"{s}.{c}"), F.lit(0))
+    return held.select(*df.columns, *[(at("_to", c) - at(f"_from_{n}", c)).alias(f"{c}_{n}d") for n, cs in wanted.items() for c in cs])
+
+
+def trailing_distinct(df: DataFrame, keys, day: str, ident: str, n: int, out: str = "n_distinct") -> DataFrame:
+    """(keys, day, out): different `ident` in [day - n, day), exact, for every day that the keys have rows on.
+
+    A row of an ident covers the n days behind its own; covers that touch are one. What starts
+    and ends on a day is summed per key and day, and the running sum is the count: no ident is
+    held in a set, and no row is copied to the days of its window.
+    """
+    keys = _keys(keys)
+    seen = df.where(F.col(day).isNotNull()).select(*keys, day, ident).distinct()
+    own = Window.partitionBy(*keys, ident).orderBy(day)
+    known = seen.where(F.col(ident).isNotNull()).withColumns({"_a": F.lag(day).over(own), "_z": F.lead(day).over(own)})
+    starts = F.when(F.col("_a").isNull() | (F.datediff(day, "_a") >= n), F.struct(F.date_add(day, 1).alias("at"), F.lit(1).alias("d")))
+    ends = F.when(F.col("_z").isNull() | (F.datediff("_z", day) >= n), F.struct(F.date_add(day, n + 1).alias("at"), F.lit(-1).alias("d")))
+    moves = known.select(*keys, F.explode(F.array_compact(F.array(starts, ends))).alias("_e")).select(*keys, F.col("_e.at").alias(day), F.col("_e.d").alias("_d"), F.lit(False).alias("_row"))
+    days = seen.select(*keys, day).distinct().select(*keys, day, F.lit(0).alias("_d"), F.lit(True).alias("_row"))
+    daily = moves.unionByName(days).groupBy(*keys, day).agg(F.sum("_d").alias("_d"), F.max("_row").alias("_row"))
+    run = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    return daily.withColumn(out, F.sum("_d").over(run)).where("_row").select(*keys, day, out)
+
+
 def with_spine(facts: DataFrame, spine: DataFrame, keys, day: str) -> DataFrame:
     """Facts and one row of nulls for each spine day that has none, so that windows reach days without facts."""
     on = [*_keys(keys), day]

@@ -61,6 +61,16 @@ def a03(spark, sf):
     return R.distinct_per(table(spark, sf, "events").withColumn("day", F.to_date("ts")), ["user_id"], ["event_type", "day"])
 
 
+@query(
+    "a03_trailing_distinct",
+    """WITH e AS (SELECT DISTINCT user_id % 20 AS grp, CAST(ts AS DATE) AS day, user_id FROM events), d AS (SELECT DISTINCT grp, day FROM e)
+       SELECT grp, day, (SELECT count(DISTINCT user_id) FROM e WHERE e.grp = d.grp AND e.day < d.day AND e.day >= d.day - INTERVAL 3 DAYS) AS n_distinct FROM d""",
+)
+def a03_trailing(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("grp"), F.to_date("ts").alias("day"), "user_id")
+    return W.trailing_distinct(e, "grp", "day", "user_id", 3)
+
+
 @query("a04_rate_vs_league", with_views("SELECT entity_id, CAST(sum(n) AS BIGINT) AS n, round(sum(hi) / CAST(sum(n) AS DOUBLE) - (SELECT sum(hi) / CAST(sum(n) AS DOUBLE) FROM entity_day), 6) AS rate_gap FROM entity_day GROUP BY 1 HAVING sum(n) >= 20", "entity_day"))
 def a04(spark, sf):
     return rounded(R.rate_vs_league(view(spark, sf, "entity_day"), "entity_id", "hi", "n", 20), "rate_gap")

@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -108,14 +109,123 @@ def test_golden_matchup_row(spark):
     assert r.mu_starter_pa == pytest.approx(3.2889, abs=1e-4) and r.mu_bullpen_share == pytest.approx(0.2525, abs=1e-4)
 
 
+PITCHES = "batter_id int, pitcher_id int, day date, pitch_type string, bats string, throws string, is_swing boolean, is_whiff boolean, is_in_play boolean, zone int, launch_speed double, launch_angle double, xwoba double, release_speed double"
+BOX = "batter_id int, day date, pa int, ab int, hits int, doubles int, triples int, hr int, rbi int, bb int, so int"
+
+
+def some_pitches(n=4000, seed=3):
+    rng = np.random.default_rng(seed)
+    maybe = lambda v, p=0.05: None if rng.random() < p else v
+    rows = []
+    for _ in range(n):
+        swing, play = bool(rng.random() < 0.5), bool(rng.random() < 0.3)
+        rows.append((int(rng.integers(1, 4)), int(rng.integers(10, 13)), day(int(rng.integers(0, 220))), maybe(str(rng.choice(H.PITCH_TYPES))), maybe(str(rng.choice(["L", "R", "S"]))), str(rng.choice(["L", "R"])), maybe(swing), bool(swing and rng.random() < 0.3), play, maybe(int(rng.integers(1, 15))), maybe(float(rng.integers(70, 110))), maybe(float(rng.integers(-20, 60))), maybe(round(float(rng.random()), 3)), maybe(float(rng.integers(85, 100)))))
+    box = [(int(b), day(int(d)), int(rng.integers(0, 6)), int(rng.integers(0, 5)), 1, 1, 0, int(rng.integers(0, 2)), 2, 1, 1) for b in (1, 2, 3) for d in range(0, 220, 2) for _ in range(int(rng.integers(1, 3)))]
+    return rows, box
+
+
+def held(rows, key, who, at, n):
+    return [r for r in rows if r[key] == who and at - timedelta(days=n) <= r[key_day(rows)] < at]
+
+
+def key_day(rows):
+    return next(i for i, v in enumerate(rows[0]) if isinstance(v, date))
+
+
+def share(num, den, least):
+    return num / den if den >= least else None
+
+
+def same(a, b):
+    return (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9))
+
+
+def test_batter_block_equals_rows(spark):
+    """Every rate of some days, counted row by row."""
+    rows, box = some_pitches()
+    names = [c.split()[0] for c in PITCHES.split(", ")]
+    low = dict.fromkeys(H.BATTER_MINIMA, 4)
+    p = frame(spark, rows, PITCHES)
+    spine = frame(spark, [(b, day(d)) for b in (1, 2, 9) for d in (0, 40, 95, 219, 240)], "batter_id int, day date")
+    got = {(r.batter_id, r.day): r for r in H.batter_block(p, frame(spark, box, BOX), spine, low).collect()}
+    assert len(got) == 15
+    for (b, d), r in got.items():
+        mine = [dict(zip(names, x, strict=True)) for x in held(rows, 0, b, d, 90)]
+        kinds = {t: [t] for t in H.PITCH_TYPES} | H.PITCH_GROUPS
+        for name in (*kinds, "vL", "vR"):
+            own = [x for x in mine if (x["throws"] == name[1] if name[0] == "v" else x["pitch_type"] in kinds[name])]
+            balls = [x for x in own if x["is_in_play"]]
+            assert same(r[f"bat_xwoba_{name}"], share(sum(x["xwoba"] or 0 for x in balls), len(balls), 4))
+            swings = [x for x in own if x["is_swing"]]
+            assert same(r[f"bat_whiff_{name}"], share(sum(x["is_whiff"] for x in own), len(swings), 4))
+        zone = lambda a, z: [x for x in mine if x["zone"] is not None and a <= x["zone"] <= z]  # noqa: B023, E731
+        for name, part in (("chase", zone(11, 14)), ("zone_swing", zone(1, 9))):
+            assert same(r[f"bat_{name}"], share(sum(bool(x["is_swing"]) for x in part), len(part), 4))
+        balls = [x for x in mine if x["is_in_play"]]
+        fast, up = lambda x, v: (x["launch_speed"] or 0) >= v, lambda x: x["launch_angle"] if x["launch_angle"] is not None else float("nan")
+        for name, f in (("hard_hit", lambda x: fast(x, 95)), ("barrel", lambda x: fast(x, 98) and 26 <= up(x) <= 30), ("gb", lambda x: up(x) < 10), ("ld", lambda x: 10 <= up(x) <= 25), ("fb", lambda x: up(x) > 25)):
+            assert same(r[f"bat_{name}"], share(sum(f(x) for x in balls), len(balls), 4))
+        swings = sum(bool(x["is_swing"]) for x in mine)
+        assert same(r.bat_contact, share(swings - sum(x["is_whiff"] for x in mine), swings, 4))
+        form = lambda n: [x for x in held(box, 0, b, d, n) if x[2] > 0]  # noqa: B023, E731
+        month, total = form(30), lambda i: sum(x[i] for x in form(30))
+        assert same(r.bat_pa_per_game_15d, share(sum(x[2] for x in form(15)), len(form(15)), 4))
+        assert same(r.bat_iso_30d, share(total(5) + 2 * total(6) + 3 * total(7), total(3), 4))
+        assert same(r.bat_h_plus_rbi_per_pa_30d, share(total(4) + total(8), total(2), 4)) and (month or r.bat_k_rate_30d is None)
+    assert sum(r.bat_whiff_vR is not None for r in got.values()) >= 4
+    strict = H.batter_block(p, frame(spark, box, BOX), spine).collect()
+    assert sum(r.bat_xwoba_FF is None for r in strict) > sum(r.bat_xwoba_FF is None for r in got.values())  # under 20 balls in play of one type
+
+
+def test_pitcher_block_equals_rows(spark):
+    rows, _ = some_pitches(6000, 5)
+    names = [c.split()[0] for c in PITCHES.split(", ")]
+    low = dict.fromkeys(H.PITCHER_MINIMA, 3)
+    spine = frame(spark, [(b, day(d)) for b in (10, 12, 99) for d in (0, 40, 95, 219)], "pitcher_id int, day date")
+    got = {(r.pitcher_id, r.day): r for r in H.pitcher_block(frame(spark, rows, PITCHES), spine, low).collect()}
+    assert len(got) == 12
+    stands = lambda x: x["bats"] if x["bats"] != "S" else "L" if x["throws"] == "R" else "R"
+    kinds = {t: [t] for t in H.PITCH_TYPES} | H.PITCH_GROUPS
+    for (b, d), r in got.items():
+        of = lambda n: [dict(zip(names, x, strict=True)) for x in held(rows, 1, b, d, n)]  # noqa: B023, E731
+        month, quarter, half = of(30), of(90), of(180)
+        for name, types in kinds.items():
+            for h in "LR":
+                own = [x for x in month if stands(x) == h]
+                assert same(r[f"pit_share_{name}_{h}"], share(sum(x["pitch_type"] in types for x in own), len(own), 3))
+            if name in H.PITCH_GROUPS:
+                assert same(r[f"pit_share_{name}"], share(sum(x["pitch_type"] in types for x in month), len(month), 3))
+                balls = [x for x in quarter if x["pitch_type"] in types and x["is_in_play"]]
+                assert same(r[f"pit_xwoba_{name}"], share(sum(x["xwoba"] or 0 for x in balls), len(balls), 3))
+        for h in "LR":
+            own = [x for x in quarter if stands(x) == h]
+            balls = [x for x in own if x["is_in_play"]]
+            assert same(r[f"pit_xwoba_{h}"], share(sum(x["xwoba"] or 0 for x in balls), len(balls), 3))
+            assert same(r[f"pit_whiff_{h}"], share(sum(x["is_whiff"] for x in own), sum(bool(x["is_swing"]) for x in own), 3))
+        assert same(r.pit_whiff, share(sum(x["is_whiff"] for x in quarter), sum(bool(x["is_swing"]) for x in quarter), 3))
+        speed = lambda xs: [x["release_speed"] for x in xs if x["pitch_type"] == "FF" and x["release_speed"] is not None]
+        velo, base = (share(sum(speed(x)), len(speed(x)), 3) for x in (month, half))
+        assert same(r.pit_velo, velo) and same(r.pit_velo_trend, None if velo is None or base is None else velo - base)
+
+
+@pytest.mark.parametrize("n", [1, 15, 365])
+def test_prefix_sums_equal_range_frames(spark, n):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(k), day(int(d))): float(v) for k, d, v in zip(rng.integers(0, 3, 300), rng.integers(0, 400, 300), rng.normal(size=300), strict=True)}.items())
+    df = frame(spark, [(k, d, v, int(v * 10)) for (k, d), v in rows] + [(0, day(500), None, None)], "k int, day date, x double, c int")
+    got = W.prefix_days(df, "k", "day", {n: ["x", "c"], 7: ["x"]})
+    want = W.rolling_days(df, "k", "day", ["x", "c"], n)
+    a, b = ({(r.k, r.day): (r[f"x_{n}d"] or 0, r[f"c_{n}d"] or 0) for r in f.collect()} for f in (got, want))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a) and f"x_{7}d" in got.columns
+
+
 def test_batter_block_has_no_leak(spark):
     def run(extra):
-        rows = [(1, day(i), "FF", True, i % 3 == 0, True, 0.3) for i in range(10) for _ in range(6)] + extra
-        p = frame(spark, rows, "batter_id int, day date, pitch_type string, is_swing boolean, is_whiff boolean, in_zone boolean, xwoba double")
-        box = frame(spark, [(1, day(i), 4, 1, 0, 1, 1) for i in range(10)], "batter_id int, day date, pa int, hits int, hr int, bb int, so int")
+        rows = [(1, 10, day(i), "FF", "L", "R", True, i % 3 == 0, True, 5, 99.0, 28.0, 0.3, 95.0) for i in range(10) for _ in range(6)] + extra
+        p = frame(spark, rows, PITCHES)
+        box = frame(spark, [(1, day(i), 4, 4, 1, 0, 0, 0, 1, 1, 1) for i in range(10)], BOX)
         return {r.day: r for r in H.batter_block(p, box, p.select("batter_id", "day").distinct()).collect()}
 
-    before, after = run([]), run([(1, day(6), None, None, None, None, None)] * 5)
-    assert len(before) == 10 and before[day(0)].bat_pitches is None
+    before, after = run([]), run([(1, 10, day(6), "FF", "L", "R", True, True, False, 12, None, None, None, None)] * 5)
+    assert len(before) == 10 and before[day(0)].bat_whiff_FF is None and before[day(4)].bat_xwoba_FF == pytest.approx(0.3)
     assert all(before[d] == after[d] for d in before if d <= day(6)) and before[day(7)] != after[day(7)]
-    assert before[day(3)].bat_swing_rate is None or before[day(3)].bat_pitches >= 20

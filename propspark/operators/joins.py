@@ -166,11 +166,11 @@ def compare_sources(a: DataFrame, b: DataFrame, keys, value: str) -> DataFrame:
     return met.agg(F.count("*").alias("n"), F.avg("_d").alias("mean_diff"), F.lit(median).cast("double").alias("median_diff"), F.max("_d").alias("max_diff"))
 
 
-def dual_date_join(left: DataFrame, right: DataFrame, keys, day: str, left_id: str, columns: list[str], tie: str, shifts: tuple[int, ...] = (0, -1, 1)) -> DataFrame:
-    """Left rows with columns of a right row of the same day or a day beside it, the exact day first."""
+def dual_date_join(left: DataFrame, right: DataFrame, keys, day: str, left_id: str, columns: list[str], tie: str, shifts: tuple[int, ...] = (0, -1, 1), how: str = "inner") -> DataFrame:
+    """Left rows with columns of a right row of the same day or a day beside it, the exact day first; how="left" keeps those that have none."""
     keys = _keys(keys)
     moved = right.select(*keys, F.col(tie).alias("_tie"), F.explode(F.array(*[F.struct(F.date_add(day, s).alias("at"), F.lit(i).alias("rank")) for i, s in enumerate(shifts)])).alias("_s"), *[F.col(c).alias(f"_r_{c}") for c in columns])
-    met = left.join(moved.withColumn(day, F.col("_s.at")), [*keys, day])
+    met = left.join(moved.withColumn(day, F.col("_s.at")), [*keys, day], how)
     order = Window.partitionBy(left_id).orderBy("_s.rank", "_tie")
     return met.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*left.columns, F.col("_s.rank").alias("shift_rank"), *[F.col(f"_r_{c}").alias(c) for c in columns])
 

@@ -6,12 +6,11 @@ b holds no score above
 
     min(q.p + |q| b, (|q|^2 + M^2 - gap^2) / 2),  gap = max(0, d(q, p) - b, a - d(q, p)),
 
-by Cauchy-Schwarz and by the triangle inequality, M being the annulus's largest norm.
-The index is a table sorted by annulus. Queries are sorted in the same way and broadcast in
-chunks of bounded size, so that those of a chunk lie near each other; a chunk reads only the
-annuli that some query's bound reaches, which the table's own statistics find. Each task
-expands the annuli it reads from the highest bound down and stops for a query when no bound
-reaches its k-th score so far, which starts at the k-th score in the pivots' own sample.
+by Cauchy-Schwarz and by the triangle inequality, M being the annulus's largest norm. A query
+sorts the annuli by their bounds and expands the first few; its k-th score from these, or
+from the pivots' own sample, is the score below which it stops: of the other annuli only
+those whose bound reaches it are expanded. Queries meet annuli in a join, page by page, so no
+part of the search runs on the driver.
 """
 
 from __future__ import annotations
@@ -20,46 +19,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propspark.llm.common import new_path, store
+from propspark.llm.common import store
+from propspark.llm.vector_pages import ASKED, MOST, best_of_cells, matrix, page_counts, question_rows, ranked
+from propspark.llm.vector_pages import exact_products as products
 
-#: Vectors from which pivots are chosen and first bounds come: those whose ids hash lowest.
-SAMPLE = 4096
+#: Vectors from which pivots are chosen and first bounds come, those whose ids hash lowest, and numbers that they hold at most.
+SAMPLE, NUMBERS = 4096, 1 << 20
 PIVOTS = 64
-#: Annuli of a pivot; their edges are quantiles of the sample's distances.
-RINGS = 32
-#: Queries that are broadcast at once, and the numbers that a sample or a chunk holds at most.
-CHUNK, NUMBERS = 4096, 1 << 20
-#: Vectors of an annulus that are scored at once.
-BLOCK = 2048
+#: Vectors that an annulus is meant to hold; a pivot's edges are quantiles of the sample's distances, so there are at most so many.
+RING_ROWS, MOST_RINGS = 1024, 1024
+#: Annuli that a query expands before it takes its k-th score for the rest.
+FIRST = 8
+#: Bounds that a task holds at once.
+BOUNDS = 1 << 21
 SEED = 42
-#: Largest sum that float64 arithmetic holds exactly.
-EXACT = float(1 << 53)
 
 
 def scaled_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, v): whole vectors of floor(scale * x) as longs; rows with no, null or non-finite parts or a null id go."""
     v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    finite = F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite
     return table.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    """A list column as rows of `width`; shorter and longer vectors are left out by the caller."""
-    return np.array(column.flatten() if isinstance(column, pa.ListArray) else column, dtype=np.int64).reshape(-1, width)
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T: in floating point where every partial sum is exact, else in integers."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)), dtype=np.int64)
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < EXACT:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
-
-
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first choice, starting at the first row."""
     points = sample.astype(np.float64)
@@ -76,30 +62,31 @@ def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (p**2).sum(axis=1)[:, None] - 2 * p @ pivots.T + (pivots**2).sum(axis=1)[None, :]))
 
 
-def ring_edges(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def ring_edges(points: np.ndarray, pivots: np.ndarray, rings: int) -> np.ndarray:
     """Inner edges of each pivot's annuli, one row a pivot."""
     d = distances(points, pivots)
     nearest, least = d.argmin(axis=1), d.min(axis=1)
-    shares = np.arange(1, RINGS) / RINGS
-    return np.stack([np.quantile(least[nearest == p], shares) if (nearest == p).any() else np.zeros(RINGS - 1) for p in range(len(pivots))])
+    shares = np.arange(1, rings) / rings
+    return np.stack([np.quantile(least[nearest == p], shares) if (nearest == p).any() else np.zeros(rings - 1) for p in range(len(pivots))])
 
 
 def build_index(vectors: DataFrame, pivots: np.ndarray, edges: np.ndarray) -> DataFrame:
-    """`vectors` with nearest pivot, distance to it, annulus and norm, sorted by annulus; every row is indexed."""
-    width = pivots.shape[1]
+    """`vectors` with annulus (`cell`), distance to its pivot and norm; every row is indexed."""
+    width, rings = pivots.shape[1], edges.shape[1] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                points = _matrix(batch.column(2), width)
+                points = matrix(batch.column(2), width)
                 d = distances(points, pivots)
                 nearest, least = d.argmin(axis=1), d.min(axis=1)
-                ring = nearest * RINGS + (edges[nearest] <= least[:, None]).sum(axis=1)
+                cell = nearest * rings + (edges[nearest] <= least[:, None]).sum(axis=1)
                 norm = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array(least), pa.array(ring), pa.array(norm)], names=["row", "vec_id", "v", "pivot", "distance", "ring", "norm"])
+                label = np.zeros(len(points), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(least), pa.array(cell), pa.array(norm)], names=["row", "vec_id", "v", "label", "distance", "cell", "norm"])
 
-    keyed = vectors.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<long>, pivot long, distance double, ring long, norm double")
-    return store(keyed.repartitionByRange("ring", "distance", "row").sortWithinPartitions("ring", "distance", "row"), "topk-index")
+    keyed = vectors.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<long>, label long, distance double, cell long, norm double")
+    return store(keyed, "topk-index")
 
 
 def bounds(to_pivot, on_pivot, norms, near, far, largest):
@@ -109,96 +96,71 @@ def bounds(to_pivot, on_pivot, norms, near, far, largest):
     return bound + 1e-6 * (1 + np.abs(bound))
 
 
-class Queries:
-    """A chunk of queries with what their bounds need; `floors` are scores that k others of the sample reach."""
-
-    def __init__(self, rows: list, pivots: np.ndarray, sample_rows: np.ndarray, sample: np.ndarray, k: int):
-        self.rows, self.ids = np.array([r.row for r in rows]), np.array([r.vec_id for r in rows])
-        self.v = np.array([r.v for r in rows], dtype=np.int64)
-        self.to_pivots = distances(self.v, pivots)
-        self.on_pivots = self.v.astype(np.float64) @ pivots.T
-        self.norms = np.sqrt((self.v.astype(np.float64) ** 2).sum(axis=1))
-        least = np.iinfo(np.int64).min
-        scores = np.where(self.rows[:, None] == sample_rows[None, :], least, products(self.v, sample))
-        self.floors = np.sort(scores, axis=1)[:, -k] if len(sample_rows) > k else np.full(len(self.v), least)
+class Annuli:
+    """Pivots, and of each annulus that holds vectors: number, pivot, nearest and farthest distance, largest norm."""
 
-    def reached(self, rings: list) -> list[int]:
-        """Annuli, of (ring, pivot, near, far, largest), in which some query may find one of its k best."""
-        worst = self.floors.astype(np.float64)
-        return [r.ring for r in rings if (bounds(self.to_pivots[:, r.pivot], self.on_pivots[:, r.pivot], self.norms, r.near, r.far, r.largest) >= worst).any()]
+    def __init__(self, pivots: np.ndarray, cells: np.ndarray, near: np.ndarray, far: np.ndarray, largest: np.ndarray, rings: int):
+        self.pivots, self.cells, self.near, self.far, self.largest = pivots, cells, near, far, largest
+        self.of = cells // rings
 
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """The most that a score of each query can be in each annulus."""
+        to_pivot, on_pivot = distances(v, self.pivots), v.astype(np.float64) @ self.pivots.T
+        norms = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))[:, None]
+        return bounds(to_pivot[:, self.of], on_pivot[:, self.of], norms, self.near, self.far, self.largest)
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+    def expand(self, v: np.ndarray, floors: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place of annulus) of the FIRST annuli by bound, or of the rest, as far as a bound reaches the floor."""
+        found = self.bounds(v)
+        order = np.argsort(-found, axis=1, kind="stable")
+        mine = np.zeros(found.shape, dtype=bool)
+        np.put_along_axis(mine, order[:, :FIRST] if first else order[:, FIRST:], True, axis=1)
+        return np.nonzero(mine & (found >= floors.astype(np.float64)[:, None]))
 
 
-def _search(queries: Queries, k: int):
-    """Tasks over the index -> (query, query_id, vec_id, score): each query's best k within the task that can matter."""
-    width = queries.v.shape[1]
+def _ask(queries: DataFrame, annuli: Annuli, width: int, k: int, sample_rows: np.ndarray, sample: np.ndarray, first: bool) -> DataFrame:
+    """Queries (row, label, v, low) -> a row for each annulus that they expand; `low` is raised to the k-th score of the sample."""
+    size = max(1, BOUNDS // max(1, len(annuli.cells), len(sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = queries.floors.astype(np.float64).copy()
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(worst)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, ids, points = np.array(batch.column(0)), np.array(batch.column(1)), _matrix(batch.column(2), width)
-            pivot, distance, sizes = (np.array(batch.column(i)) for i in (3, 4, 6))
-            cuts = np.unique(np.concatenate([[0, len(ids)], np.nonzero(np.diff(pivot))[0] + 1, np.arange(0, len(ids), BLOCK)]))
-            rings = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                p = pivot[a]
-                rings.append((a, b, bounds(queries.to_pivots[:, p], queries.on_pivots[:, p], queries.norms, distance[a:b].min(), distance[a:b].max(), sizes[a:b].max())))
-            for a, b, bound in sorted(rings, key=lambda r: -r[2].max()):
-                if bound.max() < worst.min():
-                    break
-                asked = np.nonzero(bound >= worst)[0]
-                scores = products(queries.v[asked], points[a:b])
-                for i in np.nonzero(scores.max(axis=1, initial=np.iinfo(np.int64).min) >= worst[asked])[0]:
-                    q = asked[i]
-                    hit = np.nonzero((scores[i] >= worst[q]) & (rows[a:b] != queries.rows[q]))[0]
-                    if len(hit):
-                        held = best[q]
-                        best[q] = _best(np.concatenate([held[0], scores[i][hit]]), np.concatenate([held[1], ids[a:b][hit]]), k)
-                        if len(best[q][0]) == k:
-                            worst[q] = max(worst[q], best[q][0][-1])
-        n = [len(s) for s, _ in best]
-        columns = [np.repeat(queries.rows, n), np.repeat(queries.ids, n), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
-
-    return run
-
-
-def _top_k_of_width(vectors: DataFrame, width: int, k: int, every: int, path: str) -> None:
-    """Appends the results of all queries of one length to the table at `path`."""
-    room = max(PIVOTS, NUMBERS // width)
+        for whole in batches:
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                row, low = batch.column(0).to_numpy(), batch.column(3).to_numpy().copy()
+                v = matrix(batch.column(2), width)
+                scores = np.where(row[:, None] == sample_rows[None, :], np.iinfo(np.int64).min, products(v, sample))
+                if len(sample_rows) > k:
+                    low = np.maximum(low, np.partition(scores, len(sample_rows) - k, axis=1)[:, -k])
+                query, place = annuli.expand(v, low, first)
+                n = len(row)
+                columns = {"row": batch.column(0), "label": batch.column(1), "v": batch.column(2)}
+                yield from question_rows(columns, query, annuli.cells[place], query, np.zeros(n, dtype=np.int64), low, np.full(n, MOST))
+
+    return queries.select("row", "label", "v", "low").mapInArrow(run, ASKED)
+
+
+def _top_k_of_width(vectors: DataFrame, width: int, k: int, every: int) -> DataFrame:
+    """The results of all queries of one length."""
     vectors = vectors.where(F.size("v") == width)
-    sample = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(SEED))).orderBy("h", "row").limit(min(SAMPLE, room)).collect()
-    sample_rows, points = np.array([r.row for r in sample]), np.array([r.v for r in sample], dtype=np.int64)
-    pivots = choose_pivots(points, PIVOTS)
-    index = build_index(vectors, pivots, ring_edges(points, pivots))
-    asked_for = F.count_if(F.col("vec_id") % every == 0).alias("asked")
-    rings = index.groupBy("ring", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("largest"), asked_for).collect()  # PIVOTS * RINGS rows at most
-    size = min(CHUNK, room)
-    parts = -(-sum(r.asked for r in rings) // size)
-    if not parts:
-        return
-    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "ring", "distance")
-    asked = asked.repartitionByRange(parts, "ring", "distance", "row").sortWithinPartitions("ring", "distance", "row")
-    asked = store(asked.select("row", "vec_id", "v", F.spark_partition_id().alias("chunk")), "topk-queries")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    for chunk in range(parts):
-        mine, last, held = asked.where(F.col("chunk") == chunk), None, None
-        while held is None or len(held) == size:  # ranges come out uneven, so a chunk may take more than one turn
-            held = (mine if last is None else mine.where(F.col("row") > last)).orderBy("row").limit(size).collect()
-            if not held:
-                break
-            last = held[-1].row
-            queries = Queries(held, pivots, sample_rows, points, k)
-            hits = index.where(F.col("ring").isin(queries.reached(rings))).mapInArrow(_search(queries, k), "query long, query_id long, vec_id long, score long")
-            best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    n = vectors.count()
+    chosen = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(SEED))).orderBy("h", "row").limit(min(SAMPLE, max(PIVOTS, NUMBERS // width)))
+    sample = chosen.select("row", "v").toArrow()
+    sample_rows, points = sample.column(0).to_numpy(), matrix(sample.column(1).combine_chunks(), width)
+    pivots = choose_pivots(points, max(1, min(PIVOTS, n // RING_ROWS)))
+    rings = max(1, min(MOST_RINGS, round(n / (len(pivots) * RING_ROWS))))
+    index = build_index(vectors, pivots, ring_edges(points, pivots, rings))
+    held = index.groupBy("cell").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("largest")).toArrow()  # PIVOTS * MOST_RINGS rows at most
+    annuli = Annuli(pivots, *(held.column(c).to_numpy() for c in ("cell", "near", "far", "largest")), rings)
+    pages = page_counts(index)
+    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "label", "v", F.lit(np.iinfo(np.int64).min).alias("low"))
+    best = lambda queries, first: best_of_cells(index, pages, _ask(queries, annuli, width, k, sample_rows, points, first), width, k, None)
+    near = store(ranked(best(asked, True), k).drop("rank"), "topk-first")
+    floor = near.groupBy("query").agg(F.count("*").alias("found"), F.min("score").alias("least"))  # k rows a query at most
+    floor = floor.where(F.col("found") >= k).select(F.col("query").alias("row"), "least")
+    raised = asked.join(floor, "row", "left").withColumn("low", F.coalesce("least", "low"))
+    found = ranked(near.unionByName(best(raised, False)), k)
+    ids = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return found.join(ids, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -213,10 +175,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_co
     table gives no rows.
     """
     spark = table.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
     vectors = store(scaled_vectors(table, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
-    path = new_path(spark, "topk-found")
-    spark.createDataFrame([], schema).write.parquet(path)
-    for (width,) in vectors.select(F.size("v")).distinct().collect():
-        _top_k_of_width(vectors, width, k, every, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for (width,) in sorted(vectors.select(F.size("v")).distinct().collect()):
+        out = out.unionByName(_top_k_of_width(vectors, width, k, every))
+    return out

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from propspark.llm import topk
+from propspark.llm import topk, vector_pages
 from propspark.llm.topk import choose_pivots, products, top_k
 
 
@@ -20,8 +20,9 @@ def brute(rows, k=5, every=50):
 
 @pytest.mark.parametrize(("chunk", "sample", "block"), [(4096, 4096, 2048), (3, 16, 8)])
 def test_equals_brute_force_with_ties(spark, monkeypatch, chunk, sample, block):
-    for name, value in (("CHUNK", chunk), ("SAMPLE", sample), ("BLOCK", block), ("PIVOTS", 8)):
+    for name, value in (("BOUNDS", chunk * 20), ("SAMPLE", sample), ("RING_ROWS", block), ("PIVOTS", 8), ("FIRST", 2)):
         monkeypatch.setattr(topk, name, value)
+    monkeypatch.setattr(vector_pages, "PAGE", block)
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(700)]
     rows += [(700 + i, [0.5] * 6) for i in range(150)]
@@ -43,7 +44,8 @@ def test_odd_rows(spark):
 
 
 def test_repeated_rows_ids_and_lengths(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 3)
+    monkeypatch.setattr(topk, "RING_ROWS", 3)
+    monkeypatch.setattr(topk, "BOUNDS", 60)
     rng = np.random.default_rng(4)
     rows = [(i * 10, rng.normal(size=3).round(2).tolist()) for i in range(60)]
     rows += rows[:7] + [(50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (50, [0.0, 0.5, 1.0])]  # copies of queries, one id with several vectors
@@ -52,25 +54,22 @@ def test_repeated_rows_ids_and_lengths(spark, monkeypatch):
     assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
 
 
-def test_chunks_read_only_what_their_bounds_reach(spark, monkeypatch):
-    """Vectors in far clusters: the annuli that the queries of one cluster reach hold a part of all rows, and the results are whole."""
-    monkeypatch.setattr(topk, "CHUNK", 8)
+def test_only_annuli_that_bounds_reach_are_read(spark, monkeypatch):
+    """Vectors in far clusters: queries are shuffled to a part of the annuli only, and the results are whole."""
+    monkeypatch.setattr(topk, "RING_ROWS", 40)
+    monkeypatch.setattr(topk, "FIRST", 2)
     seen = []
-    reached = topk.Queries.reached
-
-    def counted(self, rings):
-        found = reached(self, rings)
-        seen.append(len(found) / len(rings))
-        return found
-
-    monkeypatch.setattr(topk.Queries, "reached", counted)
+    real = topk.best_of_cells
+    monkeypatch.setattr(topk, "best_of_cells", lambda index, pages, asked, *a: seen.append((asked.count(), pages.count())) or real(index, pages, asked, *a))
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(12, 8)) * 10
     centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
     rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.1).tolist()) for i in range(1200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
-    assert len(seen) >= 3 and sum(seen) / len(seen) < 0.9
+    queries = sum(i % 50 == 0 for i, _ in rows)
+    cells = seen[0][1]
+    assert len(seen) == 2 and cells >= 12 and sum(n for n, _ in seen) < 0.6 * queries * cells
 
 
 def test_large_numbers_are_exact():

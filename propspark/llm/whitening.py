@@ -15,7 +15,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -111,7 +111,12 @@ def block_matrix(rows: DataFrame, values: str, n: int, width: int) -> BlockMatri
     """A BlockMatrix of the array column `values`, placed by `row`."""
     vectors = rows.select(F.col("row").cast("long").alias("index"), array_to_vector(values).alias("vector"))
     vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(BLOCK_ROWS, BLOCK_COLS)
+    # every product asks for the blocks several times; those of a lost executor are made again from the table
+    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(BLOCK_ROWS, BLOCK_COLS).persist(StorageLevel.DISK_ONLY)
+
+
+def release(a: BlockMatrix) -> None:
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def scatter(a: BlockMatrix) -> np.ndarray:
@@ -166,8 +171,11 @@ def fit_whitening(fit: DataFrame, width: int, components: int) -> Whitening:
         white = store(project(fit.sparkSession.sparkContext, a, matrix), "whitening-fit").select("row", F.col("projected").alias("c"))
         means = np.array([float(r.m) for r in sorted(white.select(F.posexplode("c").alias("i", "c")).groupBy("i").agg(F.avg("c").alias("m")).collect())])
         shifted = white.select("row", F.zip_with("c", F.array(*[F.lit(float(m)) for m in means]), lambda c, m: c - m).alias("c"))
-        got = scatter(block_matrix(shifted, "c", sums.n, matrix.shape[1])) / sums.n
+        b = block_matrix(shifted, "c", sums.n, matrix.shape[1])
+        got = scatter(b) / sums.n
+        release(b)
         error = float(np.abs(got[np.ix_(kept, kept)] - np.eye(len(kept))).max())
+    release(a)
     explained = [float(values[i]) / trace if trace > 0 else None for i in range(matrix.shape[1])]
     return Whitening(sums, values, explained, matrix, error)
 
@@ -214,7 +222,9 @@ def _applied(rows: DataFrame, count: int, width: int, model: Whitening) -> DataF
     squares = F.aggregate(exact, F.lit(0).cast(kind), lambda s, d: (s + (d * d).cast(kind)).cast(kind))
     made = rows.select("vec_id", "row", offsets(F.col("x"), sums).alias("d"))
     made = store(made.select("vec_id", "row", squares.alias("deviation_exact"), F.transform("d", lambda d: d.cast("double") / F.lit(float(sums.n))).alias("c")), "whitening-centred")
-    found = project(rows.sparkSession.sparkContext, block_matrix(made, "c", count, width), model.matrix)
+    a = block_matrix(made, "c", count, width)
+    found = store(project(rows.sparkSession.sparkContext, a, model.matrix), "whitening-projected")
+    release(a)
     empty = [i for i in range(model.matrix.shape[1]) if not model.matrix[:, i].any()]
     values = F.transform("projected", lambda v, i: F.when(~i.isin(empty), v)) if empty else F.col("projected")
     found = made.drop("c").join(found, "row")

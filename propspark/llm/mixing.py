@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     name = free_name(docs, "row")
     found = _copies(docs, weights, share, most, id_col, text_col, source_col).where("copies > 0").select(F.col("row").alias(name), F.col("copies").cast("int"))
     # as many rows as documents, so never broadcast: one plan at every size
-    keyed = docs.withColumn(name, row_key(docs)).alias("d").join(found.hint("merge").alias("c"), F.col(f"d.{name}") == F.col(f"c.{name}")).select("d.*", F.col("c.copies").alias(free_name(docs, "copies")))
-    once = keyed.dropDuplicates([name])
+    single = docs.withColumn(name, row_key(docs)).dropDuplicates([name])  # before the join, so that equal rows meet in the tasks that read them
+    once = single.alias("d").join(found.hint("merge").alias("c"), F.col(f"d.{name}") == F.col(f"c.{name}")).select("d.*", F.col("c.copies").alias(free_name(docs, "copies")))
     count = F.col(free_name(docs, "copies"))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), count)).alias(free_name(docs, "copy"))).select([F.col(f"`{c}`") for c in docs.columns])

@@ -1,4 +1,4 @@
-"""Training-data operators: ten document, vector and conversation jobs on Spark.
+"""Training-data operators: thirteen document, vector and conversation jobs on Spark.
 
 Nothing else in the library imports this subpackage.
 """

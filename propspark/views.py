@@ -55,7 +55,38 @@ SELECT event_id AS quote_id, CAST(ts AS TIMESTAMP) AS captured_at,
        CAST(-(105 + CAST(floor(value * 10) AS INT) % 20) AS INT) AS under_odds
 FROM {events}
 """
-VIEWS = {"quotes": QUOTES, "entity_day": ENTITY_DAY, "team_game": TEAM_GAME, "scored": SCORED, "snap": SNAP}
+PLAYED = f"""
+SELECT game_id, day, season, home_team, away_team, home_score, away_score,
+       CAST(home_team % 10 AS INT) AS venue, CAST(game_id % 40 AS INT) AS umpire,
+       CASE game_id % 4 WHEN 0 THEN 'out to left' WHEN 1 THEN 'dome' WHEN 2 THEN 'in from right' ELSE 'calm.' END AS weather,
+       CAST(CASE WHEN game_id % 11 <> 0 THEN 40 + game_id % 55 END AS INT) AS temperature,
+       CAST(CASE WHEN game_id % 13 <> 0 THEN game_id % 19 END AS INT) AS wind,
+       CAST((home_score + away_score) % 5 AS INT) AS hr
+FROM ({TEAM_GAME}) t WHERE home_team <> away_team
+"""
+STARTS = f"""
+SELECT game_id, home_team * 10 + game_id % 5 AS pitcher_id, home_team AS team, away_team AS opponent, day, season,
+       home_score % 7 + CAST(away_score % 3 AS DOUBLE) / 10 AS ip, home_score * 9 + 20 AS pitches
+FROM ({PLAYED}) h
+UNION ALL
+SELECT game_id, away_team * 10 + game_id % 5, away_team, home_team, day, season,
+       away_score % 7 + CAST(home_score % 3 AS DOUBLE) / 10, away_score * 9 + 20
+FROM ({PLAYED}) a
+"""
+PLAYER_GAME = f"""
+SELECT l.game_id, g.day, g.season, l.ln,
+       CASE WHEN l.ln % 2 = 1 THEN g.home_team ELSE g.away_team END AS team,
+       CASE WHEN l.ln % 2 = 1 THEN g.away_team ELSE g.home_team END AS opponent,
+       CAST(CASE WHEN l.ln % 2 = 1 THEN g.home_team ELSE g.away_team END * 12 + l.ln AS INT) AS player_id,
+       CAST(l.q % 36 + 4 AS INT) AS minutes, l.q % 7 < 4 AS is_starter,
+       CAST(l.p % 9 AS INT) AS fgm, CAST(l.p % 9 + l.q % 8 AS INT) AS fga, CAST(l.p % 3 AS INT) AS fg3m,
+       CAST(l.q % 6 AS INT) AS fta, CAST(l.q % 3 AS INT) AS orb, CAST(l.p % 6 AS INT) AS drb, CAST((l.p + l.q) % 7 AS INT) AS assists,
+       CAST(l.p % 4 AS INT) AS turnovers, CAST(2 * (l.p % 9) + l.p % 3 AS INT) AS points
+FROM (SELECT l_orderkey AS game_id, CAST(l_linenumber AS INT) AS ln, MIN(l_partkey) AS p, CAST(MIN(l_quantity) AS INT) AS q
+      FROM {{lineitem}} GROUP BY l_orderkey, CAST(l_linenumber AS INT)) l
+JOIN ({PLAYED}) g ON g.game_id = l.game_id
+"""
+VIEWS = {"played": PLAYED, "starts": STARTS, "player_game": PLAYER_GAME, "quotes": QUOTES, "entity_day": ENTITY_DAY, "team_game": TEAM_GAME, "scored": SCORED, "snap": SNAP}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

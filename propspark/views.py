@@ -58,7 +58,7 @@ FROM {events}
 PLAYED = f"""
 SELECT game_id, day, season, home_team, away_team, home_score, away_score,
        CAST(home_team % 10 AS INT) AS venue, CAST(game_id % 40 AS INT) AS umpire,
-       CASE game_id % 4 WHEN 0 THEN 'out to left' WHEN 1 THEN 'dome' WHEN 2 THEN 'in from right' ELSE 'calm.' END AS weather,
+       CASE game_id % 6 WHEN 0 THEN 'out to left' WHEN 1 THEN 'dome' WHEN 2 THEN 'in from right' WHEN 3 THEN 'calm.' WHEN 4 THEN 'sunny.' ELSE 'light rain.' END AS weather,
        CAST(CASE WHEN game_id % 11 <> 0 THEN 40 + game_id % 55 END AS INT) AS temperature,
        CAST(CASE WHEN game_id % 13 <> 0 THEN game_id % 19 END AS INT) AS wind,
        CAST((home_score + away_score) % 5 AS INT) AS hr

@@ -42,7 +42,9 @@ def vig(over: Column | str, under: Column | str) -> Column:
 
 
 def clamp_odds(american: Column | str, limit: int = 99_999) -> Column:
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(american) if isinstance(american, str) else american))
+    """Odds held within the limit on either side; unknown ones stay null."""
+    a = F.col(american) if isinstance(american, str) else american
+    return F.when(a.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), a)))
 
 
 def exchange_fair(last: Column, over_available: Column, under_available: Column, how: str = "mid") -> Column:
@@ -98,10 +100,11 @@ def side_shade(p: Column | str, year: Column | str, shades: dict[int, float]) ->
 
 
 def kelly_fraction(p: Column | str, payout: Column | str, share: float = 1.0, cap: float | None = None) -> Column:
-    """Kelly stake times `share`, at least 0 and at most `cap`."""
+    """Kelly stake times `share`, at least 0 and at most `cap`; null where the probability or the payout is, or the payout wins nothing."""
     b = _c(payout) - 1
-    stake = F.greatest(F.lit(0.0), (_c(p) * b - (1 - _c(p))) / b) * share
-    return stake if cap is None else F.least(stake, F.lit(cap))
+    edge = F.when(b > 0, (_c(p) * b - (1 - _c(p))) / b)
+    stake = F.greatest(F.lit(0.0), edge) * share
+    return F.when(edge.isNotNull(), stake if cap is None else F.least(stake, F.lit(cap)))
 
 
 def elo_expectation(own: Column | str, other: Column | str) -> Column:

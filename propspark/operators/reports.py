@@ -134,8 +134,8 @@ def roi_se(bets: DataFrame, by: list[str], min_n: int) -> DataFrame:
 
 
 def calibration(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
-    """Left-closed bins of equal width: number, mean prediction, rate and their difference."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    """Left-closed bins of equal width: number, mean prediction, rate and their difference. Rows without a prediction have the null bin."""
+    b = F.when(F.col(p).isNotNull(), F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))).cast("int")
     g = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("actual"))
     return g.withColumn("diff", F.col("actual") - F.col("predicted"))
 
@@ -146,7 +146,7 @@ def binary_metrics(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     Rows are first counted by score; the negatives below a score are a running sum over ranges
     of scores, so one group, too, is spread over tasks.
     """
-    q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
+    q = F.when(F.col(p).isNotNull(), F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p))))
     loss = -(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
     d = F.col(p) - F.col(y)
     plain = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d * d).alias("brier"), F.avg(loss).alias("log_loss"), F.avg(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("int")).alias("accuracy"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), (F.covar_pop(p, y) / F.nullif(F.stddev_pop(p) * F.stddev_pop(y), F.lit(0.0))).alias("corr"))

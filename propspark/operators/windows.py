@@ -148,10 +148,10 @@ def season_to_date(keys, season: str, order: list[str], column: str, how: str =
 
 
 def rest_days(keys, day: str, cap: int = 10, default: int | None = None, tie: str | None = None) -> Column:
-    """Days since the entity's last event, at most cap; `default` at the first."""
+    """Days since the entity's last event, at most cap; `default` (null) at the first."""
     w = Window.partitionBy(*_keys(keys)).orderBy(*[c for c in (day, tie) if c])
     gap = F.datediff(F.col(day), F.lag(day).over(w))
-    return F.coalesce(F.least(gap, F.lit(cap)), F.lit(default).cast("int"))
+    return F.when(gap.isNotNull(), F.least(gap, F.lit(cap))).otherwise(F.lit(default).cast("int"))
 
 
 def games_last(keys, day: str, count: str, n: int = 7) -> Column:
@@ -204,13 +204,13 @@ def argmax_by(df: DataFrame, keys, value: str, n: str) -> DataFrame:
     return counted.groupBy(*_keys(keys)).agg(best.alias(value), F.max("_n").alias("n"))
 
 
-def trailing_ranks(df: DataFrame, team: str, entity: str, day: str, value: str, n: int, k: int) -> DataFrame:
-    """(team, day, entity, total, place): a team's k entities with most value in [day - n, day), for its own days.
+def trailing_ranks(df: DataFrame, team: str, entity: str, day: str, value: str, n: int, k: int, spine: DataFrame | None = None) -> DataFrame:
+    """(team, day, entity, total, place): a team's k entities with most value in [day - n, day), for its own days or those of the spine.
 
     Each fact is offered to the team's days in (day, day + n]; only those days are made, and
     the facts are summed per entity before they are ranked.
     """
-    days = df.select(team, day).distinct()
+    days = (df if spine is None else spine).select(team, day).distinct()
     facts = df.groupBy(team, entity, day).agg(F.sum(value).alias("_v")).withColumnRenamed(day, "_at")
     near = facts.withColumn("_b", F.explode(F.array(F.floor(F.unix_date("_at") / n), F.floor(F.unix_date("_at") / n) + 1)))
     slots = days.withColumn("_b", F.floor(F.unix_date(day) / n))
@@ -227,9 +227,9 @@ def absent_topk(df: DataFrame, team: str, entity: str, day: str, value: str, n:
     return top.join(here, [team, day, entity], "left").groupBy(team, day).agg(F.count_if(F.col("_here").isNull()).alias("absent"))
 
 
-def topk_available(df: DataFrame, team: str, entity: str, day: str, value: str, n: int, k: int, rest: int) -> DataFrame:
+def topk_available(df: DataFrame, team: str, entity: str, day: str, value: str, n: int, k: int, rest: int, spine: DataFrame | None = None) -> DataFrame:
     """(team, day, available): share of a team's k most used entities without a row in the last `rest` days."""
-    top = trailing_ranks(df, team, entity, day, value, n, k)
+    top = trailing_ranks(df, team, entity, day, value, n, k, spine)
     used = df.select(team, entity, day).distinct().withColumn(day, F.explode(F.array(*[F.date_add(day, i) for i in range(1, rest + 1)]))).distinct().withColumn("_used", F.lit(1))
     return top.join(used, [team, entity, day], "left").groupBy(team, day).agg(F.avg(F.col("_used").isNull().cast("double")).alias("available"))
 

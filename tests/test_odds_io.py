@@ -7,6 +7,8 @@ from propspark.functions import columns as C
 from propspark.functions import odds as O
 from propspark.operators import models as M
 from propspark.operators import names as N
+from propspark.operators import reports as R
+from propspark.operators import windows as W
 from propspark.sources import io as IO
 from propspark.streaming import snapshots as X
 from propspark.streaming import state as S
@@ -29,6 +31,27 @@ def test_pushes_and_unknown_results(spark):
     assert one(spark, p=O.profit(F.lit("push"), F.lit(1.9))).p == 0
 
 
+def test_unknown_prices_and_chances_stay_unknown(spark):
+    none, price = F.lit(None).cast("double"), F.lit(2.0)
+    r = one(spark, clamp=O.clamp_odds(none), high=O.clamp_odds(F.lit(200_000)), no_p=O.kelly_fraction(none, price, 0.25, 0.03), no_price=O.kelly_fraction(F.lit(0.9), none, 0.25, 0.03), nothing_won=O.kelly_fraction(F.lit(0.9), F.lit(1.0), 0.25, 0.03), bad=O.kelly_fraction(F.lit(0.4), price, 0.25, 0.03), cap=O.kelly_fraction(F.lit(0.9), price, 0.25, 0.03))
+    assert tuple(r) == (None, 99_999, None, None, None, 0.0, 0.03)
+    r = one(spark, poisson=O.poisson_tail(none, price), mean=O.poisson_tail(F.lit(1.5), none), nb=O.negative_binomial_tail(none, price, price))
+    assert tuple(r) == (None, None, None)
+
+
+def test_rows_without_a_prediction_have_no_bin_and_no_loss(spark):
+    df = spark.createDataFrame([(None, 1), (0.95, 1), (1.0, 1), (0.5, 0)], "p double, y int")
+    assert {r.bin: r.n for r in R.calibration(df, "p", "y", 10).collect()} == {None: 1, 9: 2, 5: 1}
+    known = R.binary_metrics(df.where("p IS NOT NULL").withColumn("g", F.lit(1)), "p", "y", ["g"]).first()
+    assert R.binary_metrics(df.withColumn("g", F.lit(1)), "p", "y", ["g"]).first().log_loss == pytest.approx(known.log_loss)
+
+
+def test_first_event_has_no_rest(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 4, d).date()) for d in (1, 3, 29)], "k int, day date")
+    got = [tuple(r) for r in df.select("day", W.rest_days("k", "day", 10).alias("rest"), W.rest_days("k", "day", 10, 7).alias("seven")).orderBy("day").drop("day").collect()]
+    assert got == [(None, 7), (2, 2), (10, 10)]
+
+
 def test_tails(spark):
     r = one(spark, zero=O.poisson_tail(F.lit(0.5), F.lit(2.0)), two=O.poisson_tail(F.lit(2.5), F.lit(2.0)), normal=O.normal_tail(F.lit(1.0), F.lit(1.0), F.lit(2.0)), wins=O.binomial_tail(F.lit(3), F.lit(4), 0.5), nb=O.negative_binomial_tail(F.lit(0.5), F.lit(2.0), F.lit(1e7)))
     assert r.zero == pytest.approx(0.864665, abs=1e-6) and r.two == pytest.approx(0.323324, abs=1e-6)

@@ -117,16 +117,16 @@ def margin_multiplier(margin: Column | str) -> Column:
 
 
 def poisson_tail(line: Column | str, mean: Column | str) -> Column:
-    """P(X > line) of a Poisson count, by recursion over the counts up to the line."""
+    """P(X > line) of a Poisson count, by recursion over the counts up to the line; null where the line or the mean is."""
     m, top = _c(mean), F.floor(_c(line)).cast("int")
     start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("total"))
     step = lambda s, k: F.struct((s["p"] * m / k).alias("p"), (s["total"] + s["p"] * m / k).alias("total"))
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), start, step)
-    return F.when(top < 0, 1.0).when(top == 0, 1 - F.exp(-m)).otherwise(1 - walked["total"])
+    return F.when(m.isNotNull() & (top < 0), 1.0).when(top == 0, 1 - F.exp(-m)).when(top > 0, 1 - walked["total"])
 
 
 def negative_binomial_tail(line: Column | str, mean: Column | str, size: Column | str) -> Column:
-    """P(X > line) of a negative binomial count with a mean and a size (dispersion)."""
+    """P(X > line) of a negative binomial count with a mean and a size (dispersion); null where one of the three is."""
     m, r, top = _c(mean), _c(size), F.floor(_c(line)).cast("int")
     q = m / (m + r)
     first = F.pow(1 - q, r)
@@ -137,7 +137,7 @@ def negative_binomial_tail(line: Column | str, mean: Column | str, size: Column
         return F.struct(p.alias("p"), (s["total"] + p).alias("total"))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), start, step)
-    return F.when(top < 0, 1.0).when(top == 0, 1 - first).otherwise(1 - walked["total"])
+    return F.when(first.isNotNull() & (top < 0), 1.0).when(top == 0, 1 - first).when(top > 0, 1 - walked["total"])
 
 
 def normal_tail(line: Column | str, mean: Column | str, sd: Column | str) -> Column:

@@ -28,7 +28,7 @@ def test_entry_gives_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["c03_context_block", "c05_game_context", "c08_starter_decisions", "c09_basketball_set", "e01_normalize_name", "e02_match_unique", "p02_safe_casts", "p13_text_flags", "s04_flatten_json", "s11_new_only", "w18_topk_available", "w24_drawdown", "x07_settle"])
+@pytest.mark.parametrize("name", ["c03_context_block", "c05_game_context", "c08_starter_decisions", "c09_basketball_set", "c10_shot_profile", "e01_normalize_name", "e02_match_unique", "p02_safe_casts", "p13_text_flags", "s04_flatten_json", "s11_new_only", "w18_topk_available", "w24_drawdown", "x07_settle"])
 def test_inputs_tell_results_apart(db, name):
     """Every column of the result takes two values at least."""
     found = db.execute(SQL[name]).fetchdf()

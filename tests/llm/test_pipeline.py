@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -103,3 +104,15 @@ def test_run_and_empty_table(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_work_in_small_batches(spark):
+    settings = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 400).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    for name, step in corpus_pipeline.STAGES:
+        for key in settings:
+            spark.conf.unset(key)
+        step(spark, docs.limit(20), SF)
+        sizes = [r.size for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches), "size long").collect()]
+        assert max(sizes) < 2 << 20 < 3 << 20 < sum(sizes), name
+        assert int(spark.conf.get(settings[1])) <= 256, name

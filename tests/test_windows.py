@@ -1,4 +1,5 @@
 from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -229,3 +230,22 @@ def test_batter_block_has_no_leak(spark):
     before, after = run([]), run([(1, 10, day(6), "FF", "L", "R", True, True, False, 12, None, None, None, None)] * 5)
     assert len(before) == 10 and before[day(0)].bat_whiff_FF is None and before[day(4)].bat_xwoba_FF == pytest.approx(0.3)
     assert all(before[d] == after[d] for d in before if d <= day(6)) and before[day(7)] != after[day(7)]
+
+
+def test_expanding_exact_mean(spark):
+    """The sum of the values as they print, rounded once; values that no decimal holds, and sums that outgrow it, are added as doubles."""
+    rng = np.random.default_rng(3)
+    rates = [None if i % 17 == 5 else float(x) for i, x in enumerate(rng.integers(-400, 400, 500) / 360)]
+    odd = {2: [0.25, 0.5, float("nan"), 1.0], 3: [0.25, float("-inf"), 1.0, 2.0], 4: [6e17, 6e17, 6e17, -6e17, 0.5], 5: [1e19, 1.5, None, 2.5], 6: [None, None, 0.0]}
+    rows = [(k, i, x) for k, xs in ({1: rates} | odd).items() for i, x in enumerate(xs)]
+    df = frame(spark, rows, "k int, i int, x double")
+    got = {(r.k, r.i): r.m for r in df.withColumn("m", W.expanding_exact_mean("k", ["i"], "x", 2)).collect()}
+    assert len(got) == len(rows)
+    for k, i, _ in rows:
+        held = [x for k2, i2, x in rows if k2 == k and i2 < i and x is not None]
+        if len(held) < 2:
+            assert got[k, i] is None
+        elif k == 1:
+            assert got[k, i] == float(sum(round(Decimal(repr(x)), 20) for x in held)) / len(held)
+        else:
+            assert got[k, i] == pytest.approx(sum(held) / len(held), rel=1e-15, nan_ok=True)

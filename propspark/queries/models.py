@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 from propspark.functions import odds as O
 from propspark.operators import models as M
 from propspark.queries.registry import query
+from propspark.sources.scratch import kept
 from propspark.views import league_games, table, view, with_views
 
 r6 = lambda c: F.round(c, 6)
 
 
 def labelled(spark, sf):
-    """Labelled documents with simple features of their texts and a period."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.col("n_chars")).alias("upper"), (F.length(F.regexp_replace("text", "[^|#%*$&!]", "")) / F.col("n_chars")).alias("symbols"))
+    """Labelled documents with simple features of their texts and a period; a text without characters has no shares.
+
+    Fits pass over them many times, so the texts are read once and the features are kept.
+    """
+    share = lambda kind: F.try_divide(F.regexp_count("text", F.lit(f"[{kind}]")), F.col("n_chars"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("size"), share("A-Z").alias("upper"), share("|#%*$&!").alias("symbols"))
     s = view(spark, sf, "scored").select("doc_id", "y", "p", "grp")
-    return d.join(s, "doc_id").withColumn("period", (F.col("doc_id") % 2).cast("int"))
+    return kept(d.join(s, "doc_id").withColumn("period", (F.col("doc_id") % 2).cast("int")), "labelled")
 
 
 FEATURES = ["size", "upper", "symbols"]

@@ -31,3 +31,15 @@ def test_gate_with_empty_texts(spark, odd):
     got = QUERIES["m08_gate"](spark, odd).collect()
     assert sorted((r.train_period, r.arm) for r in got) == [(p, a) for p in (0, 1) for a in ("candidate", "control", "market")]
     assert all(0 <= r.auc <= 1 for r in got)
+
+
+def rows_of(spark, odd, name):
+    """The query's rows by document, after a look that it has one for every label."""
+    got = {r.doc_id: r for r in QUERIES[name](spark, odd).collect()}
+    assert sorted(got) == sorted(r.doc_id for r in spark.read.parquet(f"{odd}/labels.parquet").collect())
+    return got
+
+
+def test_logistic_scores_empty_texts(spark, odd):
+    got = rows_of(spark, odd, "m01_l1_logistic")
+    assert all(0 <= r.p_model <= 1 for r in got.values()) and any(r.y is None for r in got.values())

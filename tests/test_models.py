@@ -43,3 +43,8 @@ def rows_of(spark, odd, name):
 def test_logistic_scores_empty_texts(spark, odd):
     got = rows_of(spark, odd, "m01_l1_logistic")
     assert all(0 <= r.p_model <= 1 for r in got.values()) and any(r.y is None for r in got.values())
+
+
+def test_trees_score_empty_texts(spark, odd):
+    got = rows_of(spark, odd, "m02_boosted_trees")
+    assert all(0 <= r.p_hard <= 1 and r.p_soft is not None for r in got.values())

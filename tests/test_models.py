@@ -48,3 +48,14 @@ def test_logistic_scores_empty_texts(spark, odd):
 def test_trees_score_empty_texts(spark, odd):
     got = rows_of(spark, odd, "m02_boosted_trees")
     assert all(0 <= r.p_hard <= 1 and r.p_soft is not None for r in got.values())
+
+
+def test_isotonic_keeps_empty_texts(spark, odd):
+    got = rows_of(spark, odd, "m03_isotonic")
+    assert any(r.symbols is None for r in got.values())
+    assert all((r.calibrated is None) == (r.symbols is None) for r in got.values())
+
+
+def test_isotonic_never_falls(spark, odd):
+    known = sorted((r.symbols, r.calibrated) for r in rows_of(spark, odd, "m03_isotonic").values() if r.symbols is not None)
+    assert all(a[1] <= b[1] for a, b in zip(known, known[1:], strict=False))

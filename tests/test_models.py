@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from propspark.views import view
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
@@ -59,3 +60,10 @@ def test_isotonic_keeps_empty_texts(spark, odd):
 def test_isotonic_never_falls(spark, odd):
     known = sorted((r.symbols, r.calibrated) for r in rows_of(spark, odd, "m03_isotonic").values() if r.symbols is not None)
     assert all(a[1] <= b[1] for a, b in zip(known, known[1:], strict=False))
+
+
+def test_ensemble_of_empty_texts(spark, odd):
+    market = {r.doc_id: r.p for r in view(spark, odd, "scored").collect()}
+    model = {r.doc_id: r.p_model for r in QUERIES["m01_l1_logistic"](spark, odd).collect()}
+    for i, r in rows_of(spark, odd, "m05_ensemble").items():
+        assert r.p_mean == pytest.approx(model[i] if market[i] is None else (model[i] + market[i]) / 2)

@@ -300,7 +300,8 @@ def u04(spark, sf):
     g = view(spark, sf, "team_game").select("game_id", F.col("home_team").alias("team"), "day", F.col("home_score").alias("score"))
     schedule = g.where("game_id % 10 = 0").select((F.col("game_id") + 1_000_000).alias("game_id"), "team", F.date_add("day", 3).alias("day"))
     all_rows = S.append_scheduled(g, schedule)
-    return all_rows.withColumn("form", r6(W.rolling_rows("team", ["day", "game_id"], "score", 5))).where("is_scheduled").select("game_id", "team", "form", "is_scheduled")
+    order = ["day", "game_id", "is_scheduled"]  # the id of a scheduled game may be a played one's too, which goes first; the SQL leaves it open
+    return all_rows.withColumn("form", r6(W.rolling_rows("team", order, "score", 5))).where("is_scheduled").select("game_id", "team", "form", "is_scheduled")
 
 
 @query("u05_bet_overlap", with_views(", a AS (SELECT DISTINCT player_id, line, actual > line AS w FROM quotes WHERE book_id = 1), b AS (SELECT DISTINCT player_id, line, actual > line AS w FROM quotes WHERE book_id = 2) SELECT CASE WHEN b.w IS NULL THEN 'only_a' WHEN a.w IS NULL THEN 'only_b' ELSE 'shared' END AS part, count(*) AS n, round(avg(CAST(coalesce(a.w, b.w) AS INT)), 6) AS win_rate FROM a FULL JOIN b ON a.player_id = b.player_id AND a.line = b.line GROUP BY 1", "quotes"))

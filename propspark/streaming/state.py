@@ -1,8 +1,9 @@
-"""Keyed state with timers: settlement that waits for a day to close, and latest prices that expire.
+"""Keyed state: settlement that waits for a day to close, nearest quotes, and latest prices that expire.
 
 State lives in Spark's RocksDB store, a key's part of it in one place; a micro-batch touches
-only the keys that it brings. Both operators give the same rows however the input is cut into
-batches, and rows that come twice change nothing.
+only the keys that it brings. All give the same rows however the input is cut into batches,
+and rows that come twice change nothing. Settlement and nearest quotes are streaming
+aggregations that go out when the watermark passes a group's close: no Python runs per key.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,52 +29,9 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class Settlement(StatefulProcessor):
-    """Bets, as JSON, and the sum of box rows of one key; when its timer fires, every bet goes out once with the whole sum."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.bets = handle.getListState("bets", T.StructType([T.StructField("bet", T.StringType())]))
-        self.total = handle.getValueState("total", T.StructType([T.StructField("sum", T.DoubleType()), T.StructField("rows", T.LongType()), T.StructField("closes", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        added, n, closes, bets = 0.0, 0, 0, []
-        for df in rows:
-            if df.empty:  # a key that only has a timer
-                continue
-            box = df["x_kind"] == BOX
-            added, n = added + float(df.loc[box, "x_value"].sum()), n + int(box.sum())
-            mine = df[df["x_kind"] != CLOCK]
-            closes = max(closes, int(mine["x_closes"].max()) if len(mine) else 0)
-            bets += [(x,) for x in df.loc[df["x_kind"] == BET, "x_bet"]]
-        if closes:
-            held = self.total.get() if self.total.exists() else (0.0, 0, 0)
-            if closes > held[2]:
-                if held[2]:
-                    self.handle.deleteTimer(held[2])
-                self.handle.registerTimer(closes)
-            self.total.update((held[0] + added, held[1] + n, max(closes, held[2])))
-            if bets:
-                self.bets.appendList(bets)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        total = self.total.get() if self.total.exists() else (0.0, 0, 0)
-        bets = [b[0] for b in self.bets.get()]
-        self.total.clear()
-        self.bets.clear()
-        if bets:
-            out = pd.DataFrame({"x_bet": bets})
-            for name, value in zip(self.keys, key, strict=True):
-                out[name] = value
-            out["actual"] = total[0] if total[1] else np.nan
-            yield out[[*self.keys, "x_bet", "actual"]]
-
-    def close(self) -> None:
-        pass
+def _closing(at: Column) -> Column:
+    """`at` as an event time: a streaming aggregation by it holds a group until the watermark passes its value."""
+    return at.cast("timestamp").alias("x_closes", metadata={"spark.watermarkDelayMs": 0})
 
 
 def settle_stream(
@@ -92,33 +51,27 @@ def settle_stream(
 ) -> DataFrame:
     """Streams of bets and of partial box scores -> every bet once, with actual, result and profit.
 
-    A key (a player's day) closes at `closes`, an expression over both streams that lies behind
-    the `at` of all its rows. Until then its bets wait and its box rows are summed, whichever
-    comes first and in whatever batches; when the watermark, `delay` behind the latest `at`,
-    passes the close, the bets are settled on the whole sum, those without any box row with
-    nulls. Rows that repeat an id (`ids`: of bets and of box rows) are dropped, as are rows that
-    come later than the delay. `clock`, a stream with `at`, moves the watermark where the other
-    streams have ended. `final` is applied to the sum of `stats`. Rows without a key never meet.
+    A key (a player's day) closes at `closes`, an expression over both streams that is one time
+    for all rows of a key and lies behind the `at` of all of them. Until then its bets wait and
+    its box rows are summed, whichever comes first and in whatever batches; when the watermark,
+    `delay` behind the latest `at`, passes the close, the bets are settled on the whole sum,
+    those without any box row with nulls. Rows that repeat an id (`ids`: of bets and of box
+    rows) are dropped, as are rows that come later than the delay. `clock`, a stream with `at`,
+    moves the watermark where the other streams have ended. `final` is applied to the sum of
+    `stats`. Rows without a key never meet those with one.
     """
     others = [c for c in bets.columns if c not in keys and c != at]
-    held = bets.select(*others).schema
-    bet = F.to_json(F.struct(*others))
+    bet, held = F.struct(*others), bets.select(*others).schema
     value = sum((F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in stats[1:]), F.coalesce(F.col(stats[0]).cast("double"), F.lit(0.0)))
-    when = F.unix_millis(closes.cast("timestamp"))
-    a = bets.select(*keys, F.col(at).cast("timestamp").alias("x_at"), F.lit(BET).alias("x_kind"), F.col(ids[0]).cast("string").alias("x_id"), when.alias("x_closes"), F.lit(0.0).alias("x_value"), bet.alias("x_bet"))
-    none = F.lit(None).cast("string")
-    b = box.select(*keys, F.col(at).cast("timestamp").alias("x_at"), F.lit(BOX).alias("x_kind"), F.col(ids[1]).cast("string").alias("x_id"), when.alias("x_closes"), value.alias("x_value"), none.alias("x_bet"))
-    both = a.unionByName(b)
+    t, none = F.col(at).cast("timestamp"), F.lit(None)
+    row = lambda kind, ident, when, v, x: [t.alias("x_at"), F.lit(kind).alias("x_kind"), ident.cast("string").alias("x_id"), when.cast("timestamp").alias("x_when"), v.cast("double").alias("x_value"), x.cast(held).alias("x_bet")]
+    both = bets.select(*keys, *row(BET, F.col(ids[0]), closes, none, bet)).unionByName(box.select(*keys, *row(BOX, F.col(ids[1]), closes, value, none)))
     if clock is not None:
-        no_key = [F.lit(None).cast(bets.schema[k].dataType).alias(k) for k in keys]
-        t = F.col(at).cast("timestamp")
-        both = both.unionByName(clock.select(*no_key, t.alias("x_at"), F.lit(CLOCK).alias("x_kind"), t.cast("string").alias("x_id"), F.lit(0).cast("long").alias("x_closes"), F.lit(0.0).alias("x_value"), none.alias("x_bet")))
+        no_key = [none.cast(bets.schema[k].dataType).alias(k) for k in keys]
+        both = both.unionByName(clock.select(*no_key, *row(CLOCK, t, none, none, none)))
     once = both.withWatermark("x_at", delay).dropDuplicatesWithinWatermark(["x_kind", "x_id"])
-    out = T.StructType([*[bets.schema[k] for k in keys], T.StructField("x_bet", T.StringType()), T.StructField("actual", T.DoubleType())])
-    done = once.groupBy(*keys).transformWithStateInPandas(Settlement(keys), out, "Append", "EventTime")
-    done = done.withColumn("x_bet", F.from_json("x_bet", held)).select(*keys, "x_bet.*", "actual")
-    known = F.when(~F.isnan("actual"), F.col("actual"))
-    done = done.withColumn("actual", F.when(known.isNotNull(), final(known)))
+    done = once.select(*keys, _closing(F.col("x_when")), "x_value", "x_bet").groupBy(*keys, "x_closes").agg(F.sum("x_value").alias("x_sum"), F.collect_list("x_bet").alias("x_bets"))
+    done = done.select(*keys, F.explode("x_bets").alias("x_bet"), "x_sum").select(*keys, "x_bet.*", F.when(F.col("x_sum").isNotNull(), final(F.col("x_sum"))).alias("actual"))
     done = done.withColumn("result", O.outcome(side, "actual", line))
     return done.withColumn("profit", O.profit("result", payout))
 
@@ -126,77 +79,71 @@ def settle_stream(
 SHARP, SOFT = 0, 1
 
 
-class NearestQuote(StatefulProcessor):
-    """Quotes of one key from two sides; a sharp one goes out with the soft one nearest in time once no nearer one can come."""
-
-    def __init__(self, keys: list[str], reach: int):
-        self.keys, self.reach = keys, reach
+#: Length of a slot of time, in reaches: quotes of a key wait in the slots that they can meet in.
+SLOT = 3
+
+
+def _nearest(n_keys: int, reach: int):
+    """Rows (keys, sharp quotes, soft quotes) -> (keys, sharp_id, soft_id), by one sorted look-up a row."""
+
+    def sorted_quotes(quotes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        t, i = (quotes.values.field(f).to_numpy() for f in ("t", "i"))
+        both = np.unique(np.column_stack([t, i]), axis=0)  # a quote that comes twice is one
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, left, right = [], [], []
+            for k in range(batch.num_rows):
+                (t, i), (u, j) = sorted_quotes(batch.column(n_keys)[k]), sorted_quotes(batch.column(n_keys + 1)[k])
+                behind = np.searchsorted(u, t)
+                after, last = np.minimum(behind, len(u) - 1), np.maximum(behind, 1) - 1
+                before = np.searchsorted(u, u[last])  # of equal times, the first has the smallest id
+                far = lambda place, there, u=u, t=t: np.where(there, np.abs(u[place] - t), reach + 1)
+                a, b = far(before, behind > 0), far(after, behind < len(u))
+                best = np.where((a < b) | ((a == b) & (j[before] < j[after])), before, after)
+                near = np.minimum(a, b) <= reach
+                at.append(np.full(near.sum(), k))
+                left.append(i[near])
+                right.append(j[best[near]])
+            if at:
+                which = pa.array(np.concatenate(at))
+                columns = [batch.column(c).take(which) for c in range(n_keys)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=[*batch.schema.names[:n_keys], "sharp_id", "soft_id"])
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        kinds = {"kind": T.IntegerType(), "id": T.LongType(), "at": T.LongType()}
-        self.held = handle.getListState("quotes", T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
-
-    def due(self, at: int) -> int:
-        """The time in ms at which a sharp quote's answer is known, in whole seconds, so that quotes share timers."""
-        return -(-(at + self.reach + 1) // 1_000_000) * 1000
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = []
-        for df in rows:
-            if not df.empty:
-                mine = df[df["x_kind"] != CLOCK]
-                new += [(int(k), int(i), int(t)) for k, i, t in zip(mine["x_kind"], mine["x_id"], mine["x_micros"], strict=True)]
-        if new:
-            self.held.appendList(new)
-            for at in {self.due(t) for k, _, t in new if k == SHARP}:
-                self.handle.registerTimer(at)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        quotes = [tuple(q) for q in self.held.get()]
-        sharp = [q for q in quotes if q[0] == SHARP]
-        soft = sorted((t, i) for k, i, t in quotes if k == SOFT)
-        times = np.array([t for t, _ in soft], dtype=np.int64)
-        out, left = [], []
-        for _, i, t in sharp:
-            if self.due(t) > now:
-                left.append((SHARP, i, t))
-                continue
-            a, z = np.searchsorted(times, [t - self.reach, t + self.reach + 1])
-            best = min(((abs(u - t), j) for u, j in soft[a:z]), default=None)
-            if best:
-                out.append((*key, i, best[1]))
-        open_from = min([t for _, _, t in left] + [timerValues.getCurrentWatermarkInMs() * 1000]) - self.reach
-        rest = left + [(SOFT, i, t) for t, i in soft if t >= open_from]
-        self.held.clear()
-        if rest:
-            self.held.put(rest)
-        if out:
-            yield pd.DataFrame(out, columns=[*self.keys, "sharp_id", "soft_id"])
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def nearest_stream(sharp: DataFrame, soft: DataFrame, keys: list[str], at: str, id_col: str, minutes: int, delay: str, clock: DataFrame | None = None) -> DataFrame:
     """Streams of quotes -> (keys, sharp_id, soft_id): every sharp quote with the soft one nearest in time within `minutes`, the smaller id on a tie.
 
-    A quote waits in its key's state until the watermark, `delay` behind the latest time, says
-    that no nearer one can come, so only the pairs that count are made. Ids are longs. `clock`
-    moves the watermark where the other streams have ended.
+    Time is cut into slots of SLOT times `minutes`. A sharp quote waits in its slot, a soft one in
+    each that it can reach; a slot goes out when the watermark, `delay` behind the latest time,
+    has passed all that can be met in it. So a key's state is spread over its slots, and only
+    the pairs that count are made. Ids are longs; a quote without a time or an id meets none.
+    `clock` moves the watermark where the other streams have ended.
     """
+    reach = minutes * 60_000_000
+    slot = SLOT * reach
+    t = F.col(at).cast("timestamp")
+    micros = F.unix_micros(t)
+    of = lambda m: ((m - F.pmod(m, F.lit(slot))) / slot).cast("long")
+    slots = {SHARP: F.array(of(micros)), SOFT: F.sequence(of(micros - reach), of(micros + reach)), CLOCK: F.array(F.lit(None).cast("long"))}
+
     def side(df: DataFrame, kind: int) -> DataFrame:
-        t = F.col(at).cast("timestamp")
-        return df.select(*keys, t.alias("x_at"), F.lit(kind).alias("x_kind"), F.col(id_col).cast("long").alias("x_id"), F.unix_micros(t).alias("x_micros"))
+        known = df if kind == CLOCK else df.where(F.col(at).isNotNull() & F.col(id_col).isNotNull())
+        return known.select(*keys, t.alias("x_at"), F.lit(kind).alias("x_kind"), F.struct(micros.alias("t"), F.col(id_col).cast("long").alias("i")).alias("x_quote"), F.explode(slots[kind]).alias("x_slot"))
 
     both = side(sharp, SHARP).unionByName(side(soft, SOFT))
     if clock is not None:
         nothing = clock.select(*[F.lit(None).cast(sharp.schema[k].dataType).alias(k) for k in keys], at, F.lit(None).cast("long").alias(id_col))
         both = both.unionByName(side(nothing, CLOCK))
+    closes = _closing(F.timestamp_micros((F.col("x_slot") + 1) * slot + reach))
+    quotes = lambda kind, name: F.collect_list(F.when(F.col("x_kind") == kind, F.col("x_quote"))).alias(name)
+    met = both.withWatermark("x_at", delay).select(*keys, closes, "x_kind", "x_quote").groupBy(*keys, "x_closes").agg(quotes(SHARP, "x_sharp"), quotes(SOFT, "x_soft"))
+    met = met.select(*keys, "x_sharp", "x_soft").where((F.size("x_sharp") > 0) & (F.size("x_soft") > 0))
     out = T.StructType([*[sharp.schema[k] for k in keys], T.StructField("sharp_id", T.LongType()), T.StructField("soft_id", T.LongType())])
-    return both.withWatermark("x_at", delay).groupBy(*keys).transformWithStateInPandas(NearestQuote(keys, minutes * 60_000_000), out, "Append", "EventTime")
+    return met.mapInArrow(_nearest(len(keys), reach), out)
 
 
 class LatestPrice(StatefulProcessor):

@@ -110,3 +110,15 @@ def test_nearest_quotes_whatever_the_batches(spark, tmp_path):
         read = lambda n: spark.readStream.schema(schema).parquet(f"{tmp_path}/{n}")
         X.run_available(S.nearest_stream(read("sharp"), read("soft"), ["k"], "at", "id", 20, "1 hour", read("clock")), f"{tmp_path}/state", f"{tmp_path}/out")
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(7, 1, 12), (7, 2, 13), (7, 4, 16)]
+
+
+def steps_of(df):
+    return df._jdf.queryExecution().logical().toString()
+
+
+def test_settlement_runs_no_python_per_key(spark, tmp_path):
+    for name in ("bets", "box"):
+        os.makedirs(f"{tmp_path}/{name}")
+    read = lambda n, s: spark.readStream.schema(s).parquet(f"{tmp_path}/{n}")
+    out = S.settle_stream(read("bets", BETS), read("box", BOX), ["player_id", "day"], ["hits", "walks"], "line", "side", "payout", ("bet_id", "row_id"), "at", F.date_add("day", 1), "6 hours")
+    assert "Aggregate" in steps_of(out) and not any(n in steps_of(out) for n in ("Python", "Pandas", "TransformWithState"))

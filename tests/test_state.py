@@ -122,3 +122,30 @@ def test_settlement_runs_no_python_per_key(spark, tmp_path):
     read = lambda n, s: spark.readStream.schema(s).parquet(f"{tmp_path}/{n}")
     out = S.settle_stream(read("bets", BETS), read("box", BOX), ["player_id", "day"], ["hits", "walks"], "line", "side", "payout", ("bet_id", "row_id"), "at", F.date_add("day", 1), "6 hours")
     assert "Aggregate" in steps_of(out) and not any(n in steps_of(out) for n in ("Python", "Pandas", "TransformWithState"))
+
+
+def test_nearest_quotes_come_once_and_run_no_python_per_key(spark, tmp_path):
+    """Quotes that come twice before their slot closes are one; equal times take the smaller id; neighbours may lie in other slots."""
+    schema = "id long, k long, at timestamp"
+    hour = NOON.replace(minute=0)
+    minute = lambda m: hour + dt.timedelta(minutes=m)
+    sharp = [(i, 7, minute(7 * i)) for i in range(1, 40)]
+    soft = [(100 + i, 7, minute(11 * (i // 2) + 1)) for i in range(40)] + [(99, 7, None)]
+    rows = {"sharp": sharp * 2, "soft": soft * 2, "clock": [(0, None, minute(6000))]}
+    S.use_rocksdb(spark)
+    for name in rows:
+        os.makedirs(f"{tmp_path}/{name}")
+    for name in ("sharp", "soft", "clock"):
+        spark.createDataFrame(rows[name], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        if name != "sharp":
+            read = lambda n: spark.readStream.schema(schema).parquet(f"{tmp_path}/{n}")
+            out = S.nearest_stream(read("sharp"), read("soft"), ["k"], "at", "id", 20, "1 hour", read("clock"))
+            X.run_available(out, f"{tmp_path}/state", f"{tmp_path}/out")
+    known = [(j, u) for j, _, u in soft if u]
+    want = []
+    for i, k, t in sharp:
+        gap, j = min((abs(u - t), j) for j, u in known)
+        if gap <= dt.timedelta(minutes=20):
+            want.append((k, i, j))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
+    assert "TransformWithState" not in steps_of(out)

@@ -15,6 +15,6 @@ def broadcast_keys(df):
     return {tuple(re.findall(r"(\w+)#\d+", k)) for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
 
 
-@pytest.mark.parametrize("name", ["c03_context_block"])
+@pytest.mark.parametrize("name", ["c03_context_block", "c11_game_matrix"])
 def test_only_calendar_days_are_broadcast(spark, name):
     assert broadcast_keys(__spark_entry__.queries()[name](spark, SF)) <= {("day",)}
